@@ -70,11 +70,11 @@ def _combine(words: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def word_chunks(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_chunks(texts: list[str | bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, word hashes, offsets) for runs of texts."""
     parts, size, first = [], 0, 0
     for i, t in enumerate(texts):
-        raw = t.encode("utf-8", "surrogatepass") if t else b""
+        raw = t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") if t else b""
         if parts and size + len(raw) > CHUNK_BYTES:
             yield (first, *_words(parts))
             parts, size, first = [], 0, i
