@@ -18,7 +18,9 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .labelled import sample, scored
 
@@ -201,3 +203,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH)
     Other columns are ignored.
     """
     return scored(docs, toxicity_scorer(docs, labels, each), THRESHOLD)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", each: int = SAMPLE_EACH) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic; columns as they were."""
+    sent = docs.sparkSession.sparkContext.broadcast(toxicity_scorer(docs, labels, each))
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.scores([t if isinstance(t, str) else "" for t in texts]))
+
+    return docs.filter(score(F.col(text)) < THRESHOLD)
