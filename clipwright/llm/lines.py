@@ -299,7 +299,8 @@ def _deduped(docs: DataFrame, doc_id: str, text: str, min_chars: int, min_docs:
     drops = keep(index.drops(min_docs))
     index.close()
     packed = docs.select(F.col(doc_id).cast("long").alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = packed.join(drops.df.withColumnRenamed("doc_id", "k"), "k", "left")
+    # one plan at every size: a small side would be broadcast below some size and the texts shuffled above it
+    joined = packed.join(drops.df.withColumnRenamed("doc_id", "k").hint("merge"), "k", "left")
     return joined.select("k", "row", _cut(min_chars)(F.col("row")[text], F.col("drop.k1"), F.col("drop.k2")).alias("cut"))
 
 
