@@ -73,7 +73,7 @@ def _six(c):
 
 _MERGED = """SELECT source_idx, CAST(clip_idx AS BIGINT) AS clip_idx, round(arg_min(ws, (event_sec, det_idx)), 6) AS start_sec, round(max(we), 6) AS end_sec, round(min(event_sec), 6) AS event_sec, CAST(count(*) AS VARCHAR) AS event_count,
  string_agg(scores, ';' ORDER BY event_sec, det_idx) AS scores, string_agg(event_key, ';' ORDER BY event_sec, det_idx) AS event_key, CASE WHEN count(DISTINCT target) = 1 THEN min(target) ELSE 'both' END AS target,
- array_to_string(list_transform(list_filter(list_zip(list(method ORDER BY event_sec, det_idx), range(count(*))), x -> list_position(list(method ORDER BY event_sec, det_idx), x[1]) = x[2] + 1), x -> x[1]), '+') AS method,
+ (SELECT string_agg(m, '+' ORDER BY f) FROM (SELECT n2.method AS m, min((n2.event_sec, n2.det_idx)) AS f FROM num n2 WHERE n2.source_idx = num.source_idx AND n2.clip_idx = num.clip_idx GROUP BY 1)) AS method,
  max(cb) AS clip_before_sec, arg_max(ocr_requests, (event_sec, det_idx)) AS ocr_requests FROM num GROUP BY source_idx, clip_idx"""
 
 
@@ -147,7 +147,7 @@ def p1_p2_p3_p27_normalize(spark, d):
 def p4_p5_p6_clean(spark, d):
     t = views.texts(spark, d).filter("event_type <> 'view'")
     lang = F.col("language")
-    tail = F.when(lang == "en", F.lit("3KILLS")).when(lang == "zh-Hans", F.lit("淘汰数3")).otherwise(F.lit("擊殺數3"))
+    tail = F.when(lang == "en", F.lit("")).when(lang == "zh-Hans", F.lit("淘汰数3")).otherwise(F.lit("協助"))
     name = F.concat(F.lit("（Player"), F.col("source_idx").cast("string"), F.lit("）"))
     return t.select("event_id", text.clean_weapon(F.concat(F.lit(" W"), F.col("k").cast("string"), tail), lang).alias("weapon"), text.clean_subject(F.concat(name, tail), lang).alias("subject"), text.subject_key(name, lang).alias("key"))
 
@@ -345,9 +345,9 @@ def s5_planning_requests(spark, d):
     return answers.select("source_idx", F.json_array_length("value").cast("bigint").alias("n_clips"))
 
 
-@query("SELECT l_orderkey || ',' || l_linenumber || ',\"' || l_shipmode || ',' || l_returnflag || '\"' AS line FROM lineitem")
+@query("SELECT l_orderkey || ',' || l_linenumber || ',\"' || l_linestatus || ',' || l_returnflag || '\"' AS line FROM lineitem")
 def s6_s7_csv_lines(spark, d):
-    li = views.table(spark, d, "lineitem").withColumn("note", F.concat("l_shipmode", F.lit(","), "l_returnflag"))
+    li = views.table(spark, d, "lineitem").withColumn("note", F.concat("l_linestatus", F.lit(","), "l_returnflag"))
     return li.select(sinks.csv_lines(li, ["l_orderkey", "l_linenumber", "note"]).alias("line"))
 
 
@@ -414,7 +414,7 @@ def l3_budget(spark, d):
     return schedule.within_budget(_reads(spark, d), 20).select("source_idx", "ms", "roi", "ord")
 
 
-@query(_RD + ", RECURSIVE_SPACED AS (SELECT source_idx, list(DISTINCT ms ORDER BY ms) AS l FROM rd GROUP BY 1) SELECT source_idx, unnest(list_reduce(list_prepend([-1000000::BIGINT], list_transform(l, x -> [x])), (a, x) -> CASE WHEN x[1] - a[len(a)] >= 900 THEN list_append(a, x[1]) ELSE a END)[2:]) AS ms FROM RECURSIVE_SPACED")
+@query(_RD.replace(", rd", ", r0") + ", rd AS (SELECT DISTINCT source_idx, ms FROM r0) SELECT source_idx, ms FROM (WITH RECURSIVE sp AS (SELECT source_idx, min(ms) AS ms FROM rd GROUP BY 1 UNION ALL SELECT sp.source_idx, (SELECT min(rd.ms) FROM rd WHERE rd.source_idx = sp.source_idx AND rd.ms >= sp.ms + 900) FROM sp WHERE sp.ms IS NOT NULL) SELECT * FROM sp WHERE ms IS NOT NULL)")
 def l4_spacing(spark, d):
     return schedule.spaced(_reads(spark, d), 900)
 
@@ -431,11 +431,11 @@ def l6_gate_summary(spark, d):
 
 
 _ON = """, fr AS (SELECT user_id AS source_idx, us // 1000 // 60000 AS ms, k % 4 AS c FROM ev), fk AS (SELECT source_idx, ms * 500 AS ms, list(DISTINCT 'e' || c) AS keys FROM fr GROUP BY 1, 2),
-ht AS (SELECT source_idx, ms, unnest(keys) AS event_key FROM fk), nr AS (SELECT ht.*, fk.ms AS at, list_contains(fk.keys, event_key) AS s FROM ht JOIN fk ON fk.source_idx = ht.source_idx AND fk.ms BETWEEN ht.ms - 6000 AND ht.ms),
-gp AS (SELECT source_idx, ms, event_key, max(at) FILTER (NOT s) AS gap FROM nr GROUP BY 1, 2, 3) """
+ht AS (SELECT source_idx, ms, unnest(keys) AS event_key FROM fk), nr AS (SELECT ht.*, fk.ms AS att, list_contains(fk.keys, event_key) AS s FROM ht JOIN fk ON fk.source_idx = ht.source_idx AND fk.ms BETWEEN ht.ms - 6000 AND ht.ms),
+gp AS (SELECT source_idx, ms, event_key, max(CASE WHEN NOT s THEN att END) AS gap FROM nr GROUP BY 1, 2, 3) """
 
 
-@query(_ON + "SELECT source_idx, CAST(ms AS BIGINT) AS ms, event_key, CAST(min(at) AS BIGINT) AS onset_ms FROM nr JOIN gp USING (source_idx, ms, event_key) WHERE s AND (gap IS NULL OR at > gap) GROUP BY ALL")
+@query(_ON + "SELECT source_idx, CAST(ms AS BIGINT) AS ms, event_key, CAST(min(att) AS BIGINT) AS onset_ms FROM nr JOIN gp USING (source_idx, ms, event_key) WHERE s AND (gap IS NULL OR att > gap) GROUP BY ALL")
 def j4_onsets(spark, d):
     fr = views.events(spark, d).select(F.col("user_id").alias("source_idx"), F.expr("us div 1000 div 60000 * 500").alias("ms"), F.concat(F.lit("e"), (F.col("k") % 4).cast("string")).alias("e"))
     frames = fr.groupBy("source_idx", "ms").agg(F.collect_set("e").alias("keys"))
@@ -465,7 +465,9 @@ def f4_followup_subject(spark, d):
 
 @query()
 def j3_same_players(spark, d):
-    return lifecycle.same_pairs(_named(spark, d).withColumn("source_idx", F.lit(0)).filter("source_idx = 0 and target = 'self-death'")).select("source_idx", "target", "action", "a", "b", "how")
+    e = _named(spark, d)
+    player = F.concat(F.lit("player"), F.hex(F.hash("k", F.col("event_id") % 3)))
+    return lifecycle.same_pairs(e.withColumn("name", player).withColumn("key", F.concat(F.lit("own-kill:x:"), player))).select("source_idx", "target", "action", "a", "b", "how")
 
 
 @query()
@@ -625,7 +627,7 @@ def a15_codec_histogram(spark, d):
     return telemetry.codec_histogram(views.stored(spark, d))
 
 
-@query("SELECT source_idx, CASE WHEN source_idx % 11 = 0 THEN 'cancelled' WHEN count(*) FILTER (Status = 'included') = 0 THEN 'no-events' WHEN count(*) FILTER (ordinal > 6) > 0 THEN 'partial-success' ELSE 'success' END AS outcome FROM rec GROUP BY source_idx")
+@query("SELECT source_idx, CASE WHEN source_idx % 11 = 0 THEN 'cancelled' WHEN count(*) = count(*) FILTER (ordinal > 6) THEN 'all-unreadable' WHEN count(*) FILTER (Status = 'included') = 0 THEN 'no-events' WHEN count(*) FILTER (ordinal > 6) > 0 THEN 'partial-success' ELSE 'success' END AS outcome FROM rec GROUP BY source_idx")
 def a16_run_outcome(spark, d):
     r = views.records(spark, d).groupBy("source_idx").agg(F.count_if(F.col("Status") == "included").alias("i"), F.count("*").alias("n"), F.count_if(F.col("ordinal") > 6).alias("u"))
     return r.select("source_idx", telemetry.outcome(F.lit(False), F.col("source_idx") % 11 == 0, F.col("i"), F.col("n"), F.col("u")).alias("outcome"))
@@ -636,11 +638,11 @@ def a17_stored_bytes(spark, d):
     return telemetry.stored_bytes(views.stored(spark, d))
 
 
-@query("SELECT l_shipmode, round(sum(l_tax) / sum(l_quantity), 6) AS verify_share, round(sum(l_linenumber) / sum(l_extendedprice), 6) AS clips_per_s, round(sum(l_discount) / sum(l_extendedprice), 6) AS media_s_per_s, round(median(l_quantity / l_extendedprice), 6) AS median_speedup FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, round(sum(l_tax) / sum(l_quantity), 6) AS verify_share, round(sum(l_linenumber) / sum(l_extendedprice), 6) AS clips_per_s, round(sum(l_discount) / sum(l_extendedprice), 6) AS media_s_per_s, round(median(l_quantity / l_extendedprice), 6) AS median_speedup FROM lineitem GROUP BY 1")
 def a18_throughput(spark, d):
-    li = views.table(spark, d, "lineitem").select("l_shipmode", F.col("l_tax").alias("verify_s"), F.col("l_quantity").alias("task_s"), F.col("l_linenumber").alias("clips"), F.col("l_discount").alias("media_s"), F.col("l_extendedprice").alias("wall_s"), F.col("l_quantity").alias("baseline_s"))
-    out = telemetry.throughput(li, "l_shipmode")
-    return out.select("l_shipmode", *[_six(c).alias(c) for c in ("verify_share", "clips_per_s", "media_s_per_s", "median_speedup")])
+    li = views.table(spark, d, "lineitem").select("l_returnflag", F.col("l_tax").alias("verify_s"), F.col("l_quantity").alias("task_s"), F.col("l_linenumber").alias("clips"), F.col("l_discount").alias("media_s"), F.col("l_extendedprice").alias("wall_s"), F.col("l_quantity").alias("baseline_s"))
+    out = telemetry.throughput(li, "l_returnflag")
+    return out.select("l_returnflag", *[_six(c).alias(c) for c in ("verify_share", "clips_per_s", "media_s_per_s", "median_speedup")])
 
 
 @query('SELECT split_part(path, \'/\', 1) AS "group", CAST(sum(size) AS BIGINT) AS bytes, count(*) AS files FROM sto GROUP BY 1 ORDER BY bytes DESC, 1 LIMIT 5')
@@ -734,7 +736,7 @@ def st3_repeat_suppression(spark, d):
 @query()
 def st4_clip_windows(spark, d):
     s = _stream(spark, d).select(F.col("user_id").alias("source_idx"), F.col("at").alias("win_start"), (F.col("at") + F.expr("interval 1 hour")).alias("win_end"))
-    return jobs.drained(jobs.clip_windows(s, "365 days"), "append").drop("batch")
+    return jobs.drained(jobs.clip_windows(s), "append").drop("batch")
 
 
 @query()
