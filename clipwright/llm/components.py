@@ -8,7 +8,7 @@ lineage and lets lost executors recompute one round only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .store import Kept, keep
@@ -26,9 +26,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.distinct()
 
 
-def _mark(df: DataFrame) -> tuple:
-    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-    return row["n"], row["h"]
+def _kept(edges: DataFrame) -> tuple[Kept, tuple]:
+    """The edges written, and what tells them from others: their number and the sum of their hashes, taken as they are written."""
+    seen = Observation()
+    table = keep(edges.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")))
+    return table, (seen.get["n"], seen.get["h"])
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> Kept:
@@ -38,16 +40,15 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> Kept:
     edge table gives an empty result.  Raises if the rounds run out.
     """
     clean = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    now = keep(clean.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = _mark(now.df)
+    now, mark = _kept(clean.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     for _ in range(rounds):
         if not mark[0]:
             break
         half = keep(_star(now.df, large=True))
         now.drop()
-        now = keep(_star(half.df, large=False))
+        now, new = _kept(_star(half.df, large=False))
         half.drop()
-        if (new := _mark(now.df)) == mark:
+        if new == mark:
             break
         mark = new
     else:
