@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from . import html_text, jaccard, leaks, licences, lines, pieces, quality, token_counts, toxicity, vectors
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,5 +67,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_html_extraction, op2_embedding_neardup, op3_quality, op4_ngram_jaccard, op5_line_dedup, op6_toxicity, op7_sentencepiece, op8_licence_scan, op9_decontamination, op10_token_counts)
 }
-
-ORACLE_SQL: dict[str, str] = {}
