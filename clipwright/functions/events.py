@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import _action, _assist_only, _like, _self_class, _subject, _subject_key, _weapon, by_language, has_assist, has_own_candidate, is_assist_only, is_delayed, normalize_text, text_rows
-from .vocabulary import OWN_METHOD, Vocabulary
+from .text import _action, _assist_only, _like, _self_class, _subject, _subject_key, _weapon, by_language, has_assist, has_own_candidate, is_assist_only, is_delayed, let, normalize_text, text_rows
+from .vocabulary import OWN_METHOD, STRICT_METHOD, Vocabulary
 
 _FIELDS = "target string, method string, action string, subject string, key string, text string, weapon string"
 EVENTS = f"array<struct<{_FIELDS.replace(' string', ':string')}>>"
@@ -21,26 +21,30 @@ def _weapon_after(prefix: Column, v: Vocabulary) -> Column:
 
 
 def _own(t: Column, v: Vocabulary, allow_assist: bool) -> Column:
-    s = normalize_text(t)
     pattern = F.lit(v.flags + v.own)
-    groups = [F.regexp_extract_all(s, pattern, F.lit(i)) for i in range(6)]
-    found = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("raw", "prefix", "verb", "victim", "arm", "probe"), strict=True)])
+    names = ("raw", "prefix", "verb", "victim", "arm", "probe")
+
+    def matches(s: Column) -> Column:
+        return F.arrays_zip(*[F.regexp_extract_all(s, pattern, F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+    def named(m: Column) -> Column:
+        return F.struct(*[m[n].alias(n) for n in names if n != "victim"], _subject(m["victim"], v).alias("victim"))
+
+    def keyed(m: Column) -> Column:
+        return F.struct(*[m[n].alias(n) for n in names], _subject_key(m["victim"], v).alias("key"), _action(m["verb"], v).alias("action"), _weapon_after(m["prefix"], v).alias("before"))
 
     def wanted(m: Column) -> Column:
-        key = _subject_key(_subject(m["victim"], v), v)
-        keep = ~_like(m["raw"], v, v.delayed) & (key != "") & ~key.isin(*v.own_self)
+        keep = (m["key"] != "") & ~m["key"].isin(*v.own_self) & ~_like(m["raw"], v, v.delayed)
         if not allow_assist:
             keep = keep & ~_assist_only(m["raw"], v) & ~_assist_only(F.concat(m["raw"], m["probe"]), v)
         return keep
 
     def event(m: Column) -> Column:
-        victim = _subject(m["victim"], v)
-        action = _action(m["verb"], v)
-        before = _weapon_after(m["prefix"], v)
-        weapon = F.when(before != "", before).otherwise(_weapon(m["arm"], v))
-        return _event("own-kill", F.lit(OWN_METHOD), action, victim, F.concat(F.lit("own-kill:"), action, F.lit(":"), _subject_key(victim, v)), m["raw"], weapon)
+        weapon = F.when(m["before"] != "", m["before"]).otherwise(_weapon(m["arm"], v))
+        return _event("own-kill", F.lit(OWN_METHOD), m["action"], m["victim"], F.concat(F.lit("own-kill:"), m["action"], F.lit(":"), m["key"]), m["raw"], weapon)
 
-    return F.transform(F.filter(found, wanted), event)
+    found = let(normalize_text(t), matches)
+    return F.transform(F.filter(F.transform(F.transform(found, named), keyed), wanted), event)
 
 
 def own_kill_events(t: Column, language: Column, allow_assist: bool = False) -> Column:
@@ -49,21 +53,30 @@ def own_kill_events(t: Column, language: Column, allow_assist: bool = False) ->
 
 
 def _self_row(s: Column, v: Vocabulary) -> Column:
-    method = _self_class(s, v)
-    zone = _like(s, v, v.self_zone)
-    strict = _like(s, v, v.self_strict)
     lead = f"{v.flags}(?s)^(.*?)(?:{{}})"
     strict_at, fuzzy_at = lead.format(v.self_strict), lead.format(v.self_fuzzy)
-    actor = F.when(strict, F.regexp_extract(s, strict_at, 1)).otherwise(F.regexp_extract(s, fuzzy_at, 1))
-    verb = F.when(strict, F.regexp_extract(s, strict_at, 2)).otherwise(F.regexp_extract(s, fuzzy_at, 2))
-    arm = F.when(strict, F.regexp_extract(s, strict_at, 3)).otherwise(F.lit("")) if "(.+?)" in v.self_strict else F.lit("")
-    action = _action(verb, v)
-    key = _subject_key(F.right(actor, F.lit(32)), v)
-    before = _weapon_after(actor, v)
-    death = _event("self-death", method, action, actor, F.concat(F.lit("self-death:"), action, F.lit(":"), F.when(key != "", key).otherwise(F.lit("unknown"))), s,
-                   F.when(before != "", before).otherwise(_weapon(arm, v)))
-    downed = _event("self-death", method, F.lit("zone-downed"), F.lit("zone"), F.lit("self-death:zone"), s, F.lit(""))
-    return F.when(method.isNotNull() & zone, downed).when(method.isNotNull(), death)
+    downed = _event("self-death", F.lit(""), F.lit("zone-downed"), F.lit("zone"), F.lit("self-death:zone"), s, F.lit(""))
+
+    def parts(c: Column) -> Column:
+        strict = c["method"] == STRICT_METHOD
+        arm = F.when(strict, F.regexp_extract(s, strict_at, 3)).otherwise(F.lit("")) if "(.+?)" in v.self_strict else F.lit("")
+        actor = F.when(strict, F.regexp_extract(s, strict_at, 1)).otherwise(F.regexp_extract(s, fuzzy_at, 1))
+        verb = F.when(strict, F.regexp_extract(s, strict_at, 2)).otherwise(F.regexp_extract(s, fuzzy_at, 2))
+        return F.struct(c["method"].alias("method"), actor.alias("actor"), _action(verb, v).alias("action"), arm.alias("arm"))
+
+    def named(p: Column) -> Column:
+        return F.struct(p["method"].alias("method"), p["actor"].alias("actor"), p["action"].alias("action"), p["arm"].alias("arm"), _subject_key(F.right(p["actor"], F.lit(32)), v).alias("key"), _weapon_after(p["actor"], v).alias("before"))
+
+    def death(p: Column) -> Column:
+        key = F.concat(F.lit("self-death:"), p["action"], F.lit(":"), F.when(p["key"] != "", p["key"]).otherwise(F.lit("unknown")))
+        weapon = F.when(p["before"] != "", p["before"]).otherwise(_weapon(p["arm"], v))
+        return _event("self-death", p["method"], p["action"], p["actor"], key, s, weapon)
+
+    def event(c: Column) -> Column:
+        zone = F.struct(F.lit("self-death").alias("target"), c["method"].alias("method"), *[downed[n].alias(n) for n in ("action", "subject", "key", "text", "weapon")])
+        return F.when(c["zone"], zone).when(c["method"].isNotNull(), let(let(parts(c), named), death))
+
+    return let(F.struct(_self_class(s, v).alias("method"), _like(s, v, v.self_zone).alias("zone")), event)
 
 
 def self_events(t: Column, language: Column) -> Column:

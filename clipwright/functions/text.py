@@ -21,6 +21,11 @@ def by_language(language: Column, make: Callable[[Vocabulary], Column]) -> Colum
     return out
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _like(s: Column, v: Vocabulary, pattern: str) -> Column:
     return F.regexp_like(s, F.lit(f"{v.flags}(?:{pattern})"))
 
@@ -69,9 +74,12 @@ def clean_subject(t: Column, language: Column) -> Column:
 
 
 def _subject_key(t: Column, v: Vocabulary) -> Column:
-    s = _subject(t, v)
-    key = F.lower(F.regexp_replace(s, r"[^\p{L}\p{N}_\-\[\]]", ""))
-    return F.when(key != "", key).otherwise(F.lower(s))
+    return let(_subject(t, v), _key_of)
+
+
+def _key_of(subject: Column) -> Column:
+    key = F.lower(F.regexp_replace(subject, r"[^\p{L}\p{N}_\-\[\]]", ""))
+    return F.when(key != "", key).otherwise(F.lower(subject))
 
 
 def subject_key(t: Column, language: Column) -> Column:
