@@ -16,11 +16,6 @@ def k_of() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def micros() -> Column:
-    """Microseconds of the event's wall time, whatever the session's time zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) if hasattr(F, "timestamp_diff") else F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("k", k_of()).withColumn("us", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
 
