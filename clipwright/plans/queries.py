@@ -452,10 +452,9 @@ def _named(spark, d):
 
 @query()
 def f1_f2_f3_identity(spark, d):
-    a = views.table(spark, d, "customer").select("c_nationkey", F.col("c_name").alias("a"), F.col("c_custkey").alias("ka"))
-    pairs = a.join(a.select("c_nationkey", F.col("a").alias("b"), F.col("ka").alias("kb")), "c_nationkey").filter("ka < kb and kb - ka < 40")
-    x, y = F.col("a"), F.col("b")
-    return pairs.select("ka", "kb", identity.sequence_ratio(x, y).alias("ratio"), identity.stable_subject(x, y).alias("stable"), identity.noisy_subject(x, y, F.lit("own-kill")).alias("noisy"))
+    """All pairs of a nation's customers whose names are alike; a pair that is not here is neither stable nor noisy."""
+    c = views.table(spark, d, "customer").select("c_nationkey", F.col("c_name").alias("name"), F.col("c_custkey").alias("key"))
+    return identity.alike_keys(c, ["c_nationkey"], "own-kill").select("ka", "kb", "ratio", "stable", "noisy")
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 'zone' ELSE 'player' || user_id END AS actor FROM tev")
