@@ -732,10 +732,12 @@ def st3_repeat_suppression(spark, d):
     return out.drop("batch")
 
 
-@query()
+@query("""SELECT source_idx, count(*) AS event_count, min(ts) AS start_at, max(ts) + INTERVAL 1 HOUR AS end_at FROM (
+ SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY source_idx ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM (
+ SELECT user_id AS source_idx, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM ev)) GROUP BY source_idx, n""")
 def st4_clip_windows(spark, d):
     s = _stream(spark, d).select(F.col("user_id").alias("source_idx"), F.col("at").alias("win_start"), (F.col("at") + F.expr("interval 1 hour")).alias("win_end"))
-    return jobs.drained(jobs.clip_windows(s), "append").drop("batch")
+    return jobs.drained(jobs.clip_windows(s), "complete").drop("batch")
 
 
 @query()

@@ -34,7 +34,9 @@ def clip_windows(windows: DataFrame, delay: str = "1 minute") -> DataFrame:
 
     A session ends a microsecond after its window, so that windows which touch
     merge.  The start is the least start, which is the first event's where the
-    seconds before are the same for all.
+    seconds before are the same for all.  In append mode a session comes out when
+    the watermark passes it; drain a bounded input in complete mode, or the
+    sessions of its last hour and rows behind the watermark are lost.
     """
     gap = F.concat((F.unix_micros("win_end") - F.unix_micros("win_start") + 1).cast("string"), F.lit(" microseconds"))
     session = F.session_window("win_start", gap)
@@ -144,12 +146,15 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all input there is and read back what it gave, with the number of each ``batch``."""
+    """Run a stream over all input there is and read back what it gave, with the number of each ``batch``.
+
+    In complete mode that is the whole table of the last batch, what is still open included.
+    """
     spark = stream.sparkSession
     folder = work_folder(spark)
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out")
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
 
     spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0)).write.parquet(f"{folder}/out")
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
