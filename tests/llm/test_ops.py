@@ -316,6 +316,27 @@ def test_pages(spark):
     assert got == {k: (v, len(v)) for k, v in want.items()}
 
 
+def test_page_markup_keeps_articles():
+    def text(html):
+        main, tokens, open_ = html_text.settled(html)
+        return main if main is not None else " ".join(w for w, o in zip(tokens, open_, strict=True) if o)
+
+    art = "<article><header class='entry-header'><h1 class='post-header'>Title</h1></header><p>the text</article>"
+    for head in ("<head><title>t</title>", "<head><title>t</title><meta charset=x><script>var a</script>", "<title>t</title>"):
+        assert text(f"<html>{head}<body>{art}</body></html>") == "Title the text"
+        assert text(f"<html>{head}{art}") == "Title the text"
+        assert text(f"<html>{head}<p>no article</p><div class=ad>buy</div>") == "no article"
+    assert text("<head><title>t</title> plain words <p>more") == "plain words more"
+    for name in ("content-sidebar-wrap", "has-notice", "sidebar", "no-ads with-footer", "promo"):
+        assert text(f"<body><div class='{name}'>{art}</div>") == "Title the text"
+        assert text(f"<body><div id='{name}'><main><p>the main text</main></div>") == "the main text"
+    assert text(f"<body class='has-sidebar ad'>{art}") == "Title the text"
+    for name in ("site-header", "ad-slot", "post-comments", "footer__links", "main-nav", "related-posts", "cookie-banner", "comment-12"):
+        assert text(f"<p>open</p><div class='x {name}'>out</div>") == "open"
+    assert text(f"<body>{art}<div class='related'><article>other</article></div><div class='comments'><article>c</article></div>") == "Title the text"
+    assert text("<article>a b c<div class='related'><article>d e f g h</article></div></article>") == "a b c"
+
+
 def labelled_texts(seed, bad):
     rng = random.Random(seed)
     texts, y = [], []
