@@ -337,6 +337,20 @@ def test_page_markup_keeps_articles():
     assert text("<article>a b c<div class='related'><article>d e f g h</article></div></article>") == "a b c"
 
 
+def test_pages_keep_copies_and_phrases(spark):
+    body = [f"word{i}" for i in range(300)]
+    near = [*body[:150], "changed", *body[151:]]
+    boiler, phrase = "this site is run by a group of people", "at the end of the day we"
+    pages = [(1, "http://h/a?ref=x", " ".join(body)), (2, "http://h/a?page=2", " ".join(body)), (3, "http://h/b", " ".join(near)),
+             (4, "http://one/a?x=1", "the same text under two addresses"), (5, "http://one/a?x=2", "the same text under two addresses")]
+    own = {i: " ".join(f"own{i}x{j}" for j in range(20)) for i in range(10, 30)}
+    pages += [(i, f"http://h/{i}", f"{t} {phrase if i < 12 else f'and{i}'}</p><p>{boiler if i > 14 else ''}") for i, t in own.items()]
+    df = spark.createDataFrame([(i, u, f"<p>{t}</p>") for i, u, t in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    want = {i: t for i, _, t in pages[:5]} | {i: f"{t} {phrase if i < 12 else f'and{i}'}" for i, t in own.items()}
+    assert got == want
+
+
 def labelled_texts(seed, bad):
     rng = random.Random(seed)
     texts, y = [], []
