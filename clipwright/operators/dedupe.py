@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,17 +13,16 @@ def available_context() -> Column:
 
 def ranked(detections: DataFrame) -> DataFrame:
     """``winner``: the source that keeps the row's event; null for rows without time or key, which are no candidates."""
-    order = Window.partitionBy("target", "event_key").orderBy(F.col("context").desc(), "source_idx", "det_idx")
-    has = F.col("event_sec").isNotNull() & (F.coalesce("event_key", F.lit("")) != "")
-    rows = detections.withColumn("context", available_context())
-    best = rows.filter(has).withColumn("winner", F.first("path").over(order))
-    return best.unionByName(rows.filter(~has).withColumn("winner", F.lit(None).cast(rows.schema["path"].dataType)))
+    candidate = F.col("event_sec").isNotNull() & (F.coalesce("event_key", F.lit("")) != "")
+    best = winners(detections).withColumnsRenamed({"target": "_target", "event_key": "_key"})
+    same = candidate & F.col("target").eqNullSafe(F.col("_target")) & (F.col("event_key") == F.col("_key"))
+    return detections.withColumn("context", available_context()).join(best, same, "left").drop("_target", "_key")
 
 
 def winners(detections: DataFrame) -> DataFrame:
     """(target, event_key, winner) by a partial aggregate, for keys that a window would hold in one task."""
     has = F.col("event_sec").isNotNull() & (F.coalesce("event_key", F.lit("")) != "")
-    order = F.struct(-available_context(), F.col("source_idx"), F.col("det_idx"))
+    order = F.struct(available_context().isNull(), -available_context(), F.col("source_idx"), F.col("det_idx"))
     return detections.filter(has).groupBy("target", "event_key").agg(F.min_by("path", order).alias("winner"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,10 +110,27 @@ def repeats(reads: DataFrame) -> DataFrame:
 
 
 def spaced(reads: DataFrame, interval_ms: int) -> DataFrame:
-    """(source_idx, ms) of reads that come at least ``interval_ms`` after the last accepted one, folded over each source's sorted moments."""
-    lists = reads.groupBy("source_idx").agg(F.array_sort(F.collect_set("ms")).alias("all"))
-    kept = F.expr(f"aggregate(all, cast(array() as array<bigint>), (acc, x) -> if(size(acc) = 0 or x - element_at(acc, -1) >= {int(interval_ms)}, concat(acc, array(x)), acc))")
-    return lists.select("source_idx", F.explode(kept).alias("ms"))
+    """(source_idx, ms) of reads that come at least ``interval_ms`` after the last accepted one.
+
+    A fold over each source's sorted moments that keeps only the last accepted one.
+    """
+    rows = reads.select("source_idx", "ms").filter("ms is not null").distinct()
+    schema = f"source_idx {rows.schema['source_idx'].dataType.simpleString()}, ms bigint"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last = None, None
+        for frame in frames:
+            keep = []
+            for source, ms in zip(frame["source_idx"], frame["ms"], strict=True):
+                source = None if pd.isna(source) else source
+                if last is None or source != at or ms - last >= interval_ms:
+                    at, last = source, ms
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield frame[keep]
+
+    return rows.repartition("source_idx").sortWithinPartitions("source_idx", "ms").mapInPandas(run, schema)
 
 
 def gate_summary(frames: DataFrame) -> DataFrame:

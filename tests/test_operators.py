@@ -153,3 +153,13 @@ def test_clip_windows_drain_whole(spark, tmp_path):
     s = raw.select("source_idx", F.timestamp_seconds("at").alias("win_start"), F.timestamp_seconds(F.col("at") + 3600).alias("win_end"))
     got = jobs.drained(jobs.clip_windows(s), "complete").select("source_idx", "event_count", F.unix_seconds("start_at"), F.unix_seconds("end_at"))
     assert sorted(tuple(r) for r in got.collect()) == [(1, 3, 0, 10_800), (2, 1, 90_000, 93_600), (2, 1, 93_601, 97_201)]
+
+
+def test_hot_groups_stay_rows(spark, detections):
+    """Neither the spacing of reads nor the winner of an event holds a source or a key as one array or window."""
+    reads = spark.range(20_000).select(F.lit(1).alias("source_idx"), (F.col("id") * 100).alias("ms"))
+    out = schedule.spaced(reads, 900)
+    assert [r["ms"] for r in out.orderBy("ms").collect()] == list(range(0, 2_000_000, 900))
+    df = detections[1].withColumn("clip_before_sec", F.lit(5.0)).withColumn("clip_after_sec", F.lit(1.0))
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (out, dedupe.ranked(df))]
+    assert "collect_set" not in plans[0] and "Window" not in plans[1]
