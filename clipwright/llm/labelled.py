@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import mapped, texts_of
+
 
 def remainder(doc_id: Column | str) -> Column:
     """crc32 of the id as text, mod 5; rows with remainder 0 are held out from learning."""
@@ -16,8 +18,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, each: int) -> tuple[p
     """At most ``each`` learnable texts of either label, chosen by a hash of the id, and how many there are of each.
 
     The counts are of all learnable labels.  Labels that are null or neither 0
-    nor 1 are passed over; an id labelled twice has its largest label.  Only the
-    chosen texts come to the driver.
+    nor 1 are passed over; an id labelled twice has its largest label, and one
+    with several texts the first of them in string order.  Only the chosen
+    texts, one for each id, come to the driver.
     """
     marked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
               .filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y")).filter(remainder("doc_id") != 0))
@@ -27,20 +30,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, each: int) -> tuple[p
         part = marked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
         chosen = part if chosen is None else chosen.union(part)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    got = plain.join(F.broadcast(chosen), "doc_id").toPandas()  # at most 2 * each ids
-    got = got.drop_duplicates("doc_id").sort_values("doc_id", ignore_index=True)
-    got["text"] = got["text"].where(got["text"].notna(), "")
-    return got, counts
+    got = plain.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.coalesce(F.min("text"), F.lit("")).alias("text"))  # at most 2 * each ids
+    return got.toPandas().sort_values("doc_id", ignore_index=True), counts
 
 
 def scored(docs: DataFrame, scorer, threshold: float) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of ``docs``; ``scorer`` maps texts to scores."""
+    """(doc_id, held_out, score, predicted) for each row of ``docs``; ``scorer`` maps texts to scores.  A null id is not held out."""
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    def run(frames):
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "score": sent.value.scores(texts)})
+    def run(batches):
+        for b in batches:
+            yield {"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": sent.value.scores([t or "" for t in texts_of(b)])}
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id").cast("long")) == 0, F.lit(False)).alias("held_out"), F.col("text").alias("text"))
-    return plain.mapInPandas(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return mapped(plain, run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

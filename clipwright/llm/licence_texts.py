@@ -1,4 +1,4 @@
-"""Short wordings by which licence families are named, one per line, and sentences that name none."""
+"""Wordings by which licence families are named, one per line, their short names, and sentences that name none."""
 
 TEMPLATES = {
     "apache-2.0": """
@@ -79,6 +79,30 @@ SPDX-License-Identifier: ISC
 """,
 }
 
+#: What stands for a family in a short declaration.
+NAMES = {
+    "apache-2.0": ("Apache-2.0", "Apache License 2.0", "Apache License, Version 2.0"),
+    "mit": ("MIT",),
+    "bsd": ("BSD", "BSD-3-Clause", "BSD-2-Clause", "BSD 3-Clause"),
+    "gpl": ("GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0", "GNU GPL", "GNU General Public License"),
+    "lgpl": ("LGPL", "LGPLv2.1", "LGPLv3", "LGPL-2.1", "LGPL-3.0", "GNU LGPL"),
+    "agpl": ("AGPL", "AGPLv3", "AGPL-3.0", "GNU AGPL"),
+    "mpl-2.0": ("MPL 2.0", "MPL-2.0", "Mozilla Public License 2.0"),
+    "cc-by": ("CC-BY-4.0", "CC BY 4.0"),
+    "cc-by-sa": ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    "cc-by-nc": ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    "cc0": ("CC0", "CC0-1.0"),
+    "unlicense": ("Unlicense",),
+    "isc": ("ISC",),
+}
+
+#: Short declarations of a licence by its name.
+FRAMES = (
+    "License: {}", "Licence: {}", "licensed under {}", "licensed under the {} license", "released under the {} license", "released under {}",
+    "distributed under the {} license", "distributed under {}", "available under {}", "available under the {} license",
+    "under the terms of the {} license", "see the {} license", "SPDX-License-Identifier: {}",
+)
+
 NO_LICENCE = """
 You need a driver's license to drive in this state.
 The software license agreement was signed by both parties last week.

@@ -1,55 +1,77 @@
 """Licence families of paragraphs by a trained classifier, confirmed against templates.
 
-A paragraph is a line.  Its words, pairs and triples of words are hashed; a
-sparse logistic regression says whether it names a licence at all, and one for
-each family which.  Both are trained in numpy on the wordings of
-``licence_texts``, varied by dropped words, cut ends and neighbouring prose,
-against a bounded sample of the corpus's own paragraphs and some that only
-sound like licences.  The first is calibrated on examples kept out, so that
-"unknown" is a class with a probability of its own.  A prediction stands only
-if some wording of its family is found in the paragraph by most of its pairs of
-words.
+A paragraph is a run of lines that are not blank; punctuation counts as space,
+so wrapped notices and those behind comment marks are paragraphs, too.  Its
+words, pairs and triples of words are hashed, and every window of ``WINDOWS``
+words of it is scored by a sparse logistic regression, which says whether it
+names a licence at all, and by a softmax over families, which says which.
+
+Both are trained in numpy on the wordings and declarations of
+``licence_texts``, varied by dropped words, cut ends and neighbouring prose, on
+windows of the corpus that hold such a wording, against windows of the corpus
+that hold none and sentences that only sound like licences.  The first is
+calibrated on examples kept out, so that "unknown" is a class with a probability
+of its own; ``Scorer.calibration`` says how far that probability is off there.
+
+The most probable window of a paragraph is taken first, then the next that does
+not overlap with it.  A prediction stands only if some wording of its family is
+found around its window by most of its pairs of words.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .licence_texts import NO_LICENCE, TEMPLATES
+from .batches import mapped, texts_of
+from .licence_texts import FRAMES, NAMES, NO_LICENCE, TEMPLATES
 from .shingles import _combine, word_chunks
 
-#: Documents whose paragraphs stand for "unknown", and how many of these are learned from.
-SAMPLE_DOCS, SAMPLE_LINES = 2000, 12_000
-VARIANTS, BUCKETS, GRAMS = 40, 1 << 18, (1, 2, 3)
+#: Documents whose paragraphs are learned from, windows of each, and words of a window.
+SAMPLE_DOCS, SAMPLE_EACH = 2000, 6
+WINDOWS = (10, 40)
+VARIANTS, BUCKETS, GRAMS = 16, 1 << 18, (1, 2, 3)
 EPOCHS, RATE, L2 = 8, 0.4, 1e-5
 KNOWN = 0.5
-#: Share of a wording's pairs of words that a paragraph must hold.
-CONFIRM = 0.75
-_MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
+#: Share of a wording's pairs of words that must be found within so many words around a window.
+CONFIRM, AROUND = 0.75, 40
+_MARKS = bytes(range(33, 46)) + b"/" + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _BARE = bytes.maketrans(_MARKS, b" " * len(_MARKS))
+_DOT = re.compile(rb"\.(?![0-9])")
+_BLANK = re.compile(rb"\n[\x20\x09-\x0d]*\n[\x20\x09-\x0d]*")
+
+
+def bare(text: str | None) -> bytes:
+    """ASCII punctuation taken for spaces, but for the dots and hyphens of numbers and names."""
+    return _DOT.sub(b" ", (text or "").encode("utf-8", "surrogatepass").translate(_BARE))
 
 
 def paragraphs(text: str | None) -> list[bytes]:
-    """The lines of a text, their ASCII punctuation taken for spaces."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_BARE).split(b"\n")
+    """The runs of lines that are not blank."""
+    return [p for p in _BLANK.split(bare(text)) if p.strip()]
 
 
-def _grams(words: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each width the buckets of all n-grams within a paragraph, and their paragraphs."""
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+def _grams(words: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """For each width the bucket of the n-gram that begins at a word, -1 where it would leave the paragraph."""
+    ends = at[1:][np.repeat(np.arange(len(at) - 1), np.diff(at))]
+    out = []
     for n in GRAMS:
-        h = _combine(words, n)
-        inside = owner[: len(h)] == owner[n - 1 :]
-        yield (h[inside] % np.uint64(BUCKETS)).astype(np.int64), owner[: len(h)][inside]
+        h = np.full(len(words), -1, np.int64)
+        got = (_combine(words, n) % np.uint64(BUCKETS)).astype(np.int64)
+        h[: len(got)] = got
+        h[np.arange(len(words)) + n > ends] = -1
+        out.append(h)
+    return out
 
 
-def _sums(words, at, weight) -> np.ndarray:
-    return sum(np.bincount(o, weight[g], len(at) - 1) for g, o in _grams(words, at))
+def _bag(words: np.ndarray) -> np.ndarray:
+    """The buckets of all n-grams of one window."""
+    return np.concatenate([g[g >= 0] for g in _grams(words, np.array([0, len(words)]))])
 
 
 def _pairs(words: np.ndarray) -> np.ndarray:
@@ -60,13 +82,45 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _words(lines: list[bytes]) -> list[np.ndarray]:
+    return [words[s:e] for _, words, at in word_chunks(lines) for s, e in zip(at[:-1], at[1:], strict=True)]
+
+
+def wordings() -> list[tuple[str, bytes]]:
+    """(family, wording) of all fixed texts and of the declarations made of the families' names."""
+    full = [(f, bare(line)) for f in sorted(TEMPLATES) for line in TEMPLATES[f].split("\n") if line.strip()]
+    return full + [(f, bare(frame.format(name))) for f in sorted(NAMES) for name in NAMES[f] for frame in FRAMES]
+
+
 class Scorer:
-    def __init__(self, families: list[str], known: np.ndarray, bias: float, curve: tuple[float, float], weight: np.ndarray, offsets: np.ndarray, templates: list[tuple[int, np.ndarray]]):
+    def __init__(self, families: list[str], known: np.ndarray, bias: float, curve: tuple[float, float], weight: np.ndarray, offsets: np.ndarray, templates: list[list[np.ndarray]], calibration: dict[str, float]):
         self.families, self.known, self.bias, self.curve = families, known, bias, curve
-        self.weight, self.offsets, self.templates = weight, offsets, templates
+        self.weight, self.offsets, self.templates, self.calibration = weight, offsets, templates, calibration
+
+    def share(self, family: int, words: np.ndarray) -> float:
+        """The largest share of the pairs of one of the family's wordings that ``words`` hold."""
+        pairs = _pairs(words)
+        return max(float(np.isin(t, pairs).mean()) for t in self.templates[family])
+
+    def windows(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, probability of a licence) of every window that reaches ``KNOWN``."""
+        ends = at[1:][np.repeat(np.arange(len(at) - 1), np.diff(at))]
+        sums = [np.concatenate(([0.0], np.cumsum(np.where(g >= 0, self.known[g], 0.0)))) for g in _grams(words, at)]
+        begin = np.arange(len(words))
+        first = at[:-1][np.repeat(np.arange(len(at) - 1), np.diff(at))]
+        found = []
+        for size in WINDOWS:
+            b = begin[(begin + size <= ends) | (begin == first)]
+            e = np.minimum(b + size, ends[b])
+            total = sum(s[np.maximum(e - n + 1, b)] - s[b] for n, s in zip(GRAMS, sums, strict=True))
+            p = _sigmoid(self.curve[0] * (total + self.bias) + self.curve[1])
+            hit = p >= KNOWN
+            found.append(np.stack((b[hit], e[hit], p[hit])))
+        b, e, p = np.concatenate(found, axis=1)
+        return b.astype(np.int64), e.astype(np.int64), p
 
     def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, float]]:
-        """(text, paragraph, family, probability of a licence) of each confirmed paragraph."""
+        """(text, paragraph, family, probability of a licence) of each confirmed window."""
         lines, owner, place = [], [], []
         for i, t in enumerate(texts):
             own = paragraphs(t)
@@ -74,76 +128,67 @@ class Scorer:
             owner += [i] * len(own)
             place += range(len(own))
         for first, words, at in word_chunks(lines):
-            p = _sigmoid(self.curve[0] * (_sums(words, at, self.known) + self.bias) + self.curve[1])
-            for k in np.flatnonzero((p >= KNOWN) & (np.diff(at) > 0)):
-                own = words[at[k] : at[k + 1]]
-                one = np.array([0, len(own)])
-                odds = self.offsets + sum(self.weight[g].sum(axis=0) for g, _ in _grams(own, one))
-                pairs = _pairs(own)
-                family = int(np.argmax(odds))
-                share = max(np.isin(t, pairs).mean() for f, t in self.templates if f == family)
-                if share >= CONFIRM:
-                    yield owner[first + k], place[first + k], family, float(p[k])
-
-
-def _varied(rng, line: bytes, prose: list[list[bytes]]) -> bytes:
-    words = line.split()
-    if rng.random() < 0.5:
+            begin, end, p = self.windows(words, at)
+            taken = np.zeros(len(words), bool)
+            for k in np.lexsort((begin, -p)):
+                b, e = begin[k], end[k]
+                if taken[b:e].any():
+                    continue
+                family = int(np.argmax(self.offsets + self.weight[_bag(words[b:e])].sum(axis=0)))
+                para = int(np.searchsorted(at, b, side="right")) - 1
+                lo, hi = max(b - AROUND, at[para]), min(e + AROUND, at[para + 1])
+                if self.share(family, words[lo:hi]) >= CONFIRM:
+                    taken[b:e] = True
+                    yield owner[first + para], place[first + para], family, float(p[k])
+
+
+def _varied(rng, words: list[bytes], prose: list[list[bytes]]) -> bytes:
+    if len(words) > 5 and rng.random() < 0.4:
         words = [w for w in words if rng.random() > 0.08] or words
     if rng.random() < 0.3 and len(words) > 8:
-        keep = int(len(words) * rng.uniform(0.75, 1))
-        begin = int(rng.integers(0, len(words) - keep + 1))
-        words = words[begin : begin + keep]
-    if prose and rng.random() < 0.5:
+        size = int(len(words) * rng.uniform(0.75, 1))
+        begin = int(rng.integers(0, len(words) - size + 1))
+        words = words[begin : begin + size]
+    if prose and rng.random() < 0.7:
         other = prose[int(rng.integers(len(prose)))]
-        cut = int(rng.integers(0, 12))
-        words = other[:cut] + words if rng.random() < 0.5 else words + other[:cut]
+        cut = int(rng.integers(0, len(other) + 1))
+        words = other[:cut] + words + other[cut:]
     return b" ".join(words)
 
 
-def train(corpus: list[str], seed: int = 17) -> Scorer:
-    """Learn from the fixed wordings and from paragraphs of corpus texts, which may be none."""
+def train(corpus: list[bytes], seed: int = 17) -> Scorer:
+    """Learn from the fixed wordings and from windows of corpus paragraphs, which may be none."""
     rng = np.random.default_rng(seed)
     families = sorted(TEMPLATES)
-    wordings = [(f, line) for f, name in enumerate(families) for line in paragraphs(TEMPLATES[name]) if line.strip()]
-    templates = []
-    for f, line in wordings:
-        for _, words, _ in word_chunks([line]):
-            templates.append((f, _pairs(words)))
-    every = np.unique(np.concatenate([t for _, t in templates]))
-    plain = [line for t in corpus for line in paragraphs(t) if line.strip()]
-    plain = [plain[i] for i in rng.permutation(len(plain))[:SAMPLE_LINES]]
-    unlike = []  # corpus paragraphs that hold half of some wording are no examples of "unknown"
-    for first, words, at in word_chunks(plain):
-        for k in range(len(at) - 1):
-            own = _pairs(words[at[k] : at[k + 1]])
-            if not np.isin(own, every).any() or max(np.isin(t, own).mean() for _, t in templates) < 0.5:
-                unlike.append(plain[first + k])
-    hard = [line for line in paragraphs(NO_LICENCE) if line.strip()]
-    prose = [line.split() for line in unlike[:500]]
-    lines, kind = [], []
-    for f, line in wordings:
-        for _ in range(VARIANTS):
-            lines.append(_varied(rng, line, prose))
+    fixed = [(families.index(f), w) for f, w in wordings()]
+    templates: list[list[np.ndarray]] = [[] for _ in families]
+    for (f, _), words in zip(fixed, _words([w for _, w in fixed]), strict=True):
+        templates[f].append(_pairs(words))
+    every = np.unique(np.concatenate([t for own in templates for t in own]))
+    lines, kind, unlike = [], [], []
+    for line, words in zip(corpus, _words(corpus), strict=True):
+        own = _pairs(words)
+        shares = [max(np.isin(t, own).mean() for t in ts) for ts in templates] if np.isin(own, every).any() else [0.0]
+        if max(shares) >= CONFIRM:  # the corpus's own examples of a licence
+            lines.append(line)
+            kind.append(int(np.argmax(shares)))
+        elif max(shares) < 0.5:  # what holds half of a wording is no example of either
+            unlike.append(line)
+    prose = [line.split()[:30] for line in unlike[:500]]
+    for f, wording in fixed:
+        for _ in range(VARIANTS if len(wording.split()) > 8 else VARIANTS // 3):
+            lines.append(_varied(rng, wording.split(), prose))
             kind.append(f)
-    for line in hard:
-        for _ in range(VARIANTS // 2):
-            lines.append(_varied(rng, line, prose))
+    for line in NO_LICENCE.split("\n"):
+        for _ in range(VARIANTS if line.strip() else 0):
+            lines.append(_varied(rng, bare(line).split(), prose))
             kind.append(-1)
     lines += unlike
     kind = np.array(kind + [-1] * len(unlike))
-    rows: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lines)
-    for first, words, at in word_chunks(lines):
-        found = list(_grams(words, at))
-        gram, owner = np.concatenate([g for g, _ in found]), np.concatenate([o for _, o in found])
-        order = np.argsort(owner, kind="stable")
-        for k, part in enumerate(np.split(gram[order], np.searchsorted(owner[order], np.arange(1, len(at) - 1)))):
-            rows[first + k] = part
+    rows = [_bag(w) if len(w) else np.zeros(0, np.int64) for w in _words(lines)]
     out = rng.random(len(lines)) < 0.2
-    known, bias = np.zeros(BUCKETS), -1.0
-    seen = np.full(BUCKETS, 1e-3)
-    weight, offsets = np.zeros((BUCKETS, len(families))), np.zeros(len(families))
-    seen_w = np.full(BUCKETS, 1e-3)
+    known, bias, seen = np.zeros(BUCKETS), -1.0, np.full(BUCKETS, 1e-3)
+    weight, offsets, seen_w = np.zeros((BUCKETS, len(families))), np.zeros(len(families)), np.full(BUCKETS, 1e-3)
     for _ in range(EPOCHS):
         for i in rng.permutation(np.flatnonzero(~out)):
             g = rows[i]
@@ -162,10 +207,21 @@ def train(corpus: list[str], seed: int = 17) -> Scorer:
                 if np.abs(p).max() > 1e-3:
                     seen_w[g] += (p * p).sum()
                     weight[g] -= RATE * p / np.sqrt(seen_w[g] * len(g))[:, None]
-    held = np.flatnonzero(out)
+    held = rng.permutation(np.flatnonzero(out))
     raw = np.array([known[rows[i]].sum() + bias for i in held])
-    curve = _curve(raw, (kind[held] >= 0).astype(float))
-    return Scorer(families, known.astype(np.float32).astype(np.float64), float(bias), curve, weight, offsets, templates)
+    true = (kind[held] >= 0).astype(float)
+    half = len(held) // 2  # one half fits the curve, the other says how good it is
+    curve = _curve(raw[:half], true[:half])
+    return Scorer(families, known.astype(np.float32).astype(np.float64), float(bias), curve, weight, offsets, templates, _calibration(_sigmoid(curve[0] * raw[half:] + curve[1]), true[half:]))
+
+
+def _calibration(p: np.ndarray, y: np.ndarray, bins: int = 10) -> dict[str, float]:
+    """Examples, mean square error of the probability, its mean distance from the true share by bins, and the share judged right."""
+    if not len(p):
+        return {"n": 0, "brier": 0.0, "error": 0.0, "right": 1.0}
+    own = np.minimum((p * bins).astype(int), bins - 1)
+    gap = sum(abs(p[own == b].sum() - y[own == b].sum()) for b in range(bins)) / len(p)
+    return {"n": len(p), "brier": float(((p - y) ** 2).mean()), "error": float(gap), "right": float(((p >= KNOWN) == (y > 0)).mean())}
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -181,36 +237,52 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(b[0]), float(b[1])
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """At most ``SAMPLE_EACH`` windows of a text's paragraphs, evenly placed."""
+    size = WINDOWS[-1]
+    for batch in batches:
+        ids, out = [], []
+        for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
+            starts = [(p, i) for p in (p.split() for p in paragraphs(text)) for i in range(0, len(p), size)]
+            for p, i in starts[:: max(1, -(-len(starts) // SAMPLE_EACH))]:
+                ids.append(doc)
+                out.append(b" ".join(p[i : i + size]))
+        yield {"doc_id": ids, "window": out}
+
+
 def licence_scorer(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Scorer:
-    """A classifier whose "unknown" paragraphs come from ``SAMPLE_DOCS`` texts chosen by a hash of their ids."""
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    got = plain.join(F.broadcast(ids), "doc_id").filter("text is not null").toPandas().sort_values(["doc_id", "text"])
-    return train(got["text"].tolist())
+    """A classifier that learns of the corpus from ``SAMPLE_DOCS`` texts, chosen by a hash of their ids; of these only windows come to the driver."""
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
+    ids = plain.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    texts = plain.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    got = mapped(texts, _sampled, "doc_id long, window binary").toPandas().sort_values(["doc_id", "window"])
+    return train([bytes(w) for w in got["window"]])
 
 
 def licence_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scorer: Scorer | None = None) -> DataFrame:
     """(doc_id, n_paragraphs, n_licence, families, licence_paragraphs, score) for each row of ``docs``.
 
     ``families`` are the distinct families found, sorted and joined by commas;
-    ``licence_paragraphs`` the numbers of their paragraphs from 0; ``score`` the
-    highest probability of a licence among them, 0 if none.  A null or empty
-    text is one empty paragraph without a licence.  Other columns are ignored.
+    ``licence_paragraphs`` the numbers of their paragraphs from 0, ascending;
+    ``n_licence`` how many these are; ``score`` the highest probability of a
+    licence among them, 0 if none.  A null, empty or blank text has no
+    paragraph.  Null ids stay null.  Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(scorer or licence_scorer(docs, doc_id, text))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         model = sent.value
-        for frame in frames:
-            texts = [t if isinstance(t, str) else None for t in frame["text"]]
+        for batch in batches:
+            texts = texts_of(batch)
             hits: list[list] = [[] for _ in texts]
             for i, place, family, p in model.find(texts):
                 hits[i].append((place, model.families[family], p))
-            yield pd.DataFrame({
-                "doc_id": frame["doc_id"], "n_paragraphs": [(t or "").count("\n") + 1 for t in texts], "n_licence": [len(h) for h in hits],
-                "families": [",".join(sorted({f for _, f, _ in h})) for h in hits], "licence_paragraphs": [[k for k, _, _ in h] for h in hits],
+            places = [sorted({k for k, _, _ in h}) for h in hits]
+            yield {
+                "doc_id": batch.column("doc_id"), "n_paragraphs": [len(paragraphs(t)) for t in texts], "n_licence": list(map(len, places)),
+                "families": [",".join(sorted({f for _, f, _ in h})) for h in hits], "licence_paragraphs": places,
                 "score": [max((p for _, _, p in h), default=0.0) for h in hits],
-            })
+            }
 
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return plain.mapInPandas(run, "doc_id long, n_paragraphs long, n_licence long, families string, licence_paragraphs array<long>, score double")
+    return mapped(plain, run, "doc_id long, n_paragraphs long, n_licence long, families string, licence_paragraphs array<long>, score double")

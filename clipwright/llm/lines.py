@@ -1,16 +1,23 @@
 """Incremental, reversible line deduplication.
 
-State is three tables in the shared folder, all dealt over shards of the key:
-
-* ``postings``: (shard, k1, k2, doc_id), one row for each document that holds a key;
-* ``counts``: the exact reference count of each key and the largest document holding it;
-* ``filters``: for each shard one cuckoo filter over the keys it counts.
-
-An insertion asks the shard's filter first.  A key it has never seen cannot be
-in the exact tables, so its count is appended without a lookup; only possible
-members meet the count table.  A deletion takes a document's postings out,
-recounts the keys it held and removes the fingerprint of a key whose last
-reference went.  Filters only ever screen: every answer is from exact counts.
+State lies in the shared folder, in tables that an insertion only adds to:
+
+* ``postings``: (k1, k2, doc_id), one row for each document that holds a key;
+* ``counts``: (k1, k2, n_docs, max_doc, seen): how many documents of one
+  insertion hold a key, and the largest of them;
+* ``filters``: for each shard of the keys its cuckoo filters.
+
+An insertion asks the filters of its keys' shards first.  A key that they have
+never seen cannot be counted yet, so its row is final until some later row says
+``seen``; only possible members meet the exact table, and only keys with such a
+row are ever summed.  Then the new keys go into the shard's last filter, or
+into a new one of twice its room when that is full.
+Shards double as keys grow; both halves start with copies of the filters, which
+may answer "seen" too often and never too seldom.
+
+A deletion takes documents' postings out, recounts the keys they held, writes
+both tables anew and removes the fingerprints of keys whose last reference
+went.  Filters only ever screen: every answer is from exact counts.
 """
 
 from __future__ import annotations
@@ -31,6 +38,10 @@ SLOTS = 4
 #: A filter is built for at least so many keys and with this share of its slots used.
 LEAST_KEYS, FILL = 64, 0.85
 KEYS_PER_SHARD = 100_000
+#: Parts that a whole table is inserted in, each screened by the filters of those before it.
+INSERTIONS = 2
+#: Repeated keys (24 bytes each) up to this number are broadcast to the postings; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 _KICKS = 500
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -124,18 +135,28 @@ class CuckooFilter:
             prints, place = prints[~done], place[~done]
         return not len(prints)
 
-    def remove(self, hashes: np.ndarray) -> None:
-        """Take out keys that were inserted, one fingerprint each."""
-        for fp, one, two in zip(*self._places(hashes), strict=True):
+    def remove(self, hashes: np.ndarray) -> np.ndarray:
+        """Take out keys that were inserted, one fingerprint each; which were found."""
+        found = np.zeros(len(hashes), bool)
+        for i, (fp, one, two) in enumerate(zip(*self._places(hashes), strict=True)):
             for place in (one, two):
                 at = np.flatnonzero(self.table[place] == fp)
                 if len(at):
                     self.table[place, at[0]] = 0
+                    found[i] = True
                     break
+        return found
+
+    def room(self) -> int:
+        """Keys that it can take before it holds the share ``FILL`` of its slots."""
+        return int(self.table.size * FILL) - int(np.count_nonzero(self.table))
 
+    def copy(self) -> CuckooFilter:
+        return CuckooFilter(0, self.table.copy())
 
-def filter_of(hashes: np.ndarray) -> CuckooFilter:
-    size = len(hashes)
+
+def filter_of(hashes: np.ndarray, room: int = 0) -> CuckooFilter:
+    size = max(len(hashes), room)
     while True:
         made = CuckooFilter(size)
         if made.insert(hashes):
@@ -162,114 +183,148 @@ class LineIndex:
     """Exact line references of a set of documents, kept up under insertions and deletions.
 
     Documents are known by their integer id; a row with a null id is passed
-    over, and rows that repeat an id count as one document holding the lines
-    of all.  Null and empty texts hold no key.
+    over, and rows of one insertion that repeat an id count as one document
+    holding the lines of all.  A document that is held must be deleted before
+    it is inserted again.  Null and empty texts hold no key.
     """
 
-    def __init__(self, spark: SparkSession, shards: int, min_chars: int = MIN_CHARS):
-        self.spark, self.shards, self.min_chars = spark, shards, min_chars
-        self.postings: Kept | None = None
-        self.counts: Kept | None = None
+    def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS):
+        self.spark, self.min_chars, self.shards, self.keys = spark, min_chars, 1, 0
+        self.postings: list[Kept] = []
+        self.counts: list[Kept] = []
         self.filters: Kept | None = None
 
-    def keys_of(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """(shard, k1, k2, doc_id): each document's distinct long keys."""
-        plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
-        return plain.mapInPandas(_postings(self.min_chars), "doc_id long, k1 long, k2 long").select(F.expr(f"cast(pmod(k2, {self.shards}) as int)").alias("shard"), "k1", "k2", "doc_id")
-
     def insert(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
-        rows = keep(self.keys_of(docs, doc_id, text))
-        if self.postings is None:
-            self.postings = rows
-            self.counts = keep(_counted(rows.df))
-            self._rebuild(self.counts.df)
-            return
-        new = keep(rows.df.distinct().join(self.postings.df, ["shard", "k1", "k2", "doc_id"], "left_anti"))
-        rows.drop()
-        fresh = keep(_counted(new.df))
-        asked = keep(self._asked(fresh.df))
-        known = asked.df.filter("seen").select("shard", "k1", "k2")
-        # Only possible members meet the exact table; the others are appended as they are.
-        old = self.counts.df.join(known, ["shard", "k1", "k2"], "left_semi")
-        met = old.union(fresh.df.join(known, ["shard", "k1", "k2"], "left_semi")).groupBy("shard", "k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
-        counts = keep(self.counts.df.join(known, ["shard", "k1", "k2"], "left_anti").union(met)
-                      .union(fresh.df.join(known, ["shard", "k1", "k2"], "left_anti")))
-        postings = keep(self.postings.df.union(new.df))
-        self._swap(postings, counts)
-        self._rebuild(self.counts.df)
-        for t in (new, fresh, asked):
-            t.drop()
+        plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
+        new = keep(plain.mapInPandas(_postings(self.min_chars), "doc_id long, k1 long, k2 long").select("k1", "k2", "doc_id").distinct())
+        counted = keep(_counted(new.df).withColumn("seen", F.lit(False)))
+        total = counted.df.count()
+        self._spread(total)
+        fresh = counted.df
+        if self.filters:
+            asked = keep(self._sharded(counted.df).groupBy("shard").cogroup(self.filters.df.groupBy("shard")).applyInPandas(_ask, _COUNTS))
+            counted.drop()
+            counted = asked
+            # of possible members those that the exact table lacks are new after all
+            fresh = asked.df.filter("not seen").union(asked.df.filter("seen").join(_union(self.counts), ["k1", "k2"], "left_anti"))
+        self._learn(fresh)
+        self.keys += total
+        self.postings.append(new)
+        self.counts.append(counted)
 
     def delete(self, ids: DataFrame, doc_id: str = "doc_id") -> None:
         """Take whole documents out; ids that are not held change nothing."""
-        if self.postings is None:
+        if not self.postings:
             return
-        out = ids.select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
-        lost = keep(self.postings.df.join(out, "doc_id", "left_semi").select("shard", "k1", "k2").distinct())
-        postings = keep(self.postings.df.join(out, "doc_id", "left_anti").select("shard", "k1", "k2", "doc_id"))
-        recount = _counted(postings.df.join(lost.df, ["shard", "k1", "k2"], "left_semi"))
-        counts = keep(self.counts.df.join(lost.df, ["shard", "k1", "k2"], "left_anti").union(recount))
-        gone = lost.df.join(counts.df, ["shard", "k1", "k2"], "left_anti")
-        filters = keep(self.filters.df.groupBy("shard").cogroup(gone.groupBy("shard")).applyInPandas(_forget, "shard int, cuckoo binary"))
-        self.filters.drop()
-        self.filters = filters
-        self._swap(postings, counts)
+        out, held = ids.select(F.col(doc_id).cast("long").alias("doc_id")).distinct(), _union(self.postings)
+        lost = keep(held.join(out, "doc_id", "left_semi").select("k1", "k2").distinct())
+        postings = keep(held.join(out, "doc_id", "left_anti").select("k1", "k2", "doc_id"))
+        recount = _counted(postings.df.join(lost.df, ["k1", "k2"], "left_semi"))
+        counts = keep(self.totals().join(lost.df, ["k1", "k2"], "left_anti").union(recount).withColumn("seen", F.lit(False)))
+        gone = self._sharded(lost.df.join(counts.df, ["k1", "k2"], "left_anti"))
+        filters = keep(self.filters.df.groupBy("shard").cogroup(gone.groupBy("shard")).applyInPandas(_forget, _FILTERS))
+        self.close()
+        self.postings, self.counts, self.filters = [postings], [counts], filters
         lost.drop()
 
-    def _swap(self, postings: Kept, counts: Kept) -> None:
-        self.postings.drop()
-        self.counts.drop()
-        self.postings, self.counts = postings, counts
+    def _sharded(self, keys: DataFrame) -> DataFrame:
+        return keys.withColumn("shard", F.expr(f"cast(pmod(k2, {self.shards}) as int)"))
 
-    def _asked(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy("shard").cogroup(self.filters.df.groupBy("shard")).applyInPandas(_ask, "shard int, k1 long, k2 long, seen boolean")
+    def _spread(self, more: int) -> None:
+        """Double the shards until each is to hold ``KEYS_PER_SHARD`` keys at most; key k2 of shard s goes to s or to s and the old number of shards."""
+        old = self.shards
+        while self.shards * KEYS_PER_SHARD < self.keys + more:
+            self.shards *= 2
+        if self.filters and old < self.shards:
+            grown = keep(self.filters.df.withColumn("shard", F.explode(F.expr(f"transform(sequence(0, {self.shards // old - 1}), i -> shard + i * {old})"))))
+            self.filters.drop()
+            self.filters = grown
 
-    def _rebuild(self, counts: DataFrame) -> None:
-        made = keep(counts.select("shard", "k1").groupBy("shard").applyInPandas(_build, "shard int, cuckoo binary"))
+    def _learn(self, keys: DataFrame) -> None:
+        new = self._sharded(keys.select("k1", "k2")).groupBy("shard")
         if self.filters:
+            made = keep(self.filters.df.groupBy("shard").cogroup(new).applyInPandas(_extend, _FILTERS))
             self.filters.drop()
+        else:
+            made = keep(new.applyInPandas(lambda rows: _extend(rows.iloc[:0], rows), _FILTERS))
         self.filters = made
 
+    def totals(self) -> DataFrame:
+        """(k1, k2, n_docs, max_doc): the exact count of each key; only keys that some insertion met again are summed."""
+        rows = _union(self.counts)
+        if len(self.counts) < 2:
+            return rows.drop("seen")
+        again = rows.filter("seen").select("k1", "k2").distinct()
+        summed = rows.join(again, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        return rows.join(again, ["k1", "k2"], "left_anti").drop("seen").union(summed)
+
     def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """(shard, k1, k2, max_doc) of keys that at least so many documents hold."""
-        return self.counts.df.filter(F.col("n_docs") >= min_docs).select("shard", "k1", "k2", "max_doc")
+        """(k1, k2, max_doc) of keys that at least so many documents hold."""
+        return self.totals().filter(F.col("n_docs") >= min_docs).select("k1", "k2", "max_doc")
 
     def drops(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """(doc_id, drop): for each document the keys whose lines it loses."""
-        hits = self.postings.df.join(self.repeated(min_docs), ["shard", "k1", "k2"]).filter("doc_id <> max_doc")
-        return hits.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
+        many = keep(self.repeated(min_docs))
+        keys = F.broadcast(many.df) if many.df.count() <= BROADCAST_KEYS else many.df
+        hits = _union(self.postings).join(keys, ["k1", "k2"]).filter("doc_id <> max_doc")
+        lost = keep(hits.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("drop")))
+        many.drop()
+        return lost.df
 
     def close(self) -> None:
-        for t in (self.postings, self.counts, self.filters):
+        for t in (*self.postings, *self.counts, self.filters):
             if t:
                 t.drop()
+        self.postings, self.counts, self.filters = [], [], None
+
+
+_COUNTS = "k1 long, k2 long, n_docs long, max_doc long, seen boolean"
+_FILTERS = "shard int, gen int, cuckoo binary"
+
+
+def _union(tables: list[Kept]) -> DataFrame:
+    out = tables[0].df
+    for t in tables[1:]:
+        out = out.union(t.df)
+    return out
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("shard", "k1", "k2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+    """Of distinct (k1, k2, doc_id)."""
+    return rows.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
 
-def _build(frame: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"shard": frame["shard"].iloc[:1], "cuckoo": [filter_of(frame["k1"].to_numpy()).to_bytes()]})
+def _loaded(filters: pd.DataFrame) -> list[CuckooFilter]:
+    return [CuckooFilter.of_bytes(raw) for raw in filters.sort_values("gen")["cuckoo"]]
 
 
 def _ask(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    seen = CuckooFilter.of_bytes(filters["cuckoo"].iloc[0]).contains(rows["k1"].to_numpy()) if len(filters) and len(rows) else np.zeros(len(rows), bool)
-    return pd.DataFrame({"shard": rows["shard"], "k1": rows["k1"], "k2": rows["k2"], "seen": seen})
+    keys = rows["k1"].to_numpy(np.int64)
+    seen = np.zeros(len(rows), bool)
+    for held in _loaded(filters):
+        seen |= held.contains(keys)
+    return rows.assign(seen=seen)[["k1", "k2", "n_docs", "max_doc", "seen"]]
+
+
+def _extend(filters: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """The shard's filters with new keys in the last of them, or in one more of twice its room."""
+    if not len(rows):
+        return filters[["shard", "gen", "cuckoo"]]
+    keys, made = rows["k1"].to_numpy(np.int64), _loaded(filters)
+    last = made[-1].copy() if made else None
+    if last and last.room() >= len(keys) and last.insert(keys):
+        made[-1] = last
+    else:
+        made.append(filter_of(keys, int(2 * last.table.size * FILL) if last else 0))
+    return pd.DataFrame({"shard": int(rows["shard"].iloc[0]), "gen": np.arange(len(made)), "cuckoo": [m.to_bytes() for m in made]})
 
 
 def _forget(filters: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
-    if len(filters) and len(gone):
-        now = CuckooFilter.of_bytes(filters["cuckoo"].iloc[0])
-        now.remove(gone["k1"].to_numpy())
-        filters = filters.assign(cuckoo=[now.to_bytes()])
-    return filters[["shard", "cuckoo"]]
-
-
-def shards_for(docs: DataFrame, text: str = "text") -> int:
-    """A shard for about every ``KEYS_PER_SHARD`` lines, from the size of all texts."""
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    return max(12, int(chars // 200 // KEYS_PER_SHARD))
+    """A key's fingerprint goes from the first filter that holds it."""
+    made, keys = _loaded(filters), gone["k1"].to_numpy(np.int64)
+    for held in made:
+        keys = keys[~held.remove(keys)]
+    return filters.sort_values("gen").assign(cuckoo=[m.to_bytes() for m in made])[["shard", "gen", "cuckoo"]]
 
 
 _CUT = "n_lines long, n_dropped long, kept_sha256 string, kept_text string"
@@ -294,13 +349,14 @@ def _cut(least: int):
 
 def _deduped(docs: DataFrame, doc_id: str, text: str, min_chars: int, min_docs: int) -> DataFrame:
     """(k, row, cut): each row of ``docs`` whole, with what its lines come to."""
-    index = LineIndex(docs.sparkSession, shards_for(docs, text), min_chars)
-    index.insert(docs, doc_id, text)
-    drops = keep(index.drops(min_docs))
+    index = LineIndex(docs.sparkSession, min_chars)
+    for i in range(INSERTIONS):
+        index.insert(docs.filter(F.expr(f"pmod(xxhash64(cast(`{doc_id}` as long)), {INSERTIONS}) = {i}")), doc_id, text)
+    drops = index.drops(min_docs)
     index.close()
     packed = docs.select(F.col(doc_id).cast("long").alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # one plan at every size: a small side would be broadcast below some size and the texts shuffled above it
-    joined = packed.join(drops.df.withColumnRenamed("doc_id", "k").hint("merge"), "k", "left")
+    joined = packed.join(drops.withColumnRenamed("doc_id", "k").hint("merge"), "k", "left")
     return joined.select("k", "row", _cut(min_chars)(F.col("row")[text], F.col("drop.k1"), F.col("drop.k2")).alias("cut"))
 
 

@@ -16,9 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import mapped, texts_of
+
 SPACE = "▁"
 #: Texts are encoded together until their characters pass this.
 TOGETHER = 1 << 20
@@ -120,12 +123,9 @@ class Encoder:
         norm = spec.normalizer_spec
         self.normalise = Normaliser(CharacterMap(norm.precompiled_charsmap) if norm.precompiled_charsmap else None, norm.add_dummy_prefix, norm.remove_extra_whitespaces, norm.escape_whitespaces)
         pieces = [p.piece for p in spec.pieces]
+        self.raw = [bytes([int(p.piece[1:-1], 16)]) if p.type == p.BYTE else p.piece.encode() for p in spec.pieces]
         self.sizes = np.array([1 if p.type == p.BYTE else len(p.piece.encode()) for p in spec.pieces], np.int64)
         self.unknown = self.lib.unk_id()
-        #: The map changes nothing, one space is put first and spaces are rewritten.
-        self.plain = not norm.precompiled_charsmap and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces
-        #: Source bytes of a piece where only spaces are rewritten.
-        self.source_sizes = np.array([1 if p.type == p.BYTE else len(p.piece.replace(SPACE, " ").encode()) for p in spec.pieces], np.int64)
         self._names = [str(i) for i in range(len(pieces))]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
@@ -135,17 +135,25 @@ class Encoder:
         """The decimal ids joined by commas."""
         return ",".join(map(self._names.__getitem__, ids))
 
+    def _with_unknown(self, norm: bytes, ids: list[int]) -> np.ndarray:
+        """Normalised bytes of each piece where some are unknown: such a run, which the library leaves whole, reaches to where the next piece is found."""
+        out, at = [], 0
+        for i, piece in enumerate(ids):
+            if piece != self.unknown:
+                out.append(int(self.sizes[piece]))
+            elif i + 1 == len(ids):
+                out.append(len(norm) - at)
+            else:
+                out.append(max(norm.find(self.raw[ids[i + 1]], at + 1) - at, 1))
+            at += out[-1]
+        return np.array(out, np.int64)
+
     def spans(self, text: str, ids: list[int]) -> np.ndarray:
         """(pieces, 2) byte spans of the original text."""
-        if self.plain and len(ids) and SPACE not in text:
-            ends = np.cumsum(self.source_sizes[ids]) - 1
-            if ends[-1] != len(text.encode("utf-8", "surrogatepass")):
-                raise ValueError("the pieces do not cover the text")
-            return np.stack((np.concatenate(([0], ends[:-1])), ends), axis=1)
-        if self.unknown in ids:
-            raise ValueError("a piece of unknown length; use a model with byte fallback")
         norm, src = self.normalise(text)
         sizes = self.sizes[ids] if len(ids) else np.zeros(0, np.int64)
+        if self.unknown in ids:
+            sizes = self._with_unknown(norm, ids)
         ends = np.cumsum(sizes)
         if (ends[-1] if len(ends) else 0) != len(norm):
             raise ValueError("the pieces do not cover the normalised text")
@@ -174,36 +182,41 @@ def _sha(raw: bytes) -> str:
 
 
 def _digests(path: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         enc = encoder(path)
-        for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-            rows = []
+        for batch in batches:
+            texts, rows = [t or "" for t in texts_of(batch)], []
             for part in _groups(texts):
                 for text, ids in zip(part, enc.encode_all(part), strict=True):
                     spans = enc.spans(text, ids)
                     decoded = enc.lib.decode(ids).encode("utf-8", "surrogatepass")
-                    rows.append((len(ids), _sha(enc.joined(ids).encode()), _sha(decoded), int((spans[:, 1] - spans[:, 0]).sum())))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "n_span_bytes"])
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield out
+                    rows.append((len(ids), _sha(enc.joined(ids).encode()), _sha(decoded), int((spans[:, 1] - spans[:, 0]).sum()), _sha(spans.astype("<i8").tobytes())))
+            columns = map(list, zip(*rows, strict=True)) if rows else ([] for _ in range(5))
+            yield {"doc_id": batch.column("doc_id")} | dict(zip(("n_tokens", "ids_sha256", "decoded_sha256", "n_span_bytes", "spans_sha256"), columns, strict=True))
 
     return run
 
 
 def piece_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_span_bytes) for each row.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_span_bytes, spans_sha256) for each row.
 
-    A null text counts as empty, an empty one has no ids.  ``n_span_bytes`` is
-    what the spans of all pieces cover; in a model that normalises nothing
-    away it is the size of the text.  Other columns are ignored.
+    A null text counts as empty, an empty one has no ids; null ids stay null.
+    ``n_span_bytes`` is what the spans of all pieces cover; in a model that
+    normalises nothing away it is the size of the text.  ``spans_sha256`` is of
+    the spans, begins and ends as 64-bit little-endian integers.  Other columns
+    are ignored.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return plain.mapInPandas(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_span_bytes long")
+    return mapped(plain, _digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_span_bytes long, spans_sha256 string")
+
 
+def encode_spans(docs: DataFrame, path: str, text: str = "text", into: str = "pieces") -> DataFrame:
+    """``docs`` with ``into``: an array of (id, begin, end), the end exclusive, over the text's UTF-8 bytes.
 
-def encode_spans(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``pieces``: an array of (id, begin, end), the end exclusive, over the text's UTF-8 bytes."""
+    Raises ValueError if ``docs`` has a column of that name already.
+    """
+    if into.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {into}; choose another name")
 
     @F.pandas_udf("array<struct<id: int, begin: long, end: long>>")
     def pieces(texts: pd.Series) -> pd.Series:
@@ -214,4 +227,4 @@ def encode_spans(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 out.append([{"id": i, "begin": b, "end": e} for i, (b, e) in zip(ids, enc.spans(t, ids).tolist(), strict=True)])
         return pd.Series(out)
 
-    return docs.withColumn("pieces", pieces(F.col(text)))
+    return docs.withColumn(into, pieces(F.col(text)))

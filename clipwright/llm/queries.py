@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from . import html_text, jaccard, leaks, licences, lines, pieces, quality, token_counts, toxicity, vectors
@@ -15,9 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def piece_model() -> str:
-    """The sentencepiece model: ``PIECE_MODEL`` in the environment, else the installed public one."""
-    if found := os.environ.get("PIECE_MODEL"):
-        return found
+    """The installed public sentencepiece model."""
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")

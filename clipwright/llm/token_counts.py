@@ -18,10 +18,12 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import mapped, texts_of
+
 MARK = "▁"
 CACHED_WORDS = 400_000
 CACHED_CHARS = 64
@@ -127,12 +129,12 @@ def of_model(path: str) -> Automaton:
 
 
 def _counts(path: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         count, known = of_model(path).count, {}
-        for frame in frames:
+        for batch in batches:
             words, tokens = [], []
-            for text in frame["text"]:
-                found = _WORD.findall(text) if isinstance(text, str) else []
+            for text in texts_of(batch):
+                found = _WORD.findall(text or "")
                 n = 0
                 for w in found:
                     k = known.get(w)
@@ -143,12 +145,12 @@ def _counts(path: str):
                     n += k
                 words.append(len(found))
                 tokens.append(n)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n_words": words, "n_tokens": tokens})
+            yield {"doc_id": batch.column("doc_id"), "n_words": words, "n_tokens": tokens}
 
     return run
 
 
 def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_tokens) for each row; null, empty and wordless texts have 0 of both.  Other columns are ignored."""
+    """(doc_id, n_words, n_tokens) for each row; null, empty and wordless texts have 0 of both, null ids stay null.  Other columns are ignored."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return plain.mapInPandas(_counts(path), "doc_id long, n_words long, n_tokens long")
+    return mapped(plain, _counts(path), "doc_id long, n_words long, n_tokens long")

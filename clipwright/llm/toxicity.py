@@ -2,15 +2,18 @@
 
 A word is the mean of the vectors of its character n-grams and of itself, all
 hashed into one table; a window of words is the mean of its words; a linear
-softmax over the window says toxic or not.  Vectors and softmax are learned
-together in numpy from a bounded sample.  A misspelt word shares most n-grams
-with the word it stands for, so it lies near it though it was never seen.
+softmax of two classes over the window says toxic or not.  Vectors and softmax
+are learned together in numpy from a bounded sample.  A misspelt word shares
+most n-grams with the word it stands for, so it lies near it though it was
+never seen.
 
 Toxic words are few in a long text and its mean would drown them, so a text is
 judged by its windows: learning takes windows at random at first, then the most
-toxic window of each text.  A last, small logistic fit on texts kept out of the
-gradients turns the highest window, the mean and the length into a probability
-at the corpus's own rate of toxic texts.
+toxic window of each text.  A text shorter than a window is filled up with the
+mean word of clean texts, so that few words are little evidence either way and
+none are none.  A last, small logistic fit on texts kept out of the gradients,
+and on short cuts of them, turns the highest window, the mean and the length
+into a probability at the corpus's own rate of toxic texts.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ from .labelled import sample, scored
 #: Labelled texts of either class that are learned from.
 SAMPLE_EACH = 3000
 BUCKETS, DIM, GRAMS = 1 << 17, 12, (3, 4, 5)
-WINDOW, BATCH, RATE = 20, 64, 0.25
+WINDOW, BATCH, RATE = 20, 64, 0.18
 #: Epochs at least, steps at least, and the share of epochs with windows at random.
 EPOCHS, STEPS, WARM = 12, 1200, 0.3
+#: How much odds grow with a window's vector, and what short cuts count beside whole texts in the last fit.
+SHARP, SHORT_SHARE = 20, 0.25
 THRESHOLD = 0.5
 CACHED_WORDS, CACHED_CHARS = 400_000, 64
 _WORD = re.compile(r"[^\s.,;:!?|\"()]+")
@@ -38,7 +43,14 @@ _STEP = np.random.default_rng(11).integers(1, 2**62, 8, dtype=np.int64).astype(_
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """The words, without those said among the ``WINDOW`` before them: what is repeated is not more toxic for that."""
+    last: dict[str, int] = {}
+    out = []
+    for i, w in enumerate(_WORD.findall(text.lower())):
+        if i - last.get(w, i - WINDOW - 1) > WINDOW:
+            out.append(w)
+        last[w] = i
+    return out
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,22 +82,22 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _window_means(u: np.ndarray) -> np.ndarray:
+def _window_means(u: np.ndarray, clean: float = 0.0) -> np.ndarray:
     if len(u) <= WINDOW:
-        return np.array([u.sum() / WINDOW if len(u) else 0.0])
+        return np.array([(u.sum() + (WINDOW - len(u)) * clean) / WINDOW])
     c = np.concatenate(([0.0], np.cumsum(u)))
     return (c[WINDOW:] - c[:-WINDOW]) / WINDOW
 
 
 class Scorer:
-    """What a bucket adds to the log odds, and how windows become a probability."""
+    """What a bucket adds to the log odds, the mean word of clean texts, and how windows become a probability."""
 
-    def __init__(self, weight: np.ndarray, fit: np.ndarray):
-        self.weight, self.fit = weight, fit
+    def __init__(self, weight: np.ndarray, fit: np.ndarray, clean: float = 0.0):
+        self.weight, self.fit, self.clean = weight, fit, clean
         self._known: dict[str, float] = {}
 
     def __getstate__(self):
-        return {"weight": self.weight, "fit": self.fit, "_known": {}}
+        return {"weight": self.weight, "fit": self.fit, "clean": self.clean, "_known": {}}
 
     def word_values(self, words: list[str]) -> np.ndarray:
         who, what = _grams(words)
@@ -101,8 +113,8 @@ class Scorer:
             known.update((w, got[w]) for w in new[: max(room, 0)] if len(w) <= CACHED_CHARS)
             for ws in split:
                 u = np.array([known[w] if w in known else got[w] for w in ws])
-                m = _window_means(u)
-                out.append((m.max(), u.mean() if len(u) else 0.0, np.log1p(len(u))))
+                m = _window_means(u, self.clean)
+                out.append((m.max(), u.mean() if len(u) > WINDOW else m[0], np.log1p(max(len(u), WINDOW))))
         return np.array(out).reshape(-1, 3)
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -140,8 +152,8 @@ def train(texts: list[str], y: np.ndarray, rate_of_toxic: float, seed: int = 3)
     what = what[order]
     first = np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(number)))))
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
-    soft, bias = rng.normal(0, 0.3, DIM), 0.0
-    seen_table, seen_soft, seen_bias = np.full(BUCKETS, 1e-4), np.full(DIM, 1e-4), 1e-4
+    soft, bias = rng.normal(0, 0.2, (DIM, 2)), np.zeros(2)
+    seen_table, seen_soft, seen_bias = np.full(BUCKETS, 1e-4), np.full((DIM, 2), 1e-4), np.full(2, 1e-4)
     kept_out = rng.random(len(docs)) < 0.25
     learn = np.array([i for i in range(len(docs)) if len(docs[i]) and not kept_out[i]], np.int64)
     share = y[learn].mean() if len(learn) else 0.5
@@ -151,7 +163,7 @@ def train(texts: list[str], y: np.ndarray, rate_of_toxic: float, seed: int = 3)
     for epoch in range(epochs):
         late = epoch >= WARM * epochs
         if late:
-            flat = table @ soft
+            flat = table @ (soft[:, 1] - soft[:, 0])
             value = np.bincount(who[order], flat[what], len(number)) / np.maximum(np.diff(first), 1)
         rng.shuffle(learn)
         for at in range(0, len(learn), BATCH):
@@ -169,26 +181,43 @@ def train(texts: list[str], y: np.ndarray, rate_of_toxic: float, seed: int = 3)
             share_of = np.repeat(1 / (n * n_words[text]), n)
             of = np.repeat(text, n)
             hidden = np.stack([np.bincount(of, table[gram, d] * share_of, len(takes)) for d in range(DIM)], axis=1)
-            error = (_sigmoid(hidden @ soft * 20 + bias) - y[batch]) * balance[batch]
-            step = error[of] * share_of * 20
-            g = np.bincount(gram, step, BUCKETS)
+            odds = hidden @ soft * SHARP + bias
+            p = np.exp(odds - odds.max(axis=1, keepdims=True))
+            error = (p / p.sum(axis=1, keepdims=True) - np.stack((1 - y[batch], y[batch]), axis=1)) * balance[batch][:, None]
+            # the errors of two classes are opposite, so a gram moves along the difference of their vectors
+            lean = soft[:, 1] - soft[:, 0]
+            g = np.bincount(gram, error[of, 1] * share_of * SHARP, BUCKETS)
             hit = np.flatnonzero(g)
-            seen_table[hit] += g[hit] ** 2 * (soft @ soft) / DIM
-            d_soft, d_bias = (error[:, None] * hidden).sum(0) * 20, error.sum()
-            table[hit] -= RATE * (g[hit] / np.sqrt(seen_table[hit]))[:, None] * soft / np.sqrt(DIM) * 0.2
+            seen_table[hit] += g[hit] ** 2 * (lean @ lean) / DIM
+            d_soft, d_bias = hidden.T @ error * SHARP, error.sum(axis=0)
+            table[hit] -= RATE * (g[hit] / np.sqrt(seen_table[hit]))[:, None] * lean / np.sqrt(DIM) * 0.2
             seen_soft += d_soft**2
             seen_bias += d_bias**2
             soft -= 0.5 * RATE * d_soft / np.sqrt(seen_soft)
             bias -= 0.5 * RATE * d_bias / np.sqrt(seen_bias)
-    scorer = Scorer(table @ soft * 20, None)
+    scorer = Scorer(table @ (soft[:, 1] - soft[:, 0]) * SHARP, None)
+    value = scorer.word_values(list(number))
+    plain = [docs[i] for i in learn if y[i] == 0]
+    scorer.clean = float(value[np.concatenate(plain)].mean()) if plain else 0.0
     fit_on = np.flatnonzero(kept_out) if len(set(y[kept_out].tolist())) == 2 else np.arange(len(docs))
-    x = scorer.features([texts[i] for i in fit_on])
+    cuts = [_cut(rng, docs[i], value, y[i] > 0) for i in fit_on]
+    names = np.array(list(number), dtype=object)
+    x = scorer.features([texts[i] for i in fit_on] + [" ".join(names[c]) for c in cuts])
     t = y[fit_on]
     weight = np.where(t > 0, rate_of_toxic / t.mean(), (1 - rate_of_toxic) / (1 - t.mean()))
-    scorer.fit = _calibrate(x, t, weight)
+    scorer.fit = _calibrate(x, np.concatenate((t, t)), np.concatenate((weight, weight * SHORT_SHARE)))
     return scorer
 
 
+def _cut(rng, words: np.ndarray, value: np.ndarray, toxic: bool) -> np.ndarray:
+    """Some words in a row: any of a clean text, those around its most toxic one of a toxic text."""
+    n = int(rng.integers(0, WINDOW + 1))
+    at = int(rng.integers(0, max(len(words) - n, 0) + 1))
+    if toxic and len(words):
+        n, at = max(n, 3), max(int(np.argmax(value[words])) - int(rng.integers(0, max(n, 3))), 0)
+    return words[at : at + n]
+
+
 def toxicity_scorer(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> Scorer:
     got, counts = sample(docs, labels, "toxic", each)
     rate = counts[1] / max(sum(counts.values()), 1)
@@ -198,9 +227,9 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH)
 def toxicity_scores(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``.
 
-    Null, empty and wordless texts are scored like a text of no toxic window.
+    Null, empty and wordless texts are scored like a window of mean clean words.
     Without labels of both classes every text has the rate of the one seen.
-    Other columns are ignored.
+    Null ids stay null.  Other columns are ignored.
     """
     return scored(docs, toxicity_scorer(docs, labels, each), THRESHOLD)
 

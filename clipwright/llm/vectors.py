@@ -7,11 +7,12 @@ wanted recall at the threshold, by the same formula at every size: a pair at
 the threshold angle agrees in one bit with p = 1 - angle/pi, so T tables of k
 bits miss it with (1 - p^k)^T.
 
-Equal vectors are one class and hashed once.  Within a bucket blocks of
-bounded size are compared by matrix products; a task gives out counts of links
-and a star of edges, never the pairs, so a dense bucket costs rows in
-proportion to its members.  A pair that meets in several tables counts in the
-first of them.
+Equal vectors are one class and hashed once.  Vectors travel in the precision
+they come in.  A bucket of up to ``BLOCK`` classes is compared at once by a
+matrix product; a larger one is cut into blocks of half that size, and each two
+of its blocks meet in one task, so of m classes each travels 2 m / ``BLOCK``
+times.  A task gives out counts of links and a star of edges, never the pairs.
+A pair that meets in several tables counts in the first of them.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ RECALL = 0.9999
 #: Vectors of a label that a bucket is to hold on average, were they unrelated.
 BUCKET = 48
 #: Buckets above this number of classes are cut into blocks, compared block by block.
-BLOCK = 512
+BLOCK = 2048
 SEED = 7
 
 
@@ -52,8 +53,11 @@ def _signs(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return on @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def _unit(raw, dims) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), dims)
+def _unit(raw, dims: int) -> np.ndarray:
+    """Unit vectors in double precision; scaled by their largest component first, so that no square overflows or vanishes."""
+    joined = b"".join(raw)
+    x = np.frombuffer(joined, f"<f{len(joined) // (len(raw) * dims)}").reshape(len(raw), dims).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -138,19 +142,23 @@ def _compared(bits: int, tables: int, cosine: float):
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row.
 
-    Only rows of one and the same label are compared.  A null label, a null or
-    empty vector, a null or non-finite component or a zero vector links with
-    nothing; vectors of different length never link.  Other columns are ignored.
+    Only rows of one and the same label are compared; a label that is no integer
+    is known by its 64-bit hash.  A null id or label, a null or empty vector, a
+    null or non-finite component or a zero vector links with nothing and is
+    counted by none; vectors of different length never link.  Rows that repeat
+    an id are vectors of their own.  Other columns are ignored.
     """
-    plain = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<double>").alias("e"))
-    finite = "e is not null and size(e) > 0 and label is not null and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(e, x -> x <> 0)"
+    whole = vectors.schema[label].dataType.typeName() in ("byte", "short", "integer", "long")
+    kind = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
+    plain = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), (F.col(label).cast("long") if whole else F.when(F.col(label).isNotNull(), F.xxhash64(label))).alias("label"), F.col(embedding).cast(kind).alias("e"))
+    finite = "vec_id is not null and e is not null and size(e) > 0 and label is not null and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(e, x -> x <> 0)"
     good = plain.withColumn("ok", F.coalesce(F.expr(finite), F.lit(False)))
     # -0.0 and 0.0 are one value
-    good = good.withColumn("key", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.expr("transform(e, x -> cast(x + 0.0D as string))")), 256)))
+    good = good.withColumn("key", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.expr("transform(e, x -> cast(if(x = 0, abs(x), x) as string))")), 256)))
     classes = keep(good.filter("ok").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("e").alias("e")))
     most = classes.df.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = bits_and_tables(most, cosine)
-    packed = classes.df.mapInPandas(_pack, "rep long, n long, label long, dims int, raw binary")
+    packed = classes.df.mapInPandas(_pack(np.float32 if kind == "array<float>" else np.float64), "rep long, n long, label long, dims int, raw binary")
     rows = packed.mapInPandas(_hashed(bits, tables), "label long, dims int, tab int, code long, rep long, n long, raw binary")
     bucket = ["label", "dims", "tab", "code"]
     codes = rows.select(*bucket, "rep")
@@ -168,9 +176,12 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         t.drop()
     linked = good.filter("ok").select("vec_id", "key").join(answer.df, "key").select("vec_id", "n_links", "component_id")
     alone = good.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        yield pd.DataFrame({"rep": f["rep"], "n": f["n"], "label": f["label"], "dims": [len(e) for e in f["e"]], "raw": [np.asarray(e, np.float64).tobytes() for e in f["e"]]})
+def _pack(kind):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"rep": f["rep"], "n": f["n"], "label": f["label"], "dims": [len(e) for e in f["e"]], "raw": [np.asarray(e, kind).tobytes() for e in f["e"]]})
+
+    return run
