@@ -38,3 +38,10 @@ def fixed3(x: Column) -> Column:
 def fixed3_of_ms(ms: Column) -> Column:
     """The same for whole milliseconds, without leaving the JVM."""
     return F.format_string("%s%d.%03d", F.when(ms < 0, F.lit("-")).otherwise(F.lit("")), F.floor(F.abs(ms) / 1000).cast("bigint"), F.pmod(F.abs(ms), F.lit(1000)).cast("bigint"))
+
+
+def fixed3_by_ms(x: Column) -> Column:
+    """``fixed3`` in the JVM wherever the value is not so near the middle of two milliseconds that only its exact digits decide."""
+    scaled = x * 1000
+    open_ = (F.abs(F.abs(scaled - F.floor(scaled)) - 0.5) < 1e-6) | (F.abs(x) >= 1e12) | F.isnan(x)
+    return F.when(open_, fixed3(F.when(open_, x))).otherwise(fixed3_of_ms(ms_key(x)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,15 +40,39 @@ def phase_seconds(marks: DataFrame) -> DataFrame:
 
 
 def sample_stats(samples: DataFrame, by: str, repeat: str, value: str, bad: str) -> DataFrame:
-    """Samples, bad ones, total, mean, median and the value nine tenths up; and the repeat with the least total."""
+    """Samples, bad ones, total, mean, median and the value nine tenths up; and the repeat with the least total.
+
+    Ranks are exact, see ``ranks``; the counts are of all samples, the ranks of
+    those with a value.
+    """
     each = samples.groupBy(by, repeat).agg(F.sum(value).alias("t"))
-    best = each.groupBy(by).agg(F.min_by(repeat, F.struct("t", repeat)).alias("best_repeat"))
-    # the rank is exact and the window spills; no group is gathered in memory
-    order = Window.partitionBy(by).orderBy(value)
-    ranked = samples.withColumn("_i", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
-    at = F.max(F.when(F.col("_i") == F.floor(F.col("_n") * 9 / 10) + 1, F.col(value)))
-    stats = ranked.groupBy(by).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.median(value).alias("median"), at.alias("p90"))
-    return stats.join(best, by)
+    best = each.groupBy(F.col(by).alias("_of")).agg(F.min_by(repeat, F.struct("t", repeat)).alias("best_repeat"))
+    base = samples.groupBy(by).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
+    found = ranks(samples, by, value, lambda n: {"lo": F.floor((n - 1) / 2) + 1, "hi": F.floor(n / 2) + 1, "p90": F.least(F.floor(n * 9 / 10) + 1, n)})
+    stats = base.join(found, base[by].eqNullSafe(found["_of"]), "left").drop("_of").withColumn("median", (F.col("lo") + F.col("hi")) / 2).drop("lo", "hi")
+    return stats.join(best, stats[by].eqNullSafe(best["_of"])).drop("_of")
+
+
+def ranks(rows: DataFrame, by: str, value: str, asked: Callable[[Column], dict[str, Column]], parts: int = 200) -> DataFrame:
+    """(_of, a column for each asked rank): of each group ``by`` the values of exact ranks from 1, asked given its number of values.
+
+    Values are counted, dealt to ranges by approximate quantiles of their
+    group, and only ranges that hold an asked rank are put in order, so no task
+    sees all of a group.  Nulls are no values.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("_of"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    cuts = counted.groupBy(F.col("_of").alias("_g")).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], parts * 20).alias("_cuts"), F.sum("_c").alias("_n"))
+    dealt = counted.join(cuts, F.col("_of").eqNullSafe(F.col("_g"))).withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts", "_g")
+    sizes = dealt.groupBy("_of", "_n", "_part").agg(F.sum("_c").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = asked(F.col("_n"))
+    at = F.array(*[F.struct(F.lit(k).alias("k"), v.cast("long").alias("r")) for k, v in wanted.items()])
+    held = sizes.withColumn("_before", before).withColumn("_ask", F.filter(at, lambda x: (x["r"] > F.col("_before")) & (x["r"] <= F.col("_before") + F.col("_s")))).filter(F.size("_ask") > 0)
+    held = held.select(F.col("_of").alias("_g"), F.col("_part").alias("_p"), "_before", "_ask")
+    inside = dealt.join(held, F.col("_of").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy("_of", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = inside.withColumn("_upto", upto).select("_of", "_v", "_c", "_upto", F.explode("_ask").alias("_a")).filter("_a.r <= _upto and _a.r > _upto - _c")
+    return placed.groupBy("_of").agg(*[F.max(F.when(F.col("_a.k") == k, F.col("_v"))).alias(k) for k in wanted])
 
 
 def codec_histogram(files: DataFrame) -> DataFrame:
@@ -79,18 +105,20 @@ def largest(df: DataFrame, k: int, by: str, *ties: str) -> DataFrame:
     return df.orderBy(F.col(by).desc(), *ties).limit(k)
 
 
-def within_size_budget(files: DataFrame, budget: int, size: str = "size", order: str = "mtime", spread: int = 256) -> DataFrame:
-    """The newest files whose sizes together stay within ``budget``; older ones are evicted.
+def within_size_budget(files: DataFrame, budget: int, size: str = "size", order: str = "mtime", each: int = 100_000) -> DataFrame:
+    """The newest files whose sizes together stay within ``budget``; older ones are evicted, those without a time first.
 
-    Sizes before a file are summed in two steps, over ranges of the order and
-    within them, so no task sorts all files.
+    Sizes before a file are summed in two steps: over ranges of the order with
+    about ``each`` files, cut at its approximate quantiles, and within them, so
+    no task sorts all files.  Files of one time are in one range.
     """
-    ranges = files.select(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / spread), F.lit(1))
-    rows = files.join(F.broadcast(ranges), how="cross").withColumn("_part", F.floor((F.col(order) - F.col("lo")) / width)).drop("lo", "hi")  # one row
-    parts = rows.groupBy("_part").agg(F.sum(size).alias("_s"))
-    newer = parts.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    own = F.sum(size).over(Window.partitionBy("_part").orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0))
+    parts = max(2, min(10_000, -(-files.count() // each)))
+    cuts = files.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], parts * 20).alias("_cuts"))  # one row
+    at = F.col(order)
+    rows = files.join(F.broadcast(cuts), how="cross").withColumn("_part", F.when(at.isNull(), F.lit(-1)).otherwise(F.size(F.filter("_cuts", lambda x: x < at)))).drop("_cuts")
+    sizes = rows.groupBy("_part").agg(F.sum(size).alias("_s"))
+    newer = sizes.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    own = F.sum(size).over(Window.partitionBy("_part").orderBy(at.desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
     return rows.join(newer, "_part").withColumn("_total", F.col("_before") + own).filter(F.col("_total") <= budget).drop("_part", "_before", "_total")
 
 

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores, if its files are fewer: for rows that cost much more to compute than to move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def k_of() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
@@ -42,7 +48,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = (F.when(kind == "click", F.concat(F.lit("YOU KNOCKED OUT "), player, F.lit(" with "), weapon)).when(kind == "purchase", F.concat(F.lit("你用"), weapon, F.lit("淘汰了"), player))
             .when(kind == "signup", F.concat(F.lit("您以"), weapon, F.lit("擊殺"), player)).when(kind == "error", F.concat(player, F.lit(" KNOCKED YOU out with "), weapon)).otherwise(F.lit("你在安全区外倒地了")))
     language = F.when(kind.isin("click", "error"), F.lit("en")).when(kind == "signup", F.lit("zh-Hant")).otherwise(F.lit("zh-Hans"))
-    e = events(spark, sf_dir)
+    e = spread(events(spark, sf_dir))
     return e.select(F.col("user_id").alias("source_idx"), F.col("event_id"), F.expr("us div 1000").alias("ms"), "event_type", "k", text.alias("text"), language.alias("language"))
 
 
@@ -51,7 +57,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     term = (F.when(kind == "click", F.lit("单次淘汰")).when(kind == "purchase", F.lit("Double kill")).when(kind == "signup", F.lit("單次擊殺")).when(kind == "error", F.lit("死亡")).otherwise(F.lit("淘汰")))
     name = F.concat(F.lit("REC "), F.date_format("ts", "yyyy.MM.dd - HH.mm.ss"), F.lit("."), F.col("k").cast("string"), F.lit("."), term, F.lit(".DVR.mp4"))
-    e = events(spark, sf_dir)
+    e = spread(events(spark, sf_dir))
     return e.select("event_id", "user_id", "value", "ts", name.alias("name"), F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string")).alias("path"))
 
 

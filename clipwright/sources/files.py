@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Terms of the file names that each language's recorder writes.
 PROFILES = [
     {"language": "zh-Hans", "own": ["被击倒", "淘汰"], "kill": ["单次淘汰", "双次淘汰", "多杀"], "multi": ["双次淘汰", "多杀"], "end": ["比赛结束"], "replay": "淘汰画面|击倒画面"},
@@ -45,24 +47,26 @@ def matches_profile(name: Column, profile: dict, target: str) -> Column:
 
 
 def _score(name: Column, profile: dict, target: str) -> Column:
-    """Signs of the longest term found anywhere in the name."""
-    return F.greatest(F.lit(0), *[F.char_length(F.regexp_extract(name, f"(?iu)(?:{t})", 0)) for t in _terms(profile, target)])
+    """Signs of the longest term found anywhere in the name, by one pattern that looks at every place."""
+    terms = sorted(_terms(profile, target), key=len, reverse=True)
+    found = F.regexp_extract_all(name, F.lit(f"(?iu)(?=({'|'.join(terms)}))"), F.lit(1))
+    return F.coalesce(F.array_max(F.transform(found, F.char_length)), F.lit(0))
+
+
+def _any_replay(name: Column) -> Column:
+    return F.regexp_like(name, F.lit(f"(?iu)(?:{'|'.join(p['replay'] for p in PROFILES)})"))
 
 
-def profile_scores(files: DataFrame, target: str, explicit: bool = False) -> DataFrame:
-    """``scores``: (place of the profile, score) of each profile that fits, best first; none for a replay among explicit files."""
-    name, fits = F.col("name"), []
-    for i, p in enumerate(PROFILES):
-        score = _score(name, p, target)
-        ok = (score > 0) if explicit else matches_profile(name, p, target)
-        fits.append(F.when(ok, F.struct((-F.greatest(score, F.lit(1))).alias("neg"), F.lit(i).alias("profile"))))
+def profile_scores(name: Column, target: str, explicit: bool = False) -> Column:
+    """(neg, profile) of each profile that fits, best first: its score, negative, and its place; none for a replay among explicit files."""
+    def fit(i: int, profile: dict) -> Column:
+        # one score, asked twice
+        scored = let(_score(name, profile, target), lambda n: F.when((n > 0) | F.lit(not explicit), F.struct((-F.greatest(n, F.lit(1))).alias("neg"), F.lit(i).alias("profile"))))
+        return scored if explicit else F.when(matches_profile(name, profile, target), scored)
+
+    fits = [fit(i, p) for i, p in enumerate(PROFILES)]
     scores = F.array_sort(F.filter(F.array(*fits), lambda x: x.isNotNull()))
-    if explicit:
-        any_replay = F.lit(False)
-        for p in PROFILES:
-            any_replay = any_replay | is_replay(name, p)
-        scores = F.when(~any_replay, scores).otherwise(F.filter(scores, lambda x: F.lit(False)))
-    return files.withColumn("scores", scores)
+    return F.when(~_any_replay(name), scores).otherwise(F.filter(scores, lambda x: F.lit(False))) if explicit else scores
 
 
 def infer_languages(files: DataFrame, target: str) -> DataFrame:
@@ -72,19 +76,27 @@ def infer_languages(files: DataFrame, target: str) -> DataFrame:
     total score, then by the profiles' order.  Files out of the target are
     classed by any term they hold and do not vote; those without one get null.
     """
-    rows = profile_scores(files, target)
-    top = F.filter("scores", lambda x: x["neg"] == F.get("scores", F.lit(0))["neg"])
-    rows = rows.withColumn("ties", F.transform(top, lambda x: x["profile"])).withColumn("best", -F.get("scores", F.lit(0))["neg"]).drop("scores")
-    votes = rows.filter(F.size("ties") == 1).groupBy(F.col("ties")[0].alias("profile")).agg(F.count("*").alias("n"), F.sum("best").alias("total"))
+    name = F.col("name")
+
+    def best(scores: Column) -> Column:
+        first = F.get(scores, F.lit(0))
+        ties = F.transform(F.filter(scores, lambda x: x["neg"] == first["neg"]), lambda x: x["profile"])
+        return F.struct(ties.alias("ties"), (-first["neg"]).alias("best"))
+
+    rows = files.withColumn("_fit", let(profile_scores(name, target), best))
+    sure = rows.select("_fit").filter(F.size("_fit.ties") == 1)
+    votes = sure.groupBy(F.col("_fit.ties")[0].alias("profile")).agg(F.count("*").alias("n"), F.sum("_fit.best").alias("total"))
     # three rows at most: one for each profile
-    rank = votes.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), (-F.col("total")).alias("t"), "profile"))).alias("rank"))
+    rank = votes.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), (-F.col("total")).alias("t"), "profile"))).alias("_rank"))
     rows = rows.join(F.broadcast(rank), how="cross")
-    voted = F.get(F.filter(F.transform("rank", lambda r: r["profile"]), lambda p: F.array_contains(F.col("ties"), p)), F.lit(0))
-    rows = profile_scores(rows, "both", explicit=True)
-    other = F.get("scores", F.lit(0))["profile"]
-    profile = F.when(F.size("ties") == 1, F.col("ties")[0]).when(F.size("ties") > 1, F.coalesce(voted, F.col("ties")[0])).otherwise(other)
     names = F.array(*[F.lit(p["language"]) for p in PROFILES])
-    return rows.withColumn("language", F.get(names, profile)).drop("scores", "ties", "best", "rank")
+
+    def chosen(ties: Column) -> Column:
+        voted = F.get(F.filter(F.transform("_rank", lambda r: r["profile"]), lambda p: F.array_contains(ties, p)), F.lit(0))
+        other = F.get(profile_scores(name, "both", explicit=True), F.lit(0))["profile"]
+        return F.get(names, F.when(F.size(ties) == 1, ties[0]).when(F.size(ties) > 1, F.coalesce(voted, ties[0])).otherwise(other))
+
+    return rows.withColumn("language", let(F.col("_fit.ties"), chosen)).drop("_fit", "_rank")
 
 
 def language_counts(files: DataFrame) -> DataFrame:
@@ -105,9 +117,11 @@ def in_time_order(files: DataFrame) -> DataFrame:
     """``source_idx`` from 1: by recorded time, then lower-cased name; files without a time last.
 
     The number is found by range-partitioned sort: a global row number over the
-    small counts of key prefixes and a local one within each.
+    small counts of key prefixes, hours or first signs of the name, and a local
+    one within each.
     """
-    rows = files.withColumn("recorded_at", recorded_at(F.col("name"))).withColumn("_day", F.coalesce(F.date_trunc("day", "recorded_at").cast("string"), F.lit("9999")))
+    named = F.concat(F.lit("9999"), F.left(F.lower("name"), F.lit(4)))
+    rows = files.withColumn("recorded_at", recorded_at(F.col("name"))).withColumn("_day", F.coalesce(F.date_trunc("hour", "recorded_at").cast("string"), named, F.lit("9999")))
     days = rows.groupBy("_day").agg(F.count("*").alias("_n"))
     ahead = days.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     within = F.row_number().over(Window.partitionBy("_day").orderBy("recorded_at", F.lower("name"), "path"))

@@ -17,13 +17,18 @@ def csv_lines(df: DataFrame, columns: list[str]) -> Column:
     return F.concat_ws(",", *cells)
 
 
-def write_report(records: DataFrame, path: str, columns: list[str] = RECORD_COLUMNS) -> None:
-    """Comma-separated part files with a header; cells are quoted only where they must be."""
-    records.select(*columns).write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
+def write_report(records: DataFrame, path: str, columns: list[str] = RECORD_COLUMNS, bom: bool = False) -> None:
+    """Comma-separated part files with a header and CRLF line ends; cells are quoted only where they must be.
 
+    ``bom`` puts a byte-order mark before each header, as spreadsheets want it.
+    """
+    first, *rest = columns
+    named = [F.col(first).alias("\ufeff" + first if bom else first), *rest]
+    records.select(*named).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("emptyValue", "").option("escape", '"').csv(path)
 
-def write_candidates(candidates: DataFrame, path: str) -> None:
-    write_report(candidates, path, CANDIDATE_COLUMNS)
+
+def write_candidates(candidates: DataFrame, path: str, bom: bool = False) -> None:
+    write_report(candidates, path, CANDIDATE_COLUMNS, bom)
 
 
 def as_json(df: DataFrame) -> DataFrame:
@@ -35,9 +40,18 @@ def write_json(df: DataFrame, path: str) -> None:
     as_json(df).write.mode("overwrite").text(path)
 
 
-def concat_lists(clips: DataFrame, by: str = "target", seq: str = "clip_seq", path: str = "output") -> DataFrame:
-    """For each target the list of clip files in order, one ``file '…'`` line each; a path with a line end is an error."""
+def concat_lines(clips: DataFrame, by: str = "target", seq: str = "clip_seq", path: str = "output") -> DataFrame:
+    """(by, seq, line): one ``file '…'`` line for each clip; a path with a line end is an error."""
     plain = F.replace(F.replace(F.col(path), F.lit("\\"), F.lit("/")), F.lit("'"), F.lit("'\\''"))
     line = F.when(F.regexp_like(path, F.lit("[\r\n]")), F.raise_error(F.lit("a clip path holds a line end")).cast("string")).otherwise(F.concat(F.lit("file '"), plain, F.lit("'")))
-    listed = clips.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), line.alias("line")))).alias("l"))
-    return listed.select(by, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("list"))
+    return clips.select(by, F.col(seq).alias("seq"), line.alias("line"))
+
+
+def write_concat_lists(clips: DataFrame, folder: str, by: str = "target", seq: str = "clip_seq", path: str = "output") -> None:
+    """Text part files in a folder for each target; in the order of their names they hold its lines in order.
+
+    Clips are dealt by ranges of (target, place), so a target with most of the
+    clips is many files and no task or row holds a whole list.
+    """
+    lines = concat_lines(clips, by, seq, path).repartitionByRange(by, "seq").sortWithinPartitions(by, "seq")
+    lines.select(by, "line").write.mode("overwrite").partitionBy(by).text(folder)

@@ -140,8 +140,12 @@ def late_rows(progress: list[dict]) -> int:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder for a stream's checkpoint and output, in the session's shared folder if it names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A fresh folder for a stream's checkpoint and output, in the session's shared folder; a temporary one on one machine alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
