@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identity import followup_subject, lengths_fit, noisy_names, noisy_without_ratio, stable_names, stable_subject
+from ..functions.identity import alike_keys, followup_subject, noisy_names, noisy_without_ratio, stable_names, stable_subject
 from ..functions.text import is_assist_only
 
 CLOSE_MS = 5000
@@ -35,14 +35,13 @@ def same_pairs(events: DataFrame) -> DataFrame:
 
     'stable' names are alike at any distance; 'noisy' ones were also seen
     within five seconds of each other.  Equal keys are one row beforehand, so
-    a pair stands for all pairs of their sightings; the equality keys keep the
-    join from growing with anything but the players of one recording.
+    a pair stands for all pairs of their sightings; stable pairs come from what
+    alike names cannot lack, not from all pairs of a recording's players.
     """
     by = ["source_idx", "target", "action"]
     names = events.groupBy(*by, "key").agg(F.min("name").alias("name"))
-    left, right = names.withColumnsRenamed({"key": "a", "name": "na"}), names.withColumnsRenamed({"key": "b", "name": "nb"})
-    stable = left.join(right, by).filter((F.col("a") < F.col("b")) & lengths_fit(F.col("na"), F.col("nb"))).filter(stable_subject(F.col("na"), F.col("nb")))
-    stable = stable.select(*by, "a", "b", F.lit("stable").alias("how"))
+    # of the rules for a target only the noisy ones differ
+    stable = alike_keys(names, by, "own-kill").filter("stable").select(*by, F.col("ka").alias("a"), F.col("kb").alias("b"), F.lit("stable").alias("how"))
     seen = events.select(*by, "key", "name", "ms").distinct().withColumn("slot", F.expr(f"ms div {CLOSE_MS}"))
     x = seen.withColumnsRenamed({"key": "a", "name": "na", "ms": "ma"})
     y = seen.withColumnsRenamed({"key": "b", "name": "nb", "ms": "mb"}).withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -32,10 +32,81 @@ class Scan:
             step = getattr(self, name)
             if not 0 < step < float("inf") or abs(step * 1000 - round(step * 1000)) > 1e-6:
                 raise ValueError(f"{name} must be a positive whole number of milliseconds")
-        if self.start < 0 or (self.end is not None and self.end < self.start) or self.lookback < 0 or self.lookahead < 0:
-            raise ValueError("windows must not be negative")
-        if any(len(w) != 2 or w[1] < w[0] for w in self.windows):
-            raise ValueError("a priority window ends before it begins")
+        _refuse(("start", "lookback", "lookahead", "adaptive_window"), self, lambda x: 0 <= x < float("inf"), "a finite number and not negative")
+        if self.end is not None and not self.start < self.end < float("inf"):
+            raise ValueError("end must be finite and after start")
+        if not all(len(w) == 2 and 0 <= w[0] < w[1] < float("inf") for w in self.windows):
+            raise ValueError("a priority window must be finite, not negative, and end after it begins")
+
+
+def _refuse(names: tuple[str, ...], given: object, fits: Callable[[object], bool], what: str) -> None:
+    for name in names:
+        if not fits(getattr(given, name)):
+            raise ValueError(f"{name} must be {what}")
+
+
+def is_region(box: Sequence[float]) -> bool:
+    """x1, y1, x2, y2 as ratios of a frame, the second corner below and right of the first."""
+    return len(box) == 4 and 0 <= box[0] < box[2] <= 1 and 0 <= box[1] < box[3] <= 1
+
+
+def region(text: str) -> tuple[float, ...]:
+    """A region as written in settings: four numbers with commas between."""
+    try:
+        box = tuple(float(part) for part in text.split(","))
+    except ValueError:
+        box = ()
+    if not is_region(box):
+        raise ValueError(f"a region is x1,y1,x2,y2 in ascending ratios from 0 to 1: {text}")
+    return box
+
+
+def window(text: str) -> tuple[float, float]:
+    """A window as written in settings: start:end in seconds."""
+    try:
+        lo, hi = (float(part) for part in text.split(":", 1))
+    except ValueError:
+        lo, hi = 0.0, 0.0
+    if not 0 <= lo < hi < float("inf"):
+        raise ValueError(f"a window is start:end in seconds, 0 <= start < end: {text}")
+    return lo, hi
+
+
+def valid_region(box: Column) -> Column:
+    """``is_region`` of a row's array of four numbers; false for a null and for one with nulls."""
+    a, b, c, d = (F.get(box, F.lit(i)) for i in range(4))
+    ordered = (a >= 0) & (a < c) & (c <= 1) & (b >= 0) & (b < d) & (d <= 1)
+    return F.coalesce((F.size(box) == 4) & ordered, F.lit(False))
+
+
+@dataclass(frozen=True)
+class Recognition:
+    """Settings of the reading of frames, checked when made; seconds, and regions as ratios of a frame."""
+
+    roi: tuple = (0.0, 0.0, 1.0, 1.0)
+    assist_roi: tuple = (0.0, 0.0, 1.0, 1.0)
+    brightness_gate_roi: tuple = (0.0, 0.0, 1.0, 1.0)
+    brightness_gate_mode: str = "full"
+    sampling_mode: str = "fixed"
+    refine_step: float = 0.5
+    refine_search_step: float = 1.0
+    assist_step: float = 0.5
+    refine_before: float = 6.0
+    refine_after: float = 0.0
+    assist_after: float = 1.2
+    min_interval: float = 0.0
+    refine_max_seconds: float | None = None
+    assist_max_seconds: float | None = None
+    frame_cache: int = 1
+
+    def __post_init__(self):
+        _refuse(("roi", "assist_roi", "brightness_gate_roi"), self, is_region, "ascending ratios between 0 and 1")
+        _refuse(("refine_step", "refine_search_step", "assist_step"), self, lambda x: x > 0, "positive")
+        _refuse(("refine_before", "refine_after", "assist_after", "min_interval"), self, lambda x: 0 <= x < float("inf"), "a finite number and not negative")
+        _refuse(("refine_max_seconds", "assist_max_seconds"), self, lambda x: x is None or 0 <= x < float("inf"), "None or a finite number and not negative")
+        _refuse(("frame_cache",), self, lambda x: x >= 1, "positive")
+        _refuse(("brightness_gate_mode",), self, ("full", "light", "none").__contains__, "full, light or none")
+        _refuse(("sampling_mode",), self, ("fixed", "adaptive").__contains__, "fixed or adaptive")
 
 
 def steps(lo: Column, hi: Column, step: float) -> Column:

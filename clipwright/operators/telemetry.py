@@ -105,14 +105,15 @@ def largest(df: DataFrame, k: int, by: str, *ties: str) -> DataFrame:
     return df.orderBy(F.col(by).desc(), *ties).limit(k)
 
 
-def within_size_budget(files: DataFrame, budget: int, size: str = "size", order: str = "mtime", each: int = 100_000) -> DataFrame:
+def within_size_budget(files: DataFrame, budget: int, size: str = "size", order: str = "mtime", spread: int | None = None) -> DataFrame:
     """The newest files whose sizes together stay within ``budget``; older ones are evicted, those without a time first.
 
-    Sizes before a file are summed in two steps: over ranges of the order with
-    about ``each`` files, cut at its approximate quantiles, and within them, so
-    no task sorts all files.  Files of one time are in one range.
+    Sizes before a file are summed in two steps: over ``spread`` ranges of the
+    order, one for about every 100,000 files if not given, cut at its
+    approximate quantiles, and within them, so no task sorts all files.  Files
+    of one time are in one range.
     """
-    parts = max(2, min(10_000, -(-files.count() // each)))
+    parts = spread or max(2, min(10_000, -(-files.count() // 100_000)))
     cuts = files.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], parts * 20).alias("_cuts"))  # one row
     at = F.col(order)
     rows = files.join(F.broadcast(cuts), how="cross").withColumn("_part", F.when(at.isNull(), F.lit(-1)).otherwise(F.size(F.filter("_cuts", lambda x: x < at)))).drop("_cuts")

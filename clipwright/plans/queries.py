@@ -249,6 +249,13 @@ def p29_valid_windows(spark, d):
     return views.events(spark, d).filter(F.size(schedule.steps(F.col("k").cast("double"), F.lit(49.0), 1.0)) > 0).select("event_id")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_discount < l_tax * 10 AND l_tax * 10 <= 1 AND l_linenumber * 0.1 < l_quantity / 50 AS ok FROM lineitem")
+def p29_valid_regions(spark, d):
+    li = views.table(spark, d, "lineitem")
+    box = F.array("l_discount", F.col("l_linenumber") * F.lit(0.1), F.col("l_tax") * 10, F.col("l_quantity") / 50)
+    return li.select("l_orderkey", "l_linenumber", schedule.valid_region(box).alias("ok"))
+
+
 @query("SELECT event_id, printf('%03d_%s%s_%s', event_id, 'own-kill', CASE WHEN k > 1 THEN 'x' || k ELSE '' END, 'u' || user_id) AS label FROM ev")
 def p30_output_label(spark, d):
     return views.events(spark, d).select("event_id", clips.output_label(F.col("event_id"), F.lit("own-kill"), F.col("k"), F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("label"))
@@ -354,6 +361,14 @@ def s6_s7_csv_lines(spark, d):
     return li.select(sinks.csv_lines(li, ["l_orderkey", "l_linenumber", "note"]).alias("line"))
 
 
+@query("SELECT 'c_custkey,c_name,c_nationkey' || chr(13) AS line UNION ALL SELECT c_custkey || ',' || c_name || ',' || c_nationkey || chr(13) FROM customer")
+def s6_report_files(spark, d):
+    """What the report sink wrote, line by line; each part file begins with the same header, whose mark the reader takes off."""
+    path = f"{jobs.work_folder(spark)}/report"
+    sinks.write_report(views.table(spark, d, "customer"), path, ["c_custkey", "c_name", "c_nationkey"], bom=True)
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line")).distinct()
+
+
 @query("SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS value FROM nation")
 def s8_json_documents(spark, d):
     return sinks.as_json(views.table(spark, d, "nation").select("n_nationkey", "n_name"))
@@ -750,6 +765,19 @@ def st5_lifecycle_stream(spark, d):
     return jobs.drained(jobs.lifecycle_stream(s)).drop("batch")
 
 
+@query("SELECT count(*) AS late FROM ev WHERE k % 4 = 3 AND epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM ev WHERE k % 2 = 0) - 86400000 * 10::BIGINT")
+def st6_late_rows(spark, d):
+    """Events in three batches by k; rows are late in the third by the watermark that the first has set for the second."""
+    folder, e = jobs.work_folder(spark), views.events(spark, d).withColumn("at", F.col("ts").cast("timestamp"))
+    for odd, part in enumerate(("k % 2 = 0", "k % 4 = 1", "k % 4 = 3")):
+        e.filter(part).coalesce(1).write.parquet(f"{folder}/in/odd={odd}")
+    s = spark.readStream.schema(e.withColumn("odd", F.lit(0)).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    rows = jobs.without_repeats(s.select(F.col("event_id").alias("source_idx"), F.col("event_type").alias("target"), F.col("k").cast("string").alias("event_key"), "at"), "at", "10 days")
+    run = rows.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.format("noop").mode("overwrite").save()).start()
+    run.awaitTermination()
+    return spark.createDataFrame([(jobs.late_rows([p for p in run.recentProgress]),)], "late bigint")
+
+
 @query("SELECT DISTINCT k, 'p' || k AS payload FROM ev")
 def st7_incremental_scan(spark, d):
     folder = jobs.work_folder(spark)

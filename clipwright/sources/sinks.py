@@ -18,13 +18,16 @@ def csv_lines(df: DataFrame, columns: list[str]) -> Column:
 
 
 def write_report(records: DataFrame, path: str, columns: list[str] = RECORD_COLUMNS, bom: bool = False) -> None:
-    """Comma-separated part files with a header and CRLF line ends; cells are quoted only where they must be.
+    """Comma-separated part files with CRLF line ends, each with a header before its rows; cells are quoted only where they must be and kept as they are.
 
     ``bom`` puts a byte-order mark before each header, as spreadsheets want it.
     """
-    first, *rest = columns
-    named = [F.col(first).alias("\ufeff" + first if bom else first), *rest]
-    records.select(*named).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("emptyValue", "").option("escape", '"').csv(path)
+    header = ("\ufeff" if bom else "") + ",".join(columns)
+    # the first row of a task
+    first = F.monotonically_increasing_id() % (1 << 33) == 0
+    lines = records.select(csv_lines(records, columns).alias("line"), first.alias("first"))
+    both = lines.select(F.explode(F.when(F.col("first"), F.array(F.lit(header), "line")).otherwise(F.array("line"))).alias("value"))
+    both.write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def write_candidates(candidates: DataFrame, path: str, bom: bool = False) -> None:

@@ -1,10 +1,12 @@
 """Planning, dedupe, schedules, lifecycle and reports against plain transcriptions of their rules."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from clipwright.functions import identity, text
 from clipwright.operators import cache, clips, dedupe, lifecycle, reports, schedule, telemetry
 from clipwright.sources import files, sinks
 from clipwright.streaming import jobs
@@ -163,3 +165,173 @@ def test_hot_groups_stay_rows(spark, detections):
     df = detections[1].withColumn("clip_before_sec", F.lit(5.0)).withColumn("clip_after_sec", F.lit(1.0))
     plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (out, dedupe.ranked(df))]
     assert "collect_set" not in plans[0] and "Window" not in plans[1]
+
+
+def test_settings_are_checked():
+    for bad in ({"start": -1}, {"start": 5, "end": 5}, {"end": float("inf")}, {"windows": [(3, 3)]}, {"windows": [(-1, 3)]}, {"coarse_step": 0}, {"candidate_step": 0.0005}, {"lookback": float("nan")}):
+        with pytest.raises(ValueError):
+            schedule.Scan(**bad)
+    for bad in ({"roi": (0, 0, 0, 1)}, {"assist_roi": (0.5, 0, 0.4, 1)}, {"brightness_gate_roi": (0, 0, 1, 1.1)}, {"brightness_gate_mode": "x"}, {"sampling_mode": ""}, {"assist_step": 0}, {"refine_before": -1},
+                {"refine_max_seconds": float("nan")}, {"frame_cache": 0}, {"roi": (0, 0, float("nan"), 1)}):
+        with pytest.raises(ValueError):
+            schedule.Recognition(**bad)
+    assert schedule.Recognition(refine_max_seconds=3.0).frame_cache == 1
+    assert schedule.region("0, 0.5,1,0.75") == (0, 0.5, 1, 0.75) and schedule.window("31:43.5") == (31, 43.5)
+    for parse, texts in ((schedule.region, ("0,0,1", "0,0,1,x", "1,0,0,1", "")), (schedule.window, ("3", "3:3", "-1:2", "a:b", "1:inf"))):
+        for text in texts:
+            with pytest.raises(ValueError):
+                parse(text)
+
+
+def test_valid_regions(spark):
+    boxes = [[0.0, 0.0, 1.0, 1.0], [0.0, 0.0, 1.0], [0.0, 0.0, 0.0, 1.0], [0.0, None, 1.0, 1.0], None, [0.0, 0.0, float("nan"), 1.0]]
+    df = spark.createDataFrame([(b,) for b in boxes], "box array<double>")
+    assert [r["ok"] for r in df.select(schedule.valid_region(F.col("box")).alias("ok")).collect()] == [True, False, False, False, False, False]
+
+
+def test_report_files(spark, tmp_path):
+    df = spark.createDataFrame([("a,b", 'q"q', None), ("", "line\nend", "x")], "Name string, Text string, Note string")
+    for bom in (False, True):
+        path = str(tmp_path / f"r{bom}")
+        sinks.write_report(df.coalesce(1), path, ["Name", "Text", "Note"], bom=bom)
+        raw = b"".join(p.read_bytes() for p in sorted((tmp_path / f"r{bom}").glob("part*")))
+        assert raw.decode() == ("\ufeff" if bom else "") + 'Name,Text,Note\r\n"a,b","q""q",\r\n,"line\nend",x\r\n'
+
+
+def test_concat_lists_are_ordered_files(spark, tmp_path):
+    rows = [("own" if i % 3 else "self", i, f"c:\\x\\it's {i}.mp4") for i in range(500)]
+    df = spark.createDataFrame(rows, "target string, clip_seq long, output string").orderBy(F.rand(1)).repartition(4)
+    sinks.write_concat_lists(df, str(tmp_path / "lists"))
+    for target in ("own", "self"):
+        files_ = sorted((tmp_path / "lists" / f"target={target}").glob("part*"))
+        lines = [line for f in files_ for line in f.read_text().splitlines()]
+        assert lines == ["file 'c:/x/it'\\''s " + f"{i}.mp4'" for t, i, _ in rows if t == target]
+    with pytest.raises(Exception, match="line end"):
+        sinks.concat_lines(spark.createDataFrame([("own", 1, "a\nb")], "target string, clip_seq long, output string")).collect()
+
+
+@pytest.mark.parametrize("parts", [3, 200])
+def test_ranks_like_sorting(spark, parts):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", "b", "b", None]), rng.choice([1.0, 1.0, 1.0, rng.uniform(0, 5), None])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["_of"]: (r["lo"], r["top"]) for r in telemetry.ranks(df, "g", "v", lambda n: {"lo": F.floor((n - 1) / 2) + 1, "top": n}, parts).collect()}
+    for g in ("a", "b", None):
+        own = sorted(v for x, v in rows if x == g and v is not None)
+        assert got[g] == (own[(len(own) - 1) // 2], own[-1])
+
+
+def test_size_budget_like_a_loop(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(1, 50), rng.choice([None, 7, rng.randrange(1000), i])) for i in range(400)]
+    rows = [(i, s, m if m is None else m * 1000 + i) for i, s, m in rows]  # distinct times
+    df = spark.createDataFrame(rows, "path long, size long, mtime long")
+    left, want = 3000, set()
+    for i, s, m in sorted((r for r in rows if r[2] is not None), key=lambda r: -r[2]):
+        left -= s
+        if left < 0:
+            break
+        want.add(i)
+    assert {r["path"] for r in telemetry.within_size_budget(df, 3000, spread=10).collect()} == want
+
+
+def test_report_numbers_are_exact(spark):
+    values = [0.0025, 1.0005, 2.5, 0.1235, -0.0005, 1e13 + 0.5, 12345.6785, 0.0, -1.0004999]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r["t"] for r in df.select(reports.seconds_text(F.col("v")).alias("t")).collect()] == [f"{v:.3f}" for v in values]
+
+
+def test_language_votes_like_a_loop(spark):
+    """Scores by looking for every term, one after the other."""
+    rng = random.Random(5)
+    terms = sorted({t for p in files.PROFILES for k in ("own", "kill", "end") for t in p[k]})
+    names = [f"REC {i}.{rng.choice(terms)}.DVR{rng.choice(['', '_1'])}.mp4" for i in range(200)] + ["x.淘汰画面.mp4", "plain.mp4", "死亡 Knockout.mp4", "Multi kill.DVR.mp4"]
+    got = {r["name"]: r["language"] for r in files.infer_languages(spark.createDataFrame([(n,) for n in names], "name string"), "both").collect()}
+
+    def hits(name, p, target):
+        return max([len(t) for k in files.TARGETS[target] for t in p[k] if t.lower() in name.lower()], default=0)
+
+    def replay(name, p):
+        return bool(re.search(p["replay"], name, re.I))
+
+    fit, votes = {}, {}
+    for n in names:
+        scores = [(hits(n, p, "both"), -i) for i, p in enumerate(files.PROFILES) if not replay(n, p) and any(re.search(rf"\.{t}\.DVR(_\d+)?\.mp4$", n, re.I) for k in ("own", "kill", "end") for t in p[k])]
+        best = max(scores, default=(0, 0))[0]
+        fit[n] = [-i for s, i in scores if s == best]
+        if len(fit[n]) == 1:
+            votes.setdefault(fit[n][0], []).append(best)
+    order = sorted(votes, key=lambda i: (-len(votes[i]), -sum(votes[i]), i))
+    for n in names:
+        if fit[n]:
+            want = next((i for i in order if i in fit[n]), fit[n][0]) if len(fit[n]) > 1 else fit[n][0]
+        else:
+            any_ = [(-hits(n, p, "both"), i) for i, p in enumerate(files.PROFILES) if hits(n, p, "both") and not any(replay(n, q) for q in files.PROFILES)]
+            want = min(any_)[1] if any_ else None
+        assert got[n] == (files.PROFILES[want]["language"] if want is not None else None), n
+
+
+def test_lifecycle_like_loops(spark):
+    """Same players, assists, follow-ups and decisions against plain loops over noisy names."""
+    rng = random.Random(6)
+    bases = ["[ABC]Hunter77", "Sniper_Wolf", "noob12345", "李小龙玩家", "xXshadowXx"]
+
+    def noisy(name):
+        chars = list(name)
+        if rng.random() < 0.6:
+            chars[rng.randrange(len(chars))] = rng.choice("aZ9_")
+        return "".join(chars[: rng.choice([len(chars), len(chars), len(chars) - 2, 6])])
+
+    rows, seen = [], set()
+    while len(rows) < 160:
+        name, action, target = noisy(rng.choice(bases)), rng.choice(["knock", "eliminate"]), rng.choice(["own-kill", "own-kill", "self-death"])
+        ms = rng.randrange(0, 60_000, 100)
+        if (target, ms) not in seen:
+            seen.add((target, ms))
+            rows.append((1 + len(rows) % 2, target, ms, 0, action, name, f"{target}:{action}:{name}", name, name, "en", "", "", "", False))
+    cols = "source_idx int, target string, ms long, ord int, action string, subject string, key string, name string, actor string, language string, weapon string, method string, event_text string, assisted boolean"
+    df = spark.createDataFrame(rows, cols)
+    got = {(r["source_idx"], r["target"], r["action"], r["a"], r["b"]): r["how"] for r in lifecycle.same_pairs(df).collect()}
+    want = {}
+    for x in rows:
+        for y in rows:
+            if x[:2] == y[:2] and x[4] == y[4] and x[6] < y[6]:
+                at = (*x[:2], x[4], x[6], y[6])
+                if identity.stable_names(x[7], y[7]):
+                    want[at] = "stable"
+                elif abs(x[2] - y[2]) <= 5000 and identity.noisy_names(x[7], y[7], x[1]):
+                    want.setdefault(at, "noisy")
+    assert got == want and set(want.values()) == {"stable", "noisy"}
+
+    follow = {(r["source_idx"], r["target"], r["ms"]): r["method"] for r in lifecycle.followups(df).collect()}
+    want = {}
+    for x in rows:
+        knocks = [y for y in rows if y[:2] == x[:2] and y[4] == "knock" and y[2] <= x[2]]
+        if x[4] == "eliminate" and x[1] == "self-death" and knocks:
+            want[x[:3]] = lifecycle.SELF_FOLLOWUP
+        elif x[4] == "eliminate" and any(x[2] - y[2] <= 5000 and identity.noisy_names(x[8], y[8], x[1]) for y in knocks):
+            want[x[:3]] = lifecycle.FOLLOWUP
+    assert follow == want and len(set(want.values())) == 2
+
+    frames = [(r[0], r[2] + rng.choice([0, 500, 1000, 700, 1500]), "你助攻淘汰了" + r[7], "zh-Hans", r[4], rng.choice([r[6], "own-kill:x:other"]), noisy(r[7])) for r in rows if rng.random() < 0.6]
+    shown = spark.createDataFrame(frames, "source_idx int, ms long, text string, language string, action string, key string, name string")
+    is_assist = {r["text"]: r["a"] for r in shown.select("text", text.is_assist_only(F.col("text"), F.col("language")).alias("a")).collect()}
+    got = {(r["source_idx"], r["target"], r["ms"]) for r in lifecycle.with_assists(df.drop("assisted"), shown).filter("assisted").collect()}
+    want = {x[:3] for x in rows if x[1] == "own-kill" and any(f[0] == x[0] and f[4] == x[4] and is_assist[f[2]] and 0 <= f[1] - x[2] <= 1200 and (f[1] - x[2]) % 500 == 0 and (f[5] == x[6] or identity.stable_names(f[6], x[7])) for f in frames)}
+    assert got == want and 5 < len(want) < len(rows)
+
+    decided = {(r["source_idx"], r["target"], r["ms"]): r["decision"] for r in lifecycle.decided(df).collect()}
+    want, held = {}, {}
+    for x in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        own = held.setdefault(x[:2], [])
+        if any(y[4] == x[4] and (y[6] == x[6] or identity.stable_names(x[7], y[7]) or (abs(x[2] - y[2]) <= 5000 and identity.noisy_names(x[7], y[7], x[1]))) for y in own):
+            want[x[:3]] = "repeat"
+            continue
+        knocks = [y for y in own if y[4] == "knock"]
+        want[x[:3]] = "kept"
+        if x[4] == "eliminate" and x[1] == "self-death" and knocks:
+            want[x[:3]] = lifecycle.SELF_FOLLOWUP
+        elif x[4] == "eliminate" and any((x[1] != "own-kill" or x[2] - y[2] <= 5000) and identity.noisy_names(x[8], y[8], x[1]) for y in knocks):
+            want[x[:3]] = lifecycle.FOLLOWUP
+        own.append(x)
+    assert decided == want and len(set(want.values())) >= 3
