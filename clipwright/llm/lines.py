@@ -295,7 +295,7 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def _loaded(filters: pd.DataFrame) -> list[CuckooFilter]:
-    return [CuckooFilter.of_bytes(raw) for raw in filters.sort_values("gen")["cuckoo"]]
+    return [CuckooFilter.of_bytes(raw) for raw in filters.sort_values("gen")["cuckoo"]] if len(filters) else []
 
 
 def _ask(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
@@ -309,7 +309,7 @@ def _ask(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
 def _extend(filters: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
     """The shard's filters with new keys in the last of them, or in one more of twice its room."""
     if not len(rows):
-        return filters[["shard", "gen", "cuckoo"]]
+        return filters[["shard", "gen", "cuckoo"]]  # a shard without new keys
     keys, made = rows["k1"].to_numpy(np.int64), _loaded(filters)
     last = made[-1].copy() if made else None
     if last and last.room() >= len(keys) and last.insert(keys):
