@@ -15,7 +15,8 @@ of its own; ``Scorer.calibration`` says how far that probability is off there.
 
 The most probable window of a paragraph is taken first, then the next that does
 not overlap with it.  A prediction stands only if some wording of its family is
-found around its window by most of its pairs of words.
+found around its window by most of its pairs of words; failing that the next
+family is asked.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ EPOCHS, RATE, L2 = 8, 0.4, 1e-5
 KNOWN = 0.5
 #: Share of a wording's pairs of words that must be found within so many words around a window.
 CONFIRM, AROUND = 0.75, 40
+#: Families of a window, most probable first, of which the first confirmed one stands.
+GUESSES = 2
 _MARKS = bytes(range(33, 46)) + b"/" + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _BARE = bytes.maketrans(_MARKS, b" " * len(_MARKS))
 _DOT = re.compile(rb"\.(?![0-9])")
@@ -96,6 +99,7 @@ class Scorer:
     def __init__(self, families: list[str], known: np.ndarray, bias: float, curve: tuple[float, float], weight: np.ndarray, offsets: np.ndarray, templates: list[list[np.ndarray]], calibration: dict[str, float]):
         self.families, self.known, self.bias, self.curve = families, known, bias, curve
         self.weight, self.offsets, self.templates, self.calibration = weight, offsets, templates, calibration
+        self.every = np.unique(np.concatenate([t for own in templates for t in own]))
 
     def share(self, family: int, words: np.ndarray) -> float:
         """The largest share of the pairs of one of the family's wordings that ``words`` hold."""
@@ -117,7 +121,12 @@ class Scorer:
             hit = p >= KNOWN
             found.append(np.stack((b[hit], e[hit], p[hit])))
         b, e, p = np.concatenate(found, axis=1)
-        return b.astype(np.int64), e.astype(np.int64), p
+        b, e = b.astype(np.int64), e.astype(np.int64)
+        # without any pair of a wording around it a window cannot be confirmed
+        near = np.concatenate(([0], np.cumsum(np.isin(_combine(words, 2), self.every)))) if len(words) > 1 else np.zeros(1, np.int64)
+        last = len(near) - 1
+        some = near[np.minimum(e + AROUND, last)] > near[np.minimum(np.maximum(b - AROUND, 0), last)]
+        return b[some], e[some], p[some]
 
     def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, float]]:
         """(text, paragraph, family, probability of a licence) of each confirmed window."""
@@ -134,12 +143,14 @@ class Scorer:
                 b, e = begin[k], end[k]
                 if taken[b:e].any():
                     continue
-                family = int(np.argmax(self.offsets + self.weight[_bag(words[b:e])].sum(axis=0)))
+                taken[b:e] = True
+                odds = self.offsets + self.weight[_bag(words[b:e])].sum(axis=0)
                 para = int(np.searchsorted(at, b, side="right")) - 1
                 lo, hi = max(b - AROUND, at[para]), min(e + AROUND, at[para + 1])
-                if self.share(family, words[lo:hi]) >= CONFIRM:
-                    taken[b:e] = True
-                    yield owner[first + para], place[first + para], family, float(p[k])
+                for family in np.argsort(-odds, kind="stable")[:GUESSES].tolist():
+                    if self.share(family, words[lo:hi]) >= CONFIRM:
+                        yield owner[first + para], place[first + para], family, float(p[k])
+                        break
 
 
 def _varied(rng, words: list[bytes], prose: list[list[bytes]]) -> bytes:
