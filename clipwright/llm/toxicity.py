@@ -19,6 +19,7 @@ into a probability at the corpus's own rate of toxic texts.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ EPOCHS, STEPS, WARM = 12, 1200, 0.3
 SHARP, SHORT_SHARE = 20, 0.25
 THRESHOLD = 0.5
 CACHED_WORDS, CACHED_CHARS = 400_000, 64
+#: Words cut into n-grams at once.
+TOGETHER = 20_000
 _WORD = re.compile(r"[^\s.,;:!?|\"()]+")
 _U = np.uint64
 _STEP = np.random.default_rng(11).integers(1, 2**62, 8, dtype=np.int64).astype(_U) | _U(1)
@@ -78,6 +81,31 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(who), ((h >> _U(40)) % _U(BUCKETS)).astype(np.int64)
 
 
+def _chunks(words: list[str]) -> Iterator[list[str]]:
+    """Words to be cut into n-grams together."""
+    for i in range(0, len(words), TOGETHER):
+        yield words[i : i + TOGETHER]
+
+
+def _gram_lists(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(where each word's buckets begin, with an end; all buckets, word by word)."""
+    counts, buckets = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+    for part in _chunks(words):
+        who, what = _grams(part)
+        buckets.append(what[np.argsort(who, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(who, minlength=len(part)))
+    return np.cumsum(np.concatenate(counts)), np.concatenate(buckets)
+
+
+def _means(weight: np.ndarray, first: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """Each word's mean weight over its buckets, which are one at least."""
+    parts = [np.zeros(0)]
+    for lo in range(0, len(first) - 1, TOGETHER):
+        at = first[lo : lo + TOGETHER + 1]
+        parts.append(np.add.reduceat(weight[what[at[0] : at[-1]]], at[:-1] - at[0]) / np.diff(at))
+    return np.concatenate(parts)
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -100,8 +128,11 @@ class Scorer:
         return {"weight": self.weight, "fit": self.fit, "clean": self.clean, "_known": {}}
 
     def word_values(self, words: list[str]) -> np.ndarray:
-        who, what = _grams(words)
-        return np.bincount(who, self.weight[what], len(words)) / np.maximum(np.bincount(who, minlength=len(words)), 1)
+        parts = [np.zeros(0)]
+        for part in _chunks(words):
+            who, what = _grams(part)
+            parts.append(np.bincount(who, self.weight[what], len(part)) / np.maximum(np.bincount(who, minlength=len(part)), 1))
+        return np.concatenate(parts)
 
     def features(self, texts: list[str]) -> np.ndarray:
         known, out = self._known, []
@@ -147,10 +178,8 @@ def train(texts: list[str], y: np.ndarray, rate_of_toxic: float, seed: int = 3)
         return Scorer(np.zeros(BUCKETS), flat)
     number: dict[str, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
-    who, what = _grams(list(number))
-    order = np.argsort(who, kind="stable")
-    what = what[order]
-    first = np.concatenate(([0], np.cumsum(np.bincount(who, minlength=len(number)))))
+    words = list(number)
+    first, what = _gram_lists(words)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     soft, bias = rng.normal(0, 0.2, (DIM, 2)), np.zeros(2)
     seen_table, seen_soft, seen_bias = np.full(BUCKETS, 1e-4), np.full((DIM, 2), 1e-4), np.full(2, 1e-4)
@@ -163,8 +192,7 @@ def train(texts: list[str], y: np.ndarray, rate_of_toxic: float, seed: int = 3)
     for epoch in range(epochs):
         late = epoch >= WARM * epochs
         if late:
-            flat = table @ (soft[:, 1] - soft[:, 0])
-            value = np.bincount(who[order], flat[what], len(number)) / np.maximum(np.diff(first), 1)
+            value = _means(table @ (soft[:, 1] - soft[:, 0]), first, what)
         rng.shuffle(learn)
         for at in range(0, len(learn), BATCH):
             batch = learn[at : at + BATCH]
@@ -196,12 +224,12 @@ def train(texts: list[str], y: np.ndarray, rate_of_toxic: float, seed: int = 3)
             soft -= 0.5 * RATE * d_soft / np.sqrt(seen_soft)
             bias -= 0.5 * RATE * d_bias / np.sqrt(seen_bias)
     scorer = Scorer(table @ (soft[:, 1] - soft[:, 0]) * SHARP, None)
-    value = scorer.word_values(list(number))
+    value = _means(scorer.weight, first, what)
     plain = [docs[i] for i in learn if y[i] == 0]
     scorer.clean = float(value[np.concatenate(plain)].mean()) if plain else 0.0
     fit_on = np.flatnonzero(kept_out) if len(set(y[kept_out].tolist())) == 2 else np.arange(len(docs))
     cuts = [_cut(rng, docs[i], value, y[i] > 0) for i in fit_on]
-    names = np.array(list(number), dtype=object)
+    names = np.array(words, dtype=object)
     x = scorer.features([texts[i] for i in fit_on] + [" ".join(names[c]) for c in cuts])
     t = y[fit_on]
     weight = np.where(t > 0, rate_of_toxic / t.mean(), (1 - rate_of_toxic) / (1 - t.mean()))

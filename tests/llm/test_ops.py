@@ -487,7 +487,7 @@ def test_ids_repeats_and_giant_texts(spark):
     for name, df in per_row.items():
         assert sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=str) == ids, name
     got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in per_row["jaccard"].collect()}
-    assert got[None, 8] == (None, True) and got[BIG, 2] == got[BIG, 1] == (BIG, True)
+    assert got[None, 10] == (None, True) and got[BIG, 2] == got[BIG, 1] == (BIG, True)
     assert per_row["pages"].filter("doc_id = 8").first()["n_chars"] == 1_000_000
     assert jaccard.keep_one_of_each(docs).count() == len(rows)
     assert leaks.contained_items(docs, spark.createDataFrame([(BIG, "one two three four five six"), (None, "another text")], "item_id long, text string")).collect()[0][:2] == (BIG, BIG)
