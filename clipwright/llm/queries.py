@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, jaccard, leaks, licences, lines, pieces, quality, token_counts, toxicity, vectors
+from . import alignment, centroids, html_text, jaccard, leaks, licences, lines, pieces, quality, quality_rules, token_counts, toxicity, vectors
 from .oracles import ORACLE_SQL  # noqa: F401
 
 
@@ -19,6 +19,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_model() -> str:
+    """The installed public byte-level tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(_table(spark, sf_dir, "pages"))
 
@@ -59,7 +66,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.contract_rows(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_tokens(_table(spark, sf_dir, "documents"), byte_model(), piece_model())
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_embedding_neardup, op3_quality, op4_ngram_jaccard, op5_line_dedup, op6_toxicity, op7_sentencepiece, op8_licence_scan, op9_decontamination, op10_token_counts)
+    for f in (op1_html_extraction, op2_embedding_neardup, op3_quality, op4_ngram_jaccard, op5_line_dedup, op6_toxicity, op7_sentencepiece, op8_licence_scan, op9_decontamination, op10_token_counts, op11_quality_rules, op12_centroid_clusters, op13_token_alignment)
 }

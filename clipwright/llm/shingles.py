@@ -47,9 +47,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def _words(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _words(parts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the first word's place for each text (with an end)."""
-    buf = np.frombuffer(b" ".join(parts).lower(), dtype=np.uint8)
+    joined = b" ".join(parts)
+    buf = np.frombuffer(joined.lower() if lower else joined, dtype=np.uint8)
     lens = np.fromiter(map(len, parts), np.int64, len(parts))
     begins = np.concatenate(([0], np.cumsum(lens + 1)))
     if not len(buf):
