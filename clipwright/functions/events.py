@@ -9,6 +9,8 @@ from .text import _action, _assist_only, _like, _self_class, _subject, _subject_
 from .vocabulary import OWN_METHOD, STRICT_METHOD, Vocabulary
 
 _FIELDS = "target string, method string, action string, subject string, key string, text string, weapon string"
+#: Signs around a match and between its groups; both are white space, which normalised texts are without.
+_MATCH, _GROUP = "\x1d", "\x1e"
 EVENTS = f"array<struct<{_FIELDS.replace(' string', ':string')}>>"
 
 
@@ -25,7 +27,10 @@ def _own(t: Column, v: Vocabulary, allow_assist: bool) -> Column:
     names = ("raw", "prefix", "verb", "victim", "arm", "probe")
 
     def matches(s: Column) -> Column:
-        return F.arrays_zip(*[F.regexp_extract_all(s, pattern, F.lit(i)).alias(n) for i, n in enumerate(names)])
+        # one pass of the pattern: each match is replaced by its groups between signs that a normalised text cannot hold
+        marked = F.regexp_replace(s, pattern, F.lit(_MATCH + _GROUP.join(f"${i}" for i in range(len(names))) + _MATCH))
+        found = F.filter(F.split(marked, _MATCH), lambda _, i: i % 2 == 1)
+        return F.transform(F.transform(found, lambda m: F.split(m, _GROUP)), lambda g: F.struct(*[g[i].alias(n) for i, n in enumerate(names)]))
 
     def named(m: Column) -> Column:
         return F.struct(*[m[n].alias(n) for n in names if n != "victim"], _subject(m["victim"], v).alias("victim"))

@@ -45,7 +45,7 @@ hint AS (SELECT name, CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END A
 rec AS (SELECT l_orderkey AS source_idx, l_linenumber AS ordinal, CAST(l_orderkey AS VARCHAR) AS Name, CASE WHEN l_linestatus = 'F' THEN 'included' ELSE 'skipped' END AS Status, l_returnflag AS Method, l_quantity AS DetectSeconds, l_tax AS OcrSeconds, l_partkey AS partkey FROM lineitem),
 lft AS (SELECT doc_id AS frame_id, text, lang AS target, source AS action FROM documents WHERE doc_id % 10 <> 3),
 rgt AS (SELECT doc_id AS frame_id, text, CASE WHEN doc_id % 4 = 0 THEN 'xx' ELSE lang END AS target, source AS action FROM documents WHERE doc_id % 10 <> 7),
-prg AS (SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'scan' WHEN 'purchase' THEN 'dedupe' WHEN 'signup' THEN 'trim' WHEN 'error' THEN 'merge' ELSE 'unknown' END AS phase, CAST(k AS BIGINT) AS current, 60::BIGINT AS total, us // 1000 AS ts_ms FROM ev),
+prg AS (SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'scan' WHEN 'purchase' THEN 'dedupe' WHEN 'signup' THEN 'trim' WHEN 'error' THEN 'merge' ELSE 'unknown' END AS phase, CASE WHEN event_id % 4 <> 1 THEN CAST(k AS BIGINT) END AS current, CASE WHEN event_id % 4 <> 2 THEN 30 + event_id % 60 END AS total, us // 1000 AS ts_ms FROM ev),
 sto AS (SELECT doc_id, source || '/' || doc_id AS path, n_chars AS size, doc_id AS mtime, CASE WHEN doc_id % 7 <> 0 THEN lang END AS codec FROM documents)
 """
 
@@ -720,13 +720,33 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("k", views.k_of()).withColumn("at", F.col("ts").cast("timestamp"))
 
 
-@query("SELECT event_id, 'own-kill:knock:player' || user_id AS key FROM ev WHERE event_type = 'click'")
+@query("SELECT event_id, ms, target, action, subject, key, weapon FROM tev")
 def st1_event_stream(spark, d):
-    s = _stream(spark, d).filter("event_type = 'click'").select("event_id", F.concat(F.lit("YOU KNOCKED OUT Player"), F.col("user_id").cast("string"), F.lit(" with W1")).alias("text"), F.lit("en").alias("language"))
-    return jobs.drained(jobs.text_event_stream(s).select("event_id", "key")).drop("batch")
+    """All kinds of text in all languages."""
+    s = views.texts_of(_stream(spark, d).withColumn("us", F.expr("unix_micros(at)")))
+    return jobs.drained(jobs.text_event_stream(s).select("event_id", "ms", "target", "action", "subject", "key", "weapon")).drop("batch")
 
 
-_PROGRESS = "SELECT run_id, phase, max(seq) AS seq, max_by(current, seq) AS current, 60::BIGINT AS total, max_by(current, seq) = 60 AS done FROM prg WHERE phase <> 'unknown' AND current <= 60 GROUP BY run_id, phase"
+def _in_batches(e: DataFrame, conditions: list[str]) -> DataFrame:
+    """The rows of ``e`` as a stream of one micro-batch for each condition, in that order."""
+    spark, folder, files_each = e.sparkSession, jobs.work_folder(e.sparkSession), 4
+    for i, condition in enumerate(conditions):
+        e.filter(condition).repartition(files_each).write.parquet(f"{folder}/in/part={i}")
+    return spark.readStream.schema(e.withColumn("part", F.lit(0)).schema).option("maxFilesPerTrigger", files_each).parquet(f"{folder}/in").drop("part")
+
+
+def _thirds(e: DataFrame) -> DataFrame:
+    """The events as a stream of three micro-batches by id, which nearly follows their time."""
+    lo, hi = e.agg(F.min("event_id"), F.max("event_id")).first()
+    cut = [(lo or 0) + ((hi or 0) - (lo or 0) + 1) * i // 3 for i in (1, 2)]
+    return _in_batches(e, [f"event_id < {cut[0]}", f"event_id >= {cut[0]} and event_id < {cut[1]}", f"event_id >= {cut[1]}"])
+
+
+_PROGRESS = """, ln AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run_id, phase ORDER BY seq) AS i FROM prg WHERE phase <> 'unknown')
+SELECT run_id, phase, seq, c AS current, t AS total, phase = 'scan' AND c = t AS done FROM (SELECT *, row_number() OVER (PARTITION BY run_id, phase ORDER BY i DESC) AS r FROM (
+ WITH RECURSIVE fold AS (SELECT run_id, phase, 0::BIGINT AS i, NULL::BIGINT AS seq, 0::BIGINT AS c, 0::BIGINT AS t FROM ln WHERE i = 1 UNION ALL
+ SELECT ln.run_id, ln.phase, ln.i, CASE WHEN coalesce(ln.current, f.c) <= coalesce(ln.total, f.t) THEN ln.seq ELSE f.seq END, CASE WHEN coalesce(ln.current, f.c) <= coalesce(ln.total, f.t) THEN coalesce(ln.current, f.c) ELSE f.c END,
+  CASE WHEN coalesce(ln.current, f.c) <= coalesce(ln.total, f.t) THEN coalesce(ln.total, f.t) ELSE f.t END FROM fold f JOIN ln ON ln.run_id = f.run_id AND ln.phase = f.phase AND ln.i = f.i + 1) SELECT * FROM fold)) WHERE r = 1 AND seq IS NOT NULL"""
 
 
 @query(_PROGRESS)
@@ -736,11 +756,9 @@ def st2_progress_table(spark, d):
 
 @query(_PROGRESS)
 def st2_progress_stream(spark, d):
-    kind = F.col("event_type")
-    phase = F.when(kind == "click", F.lit("scan")).when(kind == "purchase", F.lit("dedupe")).when(kind == "signup", F.lit("trim")).when(kind == "error", F.lit("merge")).otherwise(F.lit("unknown"))
-    lines = _stream(spark, d).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), phase.alias("phase"), F.col("k").cast("bigint").alias("current"), F.lit(60).cast("bigint").alias("total"))
-    out = jobs.drained(jobs.progress_stream(lines), "update")
-    return out.groupBy("run_id", "phase").agg(F.max_by(F.struct("seq", "current", "total", "done"), "batch").alias("s")).select("run_id", "phase", "s.*").filter("seq >= 0")
+    lines = views.progress_lines(_thirds(views.events(spark, d)))
+    out = jobs.drained(jobs.progress_stream(lines), "update", typed=True)
+    return out.groupBy("run_id", "phase").agg(F.max_by(F.struct("seq", "current", "total", "done"), "batch").alias("s")).select("run_id", "phase", "s.*")
 
 
 @query("SELECT DISTINCT user_id AS source_idx, event_type AS target, 'k' || k AS event_key FROM ev")
@@ -758,24 +776,41 @@ def st4_clip_windows(spark, d):
     return jobs.drained(jobs.clip_windows(s), "complete").drop("batch")
 
 
-@query()
+def _far_names(e: DataFrame) -> DataFrame:
+    """Events of players whose names are far from each other, so that only equal keys and names agree; a tenth of a second is an hour."""
+    name, ms = F.md5(F.col("k").cast("string")), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 1000 div 36000")
+    action = F.when(F.col("event_type") == "click", F.lit("knock")).otherwise(F.lit("eliminate"))
+    target = F.when(F.col("event_type") == "error", F.lit("self-death")).otherwise(F.lit("own-kill"))
+    return e.select(F.col("user_id").alias("source_idx"), target.alias("target"), ms.alias("ms"), F.col("event_id").alias("ord"), action.alias("action"), F.concat(target, F.lit(":x:"), name).alias("key"), name.alias("name"), name.alias("actor"), (F.col("event_id") % 5 == 0).alias("assisted"), F.timestamp_millis(ms).alias("at"))
+
+
+_FAR = f""", far AS MATERIALIZED (SELECT user_id AS source_idx, CASE WHEN event_type = 'error' THEN 'self-death' ELSE 'own-kill' END AS target, (us - 1704067200000000) // 1000 // 36000 AS ms, event_id AS ord, CASE WHEN event_type = 'click' THEN 'knock' ELSE 'eliminate' END AS action, md5(CAST(k AS VARCHAR)) AS name, event_id % 5 = 0 AS assisted FROM ev),
+fst AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_idx, target, action, name ORDER BY ms, ord) = 1 AS first FROM far)
+SELECT source_idx, target, ms, target || ':x:' || name AS key, CASE WHEN NOT first THEN 'repeat' WHEN action = 'eliminate' AND EXISTS (SELECT 1 FROM fst n WHERE n.first AND n.action = 'knock' AND n.source_idx = f.source_idx AND n.target = f.target AND n.name = f.name AND (n.ms, n.ord) < (f.ms, f.ord) AND f.ms - n.ms <= 5000) THEN '{lifecycle.FOLLOWUP}'
+ WHEN assisted THEN '{lifecycle.ASSISTED}' ELSE 'kept' END AS decision FROM fst f"""
+
+
+@query(_FAR)
 def st5_lifecycle_stream(spark, d):
-    s = _stream(spark, d).select(F.col("user_id").alias("source_idx"), F.lit("own-kill").alias("target"), F.expr("unix_millis(at)").alias("ms"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "click", F.lit("knock")).otherwise(F.lit("eliminate")).alias("action"),
-                                 F.concat(F.lit("own-kill:x:player"), F.col("k").cast("string")).alias("key"), F.concat(F.lit("player"), F.col("k").cast("string")).alias("name"), F.concat(F.lit("player"), F.col("k").cast("string")).alias("actor"), "at")
-    return jobs.drained(jobs.lifecycle_stream(s)).drop("batch")
+    """Three micro-batches; rows of the id's order that lie behind in time stay within the watermark's delay."""
+    stream = jobs.lifecycle_stream(_far_names(_thirds(views.events(spark, d))), delay="1 hour", expire_ms=10**9)
+    return jobs.drained(stream, typed=True).drop("batch")
+
+
+@query(_FAR)
+def l1_far_names(spark, d):
+    """The batch form on the same rows."""
+    e = _far_names(views.events(spark, d)).withColumns({c: F.lit("") for c in ("subject", "weapon", "method", "event_text")})
+    return lifecycle.decided(e).select("source_idx", "target", "ms", "key", "decision")
 
 
 @query("SELECT count(*) AS late FROM ev WHERE k % 4 = 3 AND epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM ev WHERE k % 2 = 0) - 86400000 * 10::BIGINT")
 def st6_late_rows(spark, d):
     """Events in three batches by k; rows are late in the third by the watermark that the first has set for the second."""
-    folder, e = jobs.work_folder(spark), views.events(spark, d).withColumn("at", F.col("ts").cast("timestamp"))
-    for odd, part in enumerate(("k % 2 = 0", "k % 4 = 1", "k % 4 = 3")):
-        e.filter(part).coalesce(1).write.parquet(f"{folder}/in/odd={odd}")
-    s = spark.readStream.schema(e.withColumn("odd", F.lit(0)).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    s = _in_batches(views.events(spark, d).withColumn("at", F.col("ts").cast("timestamp")), ["k % 2 = 0", "k % 4 = 1", "k % 4 = 3"])
     rows = jobs.without_repeats(s.select(F.col("event_id").alias("source_idx"), F.col("event_type").alias("target"), F.col("k").cast("string").alias("event_key"), "at"), "at", "10 days")
-    run = rows.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.format("noop").mode("overwrite").save()).start()
-    run.awaitTermination()
-    return spark.createDataFrame([(jobs.late_rows([p for p in run.recentProgress]),)], "late bigint")
+    sink = rows.writeStream.option("checkpointLocation", f"{jobs.work_folder(spark)}/state").trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.format("noop").mode("overwrite").save())
+    return spark.createDataFrame([(jobs.late_rows(spark, sink.start),)], "late bigint")
 
 
 @query("SELECT DISTINCT k, 'p' || k AS payload FROM ev")

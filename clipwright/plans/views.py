@@ -41,17 +41,20 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(18000.0).alias("clip_before_sec"), F.lit(3600.0).alias("clip_after_sec"), F.lit("default").alias("context_rule"), F.lit("").alias("event_secs"))
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One on-screen text for each event, with its language."""
+def texts_of(e: DataFrame) -> DataFrame:
+    """One on-screen text for each event (user_id, event_id, event_type, k, us), with its language."""
     player, weapon = F.concat(F.lit("Player"), F.col("user_id").cast("string")), F.concat(F.lit("W"), F.col("k").cast("string"))
     kind = F.col("event_type")
     text = (F.when(kind == "click", F.concat(F.lit("YOU KNOCKED OUT "), player, F.lit(" with "), weapon)).when(kind == "purchase", F.concat(F.lit("你用"), weapon, F.lit("淘汰了"), player))
             .when(kind == "signup", F.concat(F.lit("您以"), weapon, F.lit("擊殺"), player)).when(kind == "error", F.concat(player, F.lit(" KNOCKED YOU out with "), weapon)).otherwise(F.lit("你在安全区外倒地了")))
     language = F.when(kind.isin("click", "error"), F.lit("en")).when(kind == "signup", F.lit("zh-Hant")).otherwise(F.lit("zh-Hans"))
-    e = spread(events(spark, sf_dir))
     return e.select(F.col("user_id").alias("source_idx"), F.col("event_id"), F.expr("us div 1000").alias("ms"), "event_type", "k", text.alias("text"), language.alias("language"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts_of(spread(events(spark, sf_dir)))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recording's file name for each event."""
     kind = F.col("event_type")
@@ -78,11 +81,15 @@ def run_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return d.filter("frame_id % 10 <> 3"), d.filter("frame_id % 10 <> 7").withColumn("target", F.when(F.col("frame_id") % 4 == 0, F.lit("xx")).otherwise(F.col("target")))
 
 
-def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
+def progress_lines(e: DataFrame) -> DataFrame:
+    """Progress lines of events: every fourth number of either kind is absent, so that lines depend on what they inherit."""
+    kind, n = F.col("event_type"), F.col("event_id")
     phase = F.when(kind == "click", F.lit("scan")).when(kind == "purchase", F.lit("dedupe")).when(kind == "signup", F.lit("trim")).when(kind == "error", F.lit("merge")).otherwise(F.lit("unknown"))
-    e = events(spark, sf_dir)
-    return e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), phase.alias("phase"), F.col("k").cast("bigint").alias("current"), F.lit(60).cast("bigint").alias("total"), F.expr("us div 1000").alias("ts_ms"))
+    return e.select(F.col("user_id").alias("run_id"), n.alias("seq"), phase.alias("phase"), F.when(n % 4 != 1, F.col("k")).cast("bigint").alias("current"), F.when(n % 4 != 2, 30 + n % 60).cast("bigint").alias("total"), "ts")
+
+
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progress_lines(events(spark, sf_dir)).withColumn("ts_ms", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000")).drop("ts")
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, nullcontext
+from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions.events import exploded_events
 from ..operators.cache import valid_entries
-from ..operators.lifecycle import _Seen
+from ..operators.lifecycle import ASSISTED, _Seen
 
-#: Phases that a run reports; others are passed over.
-PHASES = ("setup", "scan", "dedupe", "planning", "trim", "merge", "archive", "reporting")
+#: Phases whose numbers a run's state holds; others are passed over.
+REDUCED = ("scan", "dedupe", "trim", "merge")
 
 
 def text_event_stream(frames: DataFrame, target: str = "both") -> DataFrame:
@@ -44,83 +51,176 @@ def clip_windows(windows: DataFrame, delay: str = "1 minute") -> DataFrame:
     return grouped.agg(F.count("*").alias("event_count"), F.min("win_start").alias("start_at"), F.max("win_end").alias("end_at")).drop("session_window")
 
 
-def reduced(seq_rows: pd.DataFrame, state: tuple | None) -> tuple:
-    """The last valid (seq, current, total, done) after rows in order; a missing number is inherited."""
-    seq, current, total, done = state or (-1, None, None, False)
-    for row in seq_rows.sort_values("seq").itertuples(index=False):
-        if row.seq <= seq:
-            continue
-        now = current if pd.isna(row.current) else int(row.current)
-        whole = total if pd.isna(row.total) else int(row.total)
-        if now is not None and whole is not None and now > whole:
+def known_lines(lines: DataFrame) -> DataFrame:
+    """(run_id, phase, seq, current, total) of lines that may change a state: a reported phase, a place, and no number below zero."""
+    fit = F.col("phase").isin(*REDUCED) & F.col("seq").isNotNull() & F.coalesce(F.col("current") >= 0, F.lit(True)) & F.coalesce(F.col("total") >= 0, F.lit(True))
+    return lines.filter(fit).select("run_id", "phase", F.col("seq").cast("bigint").alias("seq"), F.col("current").cast("bigint").alias("current"), F.col("total").cast("bigint").alias("total"))
+
+
+def reduced(lines: Iterable[tuple[int, int | None, int | None]], state: tuple[int, int, int] | None = None) -> tuple[int, int, int] | None:
+    """The last valid (seq, current, total) after lines in order.
+
+    A missing number is the last valid one, 0 at first; a line is valid if its
+    numbers, inherited ones included, keep current within total.
+    """
+    seq, current, total = state or (None, 0, 0)
+    for n, c, t in lines:
+        if seq is not None and n <= seq:
             continue
-        seq, current, total = int(row.seq), now, whole
-        done = whole is not None and now == whole
-    return seq, current, total, done
+        c, t = current if c is None else c, total if t is None else t
+        if c <= t:
+            seq, current, total = n, c, t
+    return None if seq is None else (seq, current, total)
+
+
+def _plain(columns: Iterable[pd.Series | pa.Array]) -> Iterator[tuple]:
+    """Rows with missing numbers as None."""
+    return zip(*([None if v is None or v != v else int(v) for v in c.to_pylist()] if isinstance(c, pa.Array) else [None if pd.isna(v) else int(v) for v in c] for c in columns), strict=True)
+
+
+_STATE = "run_id bigint, phase string, seq bigint, current bigint, total bigint"
+
 
+def _is_done(states: DataFrame) -> DataFrame:
+    """``done``: a scan that has all of its total; other phases end by an event of their own."""
+    return states.withColumn("done", (F.col("phase") == "scan") & (F.col("current") == F.col("total")))
 
-def _progress(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = None
-    if state.exists:
-        seq, current, total, done = state.get
-        now = (seq, None if current < 0 else current, None if total < 0 else total, done)
-    for frame in frames:
-        now = reduced(frame, now)
-    seq, current, total, done = now
-    state.update((seq, -1 if current is None else current, -1 if total is None else total, done))
-    yield pd.DataFrame({"run_id": [key[0]], "phase": [key[1]], "seq": [seq], "current": pd.array([current], "Int64"), "total": pd.array([total], "Int64"), "done": [done]})
+
+class _Progress(StatefulProcessor):
+    """One phase of a run: its last valid line."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "seq bigint, current bigint, total bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        before = tuple(self.last.get()) if self.last.exists() else None
+        lines = sorted(chain.from_iterable(_plain(f[c] for c in ("seq", "current", "total")) for f in rows), key=lambda r: r[0])
+        now = reduced(lines, before)
+        if now is not None and now != before:
+            self.last.update(now)
+            yield pd.DataFrame([(*key, *now)], columns=["run_id", "phase", "seq", "current", "total"])
+
+    def close(self) -> None:
+        pass
 
 
 def progress_stream(lines: DataFrame) -> DataFrame:
-    """The last valid state of each run's phase (run_id, phase, seq, current, total), in update mode."""
-    known = lines.filter(F.col("phase").isin(*PHASES)).select("run_id", "phase", "seq", F.col("current").cast("double").alias("current"), F.col("total").cast("double").alias("total"))
-    out = "run_id bigint, phase string, seq bigint, current bigint, total bigint, done boolean"
-    return known.groupBy("run_id", "phase").applyInPandasWithState(_progress, out, "seq bigint, current bigint, total bigint, done boolean", "update", GroupStateTimeout.NoTimeout)
+    """(run_id, phase, seq, current, total, done): the last valid state of each run's phase whenever it changes, in update mode.
+
+    Lines are taken in the order of ``seq`` within a micro-batch, whatever
+    chunks they come in; one that comes after a later line is passed over.
+    Needs the RocksDB state store, see ``typed_state``.
+    """
+    return _is_done(known_lines(lines).groupBy("run_id", "phase").transformWithStateInPandas(_Progress(), _STATE, "update", "none"))
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by run, phase and seq; what is held is the state of the phase at hand."""
+    at, state, out = None, None, []
+    for b in batches:
+        runs, phases = b.column("run_id").to_pylist(), b.column("phase").to_pylist()
+        rows = list(_plain(b.column(c) for c in ("seq", "current", "total")))
+        first = 0
+        while first < len(rows):
+            key, end = (runs[first], phases[first]), first
+            while end < len(rows) and (runs[end], phases[end]) == key:
+                end += 1
+            if key != at:
+                out += [(*at, *state)] if state else []
+                at, state = key, None
+            state = reduced(rows[first:end], state)
+            first = end
+        if len(out) >= 10_000:
+            yield _states(out)
+            out = []
+    yield _states(out + ([(*at, *state)] if state else []))
+
+
+def _states(rows: list[tuple]) -> pa.RecordBatch:
+    names, kinds = ("run_id", "phase", "seq", "current", "total"), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
 def progress_table(lines: DataFrame) -> DataFrame:
-    """The same from a table: last valid values by run and phase."""
-    ok = lines.filter(F.col("phase").isin(*PHASES))
-    ok = ok.filter(F.col("current").isNull() | F.col("total").isNull() | (F.col("current") <= F.col("total")))
-    last = ok.groupBy("run_id", "phase").agg(F.max("seq").alias("seq"), F.max_by("current", F.when(F.col("current").isNotNull(), F.col("seq"))).alias("current"), F.max_by("total", F.when(F.col("total").isNotNull(), F.col("seq"))).alias("total"))
-    return last.withColumn("done", F.coalesce(F.col("current") == F.col("total"), F.lit(False)))
+    """The same from a table, in one pass over its lines in order.
+
+    After a line with both numbers, current within total, nothing before it
+    matters; only the lines from the last such one on are put in order.
+    """
+    fit = known_lines(lines)
+    whole = fit.filter("current <= total").groupBy("run_id", "phase").agg(F.max("seq").alias("from"))
+    open_ = fit.join(whole, ["run_id", "phase"], "left").filter(F.col("from").isNull() | (F.col("seq") >= F.col("from"))).drop("from")
+    return _is_done(open_.repartition("run_id", "phase").sortWithinPartitions("run_id", "phase", "seq").mapInArrow(_folded, _STATE))
+
 
+_EVENT = "action string, key string, name string, actor string, ms bigint"
 
-def _lifecycle(expire_ms: int):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+
+class _Lifecycle(StatefulProcessor):
+    """One source and target: what it has shown, a row for each first sighting; repeats add nothing."""
+
+    def __init__(self, expire_ms: int):
+        self.expire_ms = expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.shown = handle.getListState("shown", _EVENT)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         seen = _Seen(key[1])
-        if state.hasTimedOut:
-            state.remove()
-            return
-        for action, k, name, actor, ms in zip(*(state.get if state.exists else ([], [], [], [], [])), strict=True):
-            seen.add(action, k, name, actor, int(ms))
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ms", "ord"])
-        out, held = [], [list(c) for c in state.get] if state.exists else [[], [], [], [], []]
-        for r in rows.itertuples(index=False):
+        for row in self.shown.get():
+            seen.add(*row)
+        given = pd.concat(list(rows), ignore_index=True).sort_values(["ms", "ord"], kind="stable")
+        out, new = [], []
+        for r in given.itertuples(index=False):
             if seen.repeats(r.action, r.key, r.name, r.ms):
+                out.append((*key, int(r.ms), r.key, "repeat"))
                 continue
-            method = seen.follows(r.action, r.actor, r.ms)
-            seen.add(r.action, r.key, r.name, r.actor, r.ms)
-            for column, v in zip(held, (r.action, r.key, r.name, r.actor, int(r.ms)), strict=True):
-                column.append(v)
-            out.append((key[0], key[1], int(r.ms), r.key, method or "kept"))
-        state.update(tuple(held))
-        state.setTimeoutTimestamp(max(int(rows["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + expire_ms)
+            out.append((*key, int(r.ms), r.key, seen.follows(r.action, r.actor, r.ms) or (ASSISTED if r.assisted else "kept")))
+            new.append((r.action, r.key, r.name, r.actor, int(r.ms)))
+            seen.add(*new[-1])
+        if new:
+            self.shown.appendList(new)
+        # one timer a source: the last event of the longest silence so far moves it
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(max(int(given["at"].max().timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + self.expire_ms)
         yield pd.DataFrame(out, columns=["source_idx", "target", "ms", "key", "decision"])
 
-    return run
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.shown.clear()
+        yield pd.DataFrame({"source_idx": pd.Series([], dtype="int64"), "target": pd.Series([], dtype=object), "ms": pd.Series([], dtype="int64"), "key": pd.Series([], dtype=object), "decision": pd.Series([], dtype=object)})
 
+    def close(self) -> None:
+        pass
 
-def lifecycle_stream(events: DataFrame, time: str = "at", delay: str = "10 seconds", expire_ms: int = 3_600_000) -> DataFrame:
-    """First sightings and follow-ups of each source and target; what it has seen goes an hour of event time after its last event.
 
-    Events are taken in time order within a micro-batch; rows later than the
-    watermark are dropped.
+def lifecycle_stream(events: DataFrame, time: str = "at", delay: str = "10 seconds", expire_ms: int = 3_600_000) -> DataFrame:
+    """(source_idx, target, ms, key, decision): each event's decision, by the rules and in the order of ``lifecycle.decided``.
+
+    State is a list of first sightings by source and target; a micro-batch
+    appends its new ones and an event-time timer clears the list ``expire_ms``
+    after the last event.  Events are taken in time order within a micro-batch;
+    rows later than the watermark are dropped.  So with rows that come in order
+    of micro-batches and no silence longer than ``expire_ms`` the decisions are
+    those of the batch form.  ``assisted`` counts as false where the events
+    have no such column.  Needs the RocksDB state store, see ``typed_state``.
     """
-    rows = events.withWatermark(time, delay).select("source_idx", "target", "ms", "ord", "action", "key", "name", "actor", F.col(time).alias("at"))
-    return rows.groupBy("source_idx", "target").applyInPandasWithState(
-        _lifecycle(expire_ms), "source_idx bigint, target string, ms bigint, key string, decision string",
-        "actions array<string>, keys array<string>, names array<string>, actors array<string>, times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    assisted = F.coalesce("assisted", F.lit(False)) if "assisted" in events.columns else F.lit(False)
+    text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("action", "key", "name", "actor")]
+    rows = events.withWatermark(time, delay).select("source_idx", "target", "ms", "ord", *text, assisted.alias("assisted"), F.col(time).alias("at"))
+    return rows.groupBy("source_idx", "target").transformWithStateInPandas(_Lifecycle(expire_ms), "source_idx bigint, target string, ms bigint, key string, decision string", "append", "eventTime")
+
+
+@contextmanager
+def typed_state(spark: SparkSession) -> Iterator[None]:
+    """The RocksDB state store, which lists, values and timers need, for the queries started within."""
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def new_only(cache_path: str, compute: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
@@ -134,9 +234,46 @@ def new_only(cache_path: str, compute: Callable[[DataFrame], DataFrame]) -> Call
     return run
 
 
-def late_rows(progress: list[dict]) -> int:
-    """Rows that the watermark dropped, over the progress reports of a query."""
-    return sum(op.get("numRowsDroppedByWatermark", 0) for p in progress for op in p.get("stateOperators", []))
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that the watermark dropped over every progress report of a query, however many there are."""
+
+    def __init__(self):
+        self.by_query: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.by_query.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.by_query[str(p.id)] = self.by_query.get(str(p.id), 0) + sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))
+
+
+def late_rows(spark: SparkSession, start: Callable[[], StreamingQuery], patience: float = 60.0) -> int:
+    """Rows that the watermark dropped in the query that ``start`` starts and that ends by itself.
+
+    Reports reach a listener in their order and the end comes last, so the sum
+    is whole once the end is there; raises TimeoutError if it does not come.
+    """
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        query = start()
+        query.awaitTermination()
+        left = time.monotonic() + patience
+        while str(query.id) not in listener.ended:
+            if time.monotonic() > left:
+                raise TimeoutError("the query's end was not reported")
+            time.sleep(0.05)
+        return listener.by_query[str(query.id)]
+    finally:
+        spark.streams.removeListener(listener)
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -149,10 +286,11 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", typed: bool = False) -> DataFrame:
     """Run a stream over all input there is and read back what it gave, with the number of each ``batch``.
 
     In complete mode that is the whole table of the last batch, what is still open included.
+    ``typed`` streams keep their state in RocksDB.
     """
     spark = stream.sparkSession
     folder = work_folder(spark)
@@ -161,6 +299,6 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
         batch.withColumn("batch", F.lit(n)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
 
     spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0)).write.parquet(f"{folder}/out")
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination()
+    with typed_state(spark) if typed else nullcontext():
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")

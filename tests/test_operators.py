@@ -138,15 +138,6 @@ def test_budget_keeps_newest(spark):
     assert {r["id"] for r in telemetry.within_size_budget(df, 55, spread=7).collect()} == {95, 96, 97, 98, 99}
 
 
-def test_progress_reducer():
-    import pandas as pd
-
-    rows = pd.DataFrame({"seq": [1, 2, 3, 4], "current": [1, None, 9, 5], "total": [5, None, 5, 5]})
-    assert jobs.reduced(rows, None) == (4, 5, 5, True)
-    assert jobs.reduced(rows.iloc[:3], None) == (2, 1, 5, False)
-    assert jobs.reduced(rows.iloc[:1], (9, 2, 5, False)) == (9, 2, 5, False)
-
-
 def test_clip_windows_drain_whole(spark, tmp_path):
     """Two files out of time order: touching windows merge, and neither late rows nor open sessions are lost."""
     for n, rows in enumerate([[(1, 7200), (2, 90_000)], [(1, 0), (1, 3600), (2, 93_601)]]):
