@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from clipwright.llm import alignment, centroids, quality_rules
+from clipwright.llm import alignment, centroids, html_text, quality_rules
 from clipwright.llm.queries import byte_model, piece_model
 
 DOCS = "doc_id long, text string, row int, pairs string, rule string, q int"
@@ -246,3 +246,69 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert quality_rules.contract_rows(none).collect() == []
     assert alignment.aligned_tokens(none, byte_model(), piece_model()).collect() == []
+
+
+def own_text(html):
+    main, tokens, open_ = html_text.settled(html)
+    return main if main is not None else " ".join(w for w, o in zip(tokens, open_, strict=True) if o)
+
+
+def test_main_or_article_by_weight():
+    body = " ".join(f"w{i}" for i in range(60))
+    teaser = "<article><h2>Teaser {0}</h2></article>"
+    assert own_text(f"<main><p>{body}</p></main>{teaser.format('one')}{teaser.format('two')}") == body
+    assert own_text(f"{teaser.format('one')}<main><p>{body}</p></main>") == body
+    assert own_text(f"<main><p>{body}</p>{teaser.format('one')}</main>") == body
+    assert own_text(f"<main><p>by me</p><article>{body}</article></main>{teaser.format('x')}") == body
+    assert own_text(f"<main>short</main><article>{body}</article>") == body
+
+
+def test_adverts_notices_and_hidden_parts_go():
+    for name in ("advertisement-wrapper", "sponsored-content", "alert", "popup-overlay", "ads-container", "user-comments"):
+        assert own_text(f"<div>open</div><div class='{name}'>out</div>") == "open", name
+        assert own_text(f"<article>in<div class='{name}'>out</div></article>") == "in", name
+    for style in ("display:none", "color:red; DISPLAY : none", "visibility:hidden"):
+        assert own_text(f"<article>in<p style='{style}'>out</p></article>") == "in"
+    for name in ("header-content", "content-wrapper", "alerting", "main-container", "user-profile", "display-none"):
+        assert own_text(f"<article>in<div class='{name}' style='display:block'>in</div></article>") == "in in", name
+
+
+def cover_of(pages):
+    """Open tokens left of pages (host, tokens) with nothing marked, none a copy of another."""
+    hosts = defaultdict(list)
+    for i, (host, _) in enumerate(pages):
+        hosts[host].append(i)
+    left = {}
+    for own in hosts.values():
+        need = max(2, math.ceil(math.log2(len(own)))) if own else 2
+        seen = defaultdict(set)
+        for i in own:
+            w = pages[i][1]
+            for n in html_text.LENGTHS:
+                for p in range(len(w) - n + 1):
+                    seen[tuple(w[p : p + n])].add(i)
+        for i in own:
+            w, stay = pages[i][1], [True] * len(pages[i][1])
+            for n in html_text.LENGTHS:
+                for p in range(len(w) - n + 1):
+                    if len(seen[tuple(w[p : p + n])]) >= max(2, math.ceil(need * html_text.LENGTHS[0] / n)):
+                        stay[p : p + n] = [False] * n
+            left[i] = " ".join(x for x, s in zip(w, stay, strict=True) if s)
+    return left
+
+
+def test_cover_like_brute_force(spark):
+    """Texts of open pages and main elements against counts of every run of the given lengths."""
+    rng = random.Random(11)
+    parts = [[f"p{k}x{i}" for i in range(n)] for k, n in enumerate((5, 6, 7, 11, 12, 13, 25, 30, 49, 60))]
+    pages = []
+    for i in range(60):
+        words = [f"own{i}x{j}" for j in range(80)]
+        for part in rng.sample(parts, rng.randrange(4)):
+            at = rng.randrange(len(words))
+            words[at:at] = part[rng.randrange(2) :]
+        pages.append((f"h{i % 3}", words))
+    rows = [(i, f"http://{h}/{i}", f"<main>{' '.join(w)}</main>" if i % 2 else f"<div>{' '.join(w)}</div>") for i, (h, w) in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = cover_of(pages)
+    assert got == want and any(len(want[i].split()) < len(pages[i][1]) for i in want)
