@@ -50,6 +50,9 @@ TOGETHER = 1 << 21
 CHARACTERS = 1 << 20
 _SEEN = "!-~À-က、-퟿\U00010000-\U0010ffff"
 _CUT = re.compile(f"(?<=[{_SEEN}]) (?=[{_SEEN}])")
+#: A chunk that may stand beside others, and the characters of such a row.
+_WHOLE = re.compile(f"[{_SEEN}](?:.*[{_SEEN}])?", re.S)
+JOINED = 1 << 13
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -90,43 +93,71 @@ class Pair:
         self.cuts = plain_a and plain_b
         # an id with what follows it in a digest: another of its group's side, the other side, the next group
         self.names = [[f"{i}{mark}" for i in range(max(len(self.bytes_a), self.width))] for mark in ",|;"]
-        self.known: dict[str, Chunk] = {}
+        self.newer: dict[str, Chunk] = {}
+        self.older: dict[str, Chunk] = {}
 
     def chunks(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuts else [text]
 
     def look_up(self, chunks: set[str]) -> dict[str, Chunk]:
-        """All these chunks; new ones are encoded together."""
-        new = [c for c in chunks if c not in self.known]
-        got = dict(zip(new, self._encoded(new), strict=True)) if new else {}
-        found = {c: self.known[c] for c in chunks if c not in got} | got
-        if len(self.known) + len(got) > REMEMBERED:
-            self.known = {}
-        self.known |= {c: x for c, x in got.items() if len(c) <= SHORT}
+        """All these chunks; new ones are encoded together.
+
+        What is remembered is in two halves: a chunk asked for moves to the
+        newer one, and when that is full the older one goes.
+        """
+        found, new = {}, []
+        for c in chunks:
+            got = self.newer.get(c) or self.older.get(c)
+            if got:
+                found[c] = got
+            else:
+                new.append(c)
+        if new:
+            found |= self._encoded(new)
+        self.newer |= {c: x for c, x in found.items() if len(c) <= SHORT}
+        if len(self.newer) > REMEMBERED // 2:
+            self.older, self.newer = self.newer, {}
         return found
 
-    def _encoded(self, chunks: list[str]) -> list[Chunk]:
-        spaced = [" " + c for c in chunks]
+    def _encoded(self, chunks: list[str]) -> dict[str, Chunk]:
+        """Chunks that may stand side by side are encoded as one text."""
+        runs, size = [[]], 0
+        for c in chunks:
+            if self.cuts and _WHOLE.fullmatch(c):
+                if size + len(c) > JOINED:
+                    runs.append([])
+                    size = 0
+                runs[-1].append(c)
+                size += len(c) + 1
+        runs = [r for r in runs if r] + [[c] for c in chunks if not (self.cuts and _WHOLE.fullmatch(c))]
+        return dict(zip(chain.from_iterable(runs), self._encoded_runs(runs), strict=True))
+
+    def _encoded_runs(self, runs: list[list[str]]) -> list[Chunk]:
+        texts = [" ".join(r) for r in runs]
+        spaced = [" " + t for t in texts]
         encoded = self.a.encode_batch(spaced, add_special_tokens=False)
-        pieces = [m.pieces for m in self.b.encode(chunks, return_type="proto", num_threads=1)]
+        pieces = [m.pieces for m in self.b.encode(texts, return_type="proto", num_threads=1)]
         n_a, n_b = np.array([len(e.ids) for e in encoded]), np.array([len(p) for p in pieces])
         a = np.fromiter(chain.from_iterable(e.ids for e in encoded), np.int64, n_a.sum())
-        b = np.fromiter((p.id for m in pieces for p in m), np.int64, n_b.sum())
-        raws = [c.encode() for c in spaced]
+        b, ends_b = np.fromiter(chain.from_iterable((p.id, p.end) for m in pieces for p in m), np.int64, 2 * n_b.sum()).reshape(-1, 2).T
+        raws = [t.encode() for t in spaced]
         raw, sizes = b"".join(raws), np.array([len(r) for r in raws])
         good = (_sums(self.size_a[a], n_a) == sizes) & (_sums(self.size_b[b], n_b) == sizes)
         if not good.all() or self._spelt(a, b) != (raw, raw):
             split = [zip(np.split(x, np.cumsum(n)[:-1]), strict=True) for x, n in ((a, n_a), (b, n_b))]
             good = [self._spelt(x, y) == (r, r) for r, (x,), (y,) in zip(raws, *split, strict=True)]
-            whole = iter(self._encoded(some) if (some := [c for c, g in zip(chunks, good, strict=True) if g]) else [])
-            return [next(whole) if g else BROKEN for g in good]
-        stops = np.cumsum(sizes)
-        starts = stops - sizes
-        # A's offsets are characters of its chunk, the proto's are bytes of the text without the space before it
-        first = np.cumsum([len(c) for c in spaced]) - [len(c) for c in spaced]
+            again = [[c] for r, g in zip(runs, good, strict=True) for c in r if not g and len(r) > 1]
+            kept = iter(self._encoded_runs(some) if (some := [r for r, g in zip(runs, good, strict=True) if g]) else [])
+            alone = iter(self._encoded_runs(again) if again else [])
+            return [next(kept) if g else next(alone) if len(r) > 1 else BROKEN for r, g in zip(runs, good, strict=True) for _ in r]
+        begins = np.cumsum(sizes) - sizes
+        # A's offsets are characters of its run, the proto's are bytes of the text without the space before it
+        first = np.cumsum([len(t) for t in spaced]) - [len(t) for t in spaced]
         chars = np.fromiter((end for e in encoded for _, end in e.offsets), np.int64, len(a)) + np.repeat(first, n_a)
-        ends_b = np.fromiter((p.end for m in pieces for p in m), np.int64, len(b)) + 1 + np.repeat(starts, n_b)
-        return list(self._aligned(a, b, refined(in_bytes(raw, chars), self.size_a[a]), refined(ends_b, self.size_b[b]), stops, starts))
+        ends_b = ends_b + 1 + np.repeat(begins, n_b)
+        each = np.array([len(c.encode()) + 1 for r in runs for c in r])
+        stops = np.cumsum(each)
+        return list(self._aligned(a, b, refined(in_bytes(raw, chars), self.size_a[a]), refined(ends_b, self.size_b[b]), stops, stops - each))
 
     def _spelt(self, a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes]:
         return b"".join(map(self.bytes_a.__getitem__, a.tolist())), b"".join(map(self.bytes_b.__getitem__, b.tolist()))
