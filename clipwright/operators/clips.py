@@ -13,6 +13,8 @@ from ..functions.text import is_incendiary_for_planning
 EARLY = "skipped-before-min-event-sec"
 #: Windows this close still touch.
 TOUCH = 1e-6
+#: Seconds of media time that one task looks at together; what a recording can show within them bounds its rows.
+SLOT_SEC = 3600.0
 #: Counters and timings of a detection; a clip has those of its last event.
 LAST_OF = ("detector", "gate_reason", "termination_reason", "ocr_seconds", "detect_seconds", "ocr_frame_seconds", "refine_ocr_seconds", "assist_ocr_seconds", "sampled_count", "ocr_coarse_frames",
            "ocr_refine_frames", "ocr_gate_skipped_frames", "ocr_requests", "ocr_successes", "ocr_cache_hits", "ocr_skipped", "refine_budget_used", "assist_budget_used")
@@ -62,15 +64,30 @@ def with_windows(kept: DataFrame, plan: Planning) -> DataFrame:
             .withColumn("win_end", F.when(F.col("win_end") <= F.col("win_start"), short).otherwise(F.col("win_end"))))
 
 
-def numbered_clips(windows: DataFrame, *by: str) -> DataFrame:
+def _before(summary: DataFrame, by: tuple[str, ...], value: Column, name: str) -> DataFrame:
+    """``summary`` (_key, …) with an aggregate over the earlier slots of its group."""
+    earlier = Window.partitionBy(*[F.col(f"_key.{c}") for c in by]).orderBy("_key._slot").rowsBetween(Window.unboundedPreceding, -1)
+    return summary.withColumn(name, value.over(earlier))
+
+
+def numbered_clips(windows: DataFrame, *by: str, slot_sec: float = SLOT_SEC) -> DataFrame:
     """``clip_idx`` from 1 within ``by``: an event that starts after all earlier ends opens a clip.
 
-    Needs one duration for each group, as a source has.
+    Needs one duration for each group, as a source has.  A recording is cut
+    into slots of media time, so that no task holds a source.  A slot is known
+    to the later ones by how far its windows reach and how many clips open in
+    it; both are prefix aggregates over a group's slots, a row each.  Within a
+    slot the usual pass goes on from there.  Rows are dealt by group and slot
+    once; a struct is their key, so that null groups meet, too.
     """
-    order = Window.partitionBy(*by).orderBy("event_sec", "det_idx")
-    reach = F.max("win_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = (reach.isNull() | (F.col("win_start") > reach + TOUCH)).cast("int")
-    return windows.withColumn("_opens", opens).withColumn("clip_idx", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+    keyed = windows.withColumn("_key", F.struct(*by, F.floor(F.col("event_sec") / slot_sec).alias("_slot")))
+    reaches = _before(keyed.groupBy("_key").agg(F.max("win_end").alias("_end")), by, F.max("_end"), "_reach").drop("_end")
+    order = Window.partitionBy("_key").orderBy("event_sec", "det_idx")
+    reach = F.greatest("_reach", F.max("win_end").over(order.rowsBetween(Window.unboundedPreceding, -1)))  # passes over nulls
+    opened = keyed.join(reaches, "_key").withColumn("_at", reach).withColumn("_opens", (F.col("_at").isNull() | (F.col("win_start") > F.col("_at") + TOUCH)).cast("int"))
+    opened = opened.withColumn("_own", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ahead = _before(opened.groupBy("_key").agg(F.sum("_opens").alias("_n")), by, F.sum("_n"), "_ahead").drop("_n")
+    return opened.join(ahead, "_key").withColumn("clip_idx", F.col("_own") + F.coalesce("_ahead", F.lit(0))).drop("_key", "_reach", "_at", "_opens", "_own", "_ahead")
 
 
 def _distinct_join(items: str, field: str, sep: str, drop: str = "") -> Column:

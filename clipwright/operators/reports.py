@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import fixed3_by_ms
+from ..functions.numbers import fixed3
 from ..functions.text import first_score
 
 #: The columns of the two reports, in order.
@@ -28,7 +28,7 @@ _TEXTS = {"Target": "target", "EventSecs": "event_secs", "EventKeys": "event_key
 
 def seconds_text(x: Column) -> Column:
     """Three decimals of the exact value of a number of seconds; null gives the empty text."""
-    return F.coalesce(fixed3_by_ms(x), F.lit(""))
+    return F.coalesce(fixed3(x), F.lit(""))
 
 
 def _records(df: DataFrame, status: str, given: dict[str, Column]) -> DataFrame:

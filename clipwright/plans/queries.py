@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import diagnostics, events, identity, numbers, reading, text
-from ..operators import cache, clips, compare, dedupe, lifecycle, reports, schedule, telemetry
+from ..operators import cache, clips, compare, dedupe, lifecycle, reports, requests, schedule, telemetry
 from ..sources import files, sinks
 from ..streaming import jobs
 from . import views
@@ -208,7 +208,7 @@ def p17_p19_milliseconds(spark, d):
     return views.events(spark, d).select("event_id", numbers.ms_key(F.col("value")).alias("ms"), numbers.round3(F.col("value")).alias("r3"))
 
 
-@query()
+@query("SELECT event_id, CAST(format('{:.3f}', value / 7) AS DOUBLE) AS rounded, format('{:.3f}', value / 7) AS fixed FROM events")
 def p18_exact_rounding(spark, d):
     return views.events(spark, d).select("event_id", numbers.rounded_exactly(F.col("value") / 7).alias("rounded"), numbers.fixed3(F.col("value") / 7).alias("fixed"))
 
@@ -342,17 +342,12 @@ def s4_last_of_each_id(spark, d):
     return files.last_by_line(c.select(F.col("conv_id").alias("frame_id"), "text", "turn"), "frame_id", "turn").select("frame_id", "text")
 
 
-@query("SELECT source_idx, count(DISTINCT clip_idx) AS n_clips FROM num GROUP BY source_idx")
+@query("SELECT source_idx, CAST(clip_idx AS BIGINT) AS clip_idx, round(arg_min(ws, (event_sec, det_idx)), 6) AS start_sec, round(max(we), 6) AS end_sec, count(*) AS n FROM num GROUP BY source_idx, clip_idx")
 def s5_planning_requests(spark, d):
-    """Requests as JSON documents, one for each source, planned and answered as JSON."""
-    fields = ["source_idx", "det_idx", "duration_sec", "event_sec", "target", "event_key", "event_weapon", "language", "method", "text", "scores"]
-    det = views.detections(spark, d).select(*fields)
-    schema = f"array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in det.schema)}>>"
-    requests = det.groupBy("source_idx").agg(F.to_json(F.collect_list(F.struct(*fields))).alias("value"))
-    parsed = requests.select(F.explode(F.from_json("value", schema)).alias("x")).select("x.*")
-    made = clips.planned_clips(clips.with_context(clips.early(parsed, PLAN)[0], PLAN), PLAN)
-    answers = made.groupBy("source_idx").agg(F.to_json(F.collect_list(F.struct("clip_idx", "start_sec", "end_sec"))).alias("value"))
-    return answers.select("source_idx", F.json_array_length("value").cast("bigint").alias("n_clips"))
+    """Detections to request lines and back from answer lines."""
+    answers = requests.answered(requests.request_lines(views.detections(spark, d), 86400.0), PLAN)
+    clip = requests.answer_clips(answers).select("source_idx", "c.*")
+    return clip.select("source_idx", F.col("clip_idx").cast("bigint").alias("clip_idx"), _six("start_sec").alias("start_sec"), _six("end_sec").alias("end_sec"), F.col("event_count").cast("bigint").alias("n"))
 
 
 @query("SELECT l_orderkey || ',' || l_linenumber || ',\"' || l_linestatus || ',' || l_returnflag || '\"' AS line FROM lineitem")
