@@ -3,21 +3,26 @@
 State lies in the shared folder, in tables that an insertion only adds to:
 
 * ``postings``: (k1, k2, doc_id), one row for each document that holds a key;
-* ``counts``: (k1, k2, n_docs, max_doc, seen): how many documents of one
-  insertion hold a key, and the largest of them;
-* ``filters``: for each shard of the keys its cuckoo filters.
+* ``counts``: (k1, k2, n_docs, max_doc, seen, ins): how many documents of one
+  insertion hold a key, the largest of them, and the insertion's number;
+* ``filters``: for each shard of the keys its cuckoo filters;
+* ``places``: (ins, was, gen): to which filter of a shard, as they were cut
+  then, an insertion's new keys went.
 
 An insertion asks the filters of its keys' shards first.  A key that they have
 never seen cannot be counted yet, so its row is final until some later row says
-``seen``; only possible members meet the exact table, and only keys with such a
-row are ever summed.  Then the new keys go into the shard's last filter, or
+``seen``; only possible members meet the exact table (up to ``BROADCAST_KEYS``
+of them are sent to it, and it is not shuffled), and only keys with such a row
+are ever summed.  Then the new keys go into the shard's last filter, or
 into a new one of twice its room when that is full.
 Shards double as keys grow; both halves start with copies of the filters, which
 may answer "seen" too often and never too seldom.
 
 A deletion takes documents' postings out, recounts the keys they held, writes
 both tables anew and removes the fingerprints of keys whose last reference
-went.  Filters only ever screen: every answer is from exact counts.
+went, each from the filter that its first insertion put it in: a fingerprint in
+another filter may be another key's, and taking that would let the key be
+forgotten.  Filters only ever screen: every answer is from exact counts.
 """
 
 from __future__ import annotations
@@ -193,11 +198,14 @@ class LineIndex:
         self.postings: list[Kept] = []
         self.counts: list[Kept] = []
         self.filters: Kept | None = None
+        self.places: list[Kept] = []
+        #: Shards at each insertion.
+        self.cut: list[int] = []
 
     def insert(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
         plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
         new = keep(plain.mapInPandas(_postings(self.min_chars), "doc_id long, k1 long, k2 long").select("k1", "k2", "doc_id").distinct())
-        counted = keep(_counted(new.df).withColumn("seen", F.lit(False)))
+        counted = keep(_counted(new.df).withColumn("seen", F.lit(False)).withColumn("ins", F.lit(len(self.cut))))
         total = counted.df.count()
         self._spread(total)
         fresh = counted.df
@@ -206,7 +214,10 @@ class LineIndex:
             counted.drop()
             counted = asked
             # of possible members those that the exact table lacks are new after all
-            fresh = asked.df.filter("not seen").union(asked.df.filter("seen").join(_union(self.counts), ["k1", "k2"], "left_anti"))
+            maybe, exact = asked.df.filter("seen"), _union(self.counts).select("k1", "k2")
+            if maybe.count() <= BROADCAST_KEYS:
+                exact = F.broadcast(exact.join(F.broadcast(maybe.select("k1", "k2")), ["k1", "k2"], "left_semi").distinct())
+            fresh = asked.df.filter("not seen").union(maybe.join(exact, ["k1", "k2"], "left_anti"))
         self._learn(fresh)
         self.keys += total
         self.postings.append(new)
@@ -220,12 +231,15 @@ class LineIndex:
         lost = keep(held.join(out, "doc_id", "left_semi").select("k1", "k2").distinct())
         postings = keep(held.join(out, "doc_id", "left_anti").select("k1", "k2", "doc_id"))
         recount = _counted(postings.df.join(lost.df, ["k1", "k2"], "left_semi"))
-        counts = keep(self.totals().join(lost.df, ["k1", "k2"], "left_anti").union(recount).withColumn("seen", F.lit(False)))
-        gone = self._sharded(lost.df.join(counts.df, ["k1", "k2"], "left_anti"))
-        filters = keep(self.filters.df.groupBy("shard").cogroup(gone.groupBy("shard")).applyInPandas(_forget, _FILTERS))
-        self.close()
+        first = keep(_union(self.counts).join(lost.df, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min("ins").alias("ins")))
+        recount = recount.join(first.df, ["k1", "k2"])
+        counts = keep(self.totals().join(lost.df, ["k1", "k2"], "left_anti").unionByName(recount).select("k1", "k2", "n_docs", "max_doc", F.lit(False).alias("seen"), "ins"))
+        shards = F.element_at(F.array(*map(F.lit, self.cut)), F.col("ins") + 1)
+        gone = first.df.join(counts.df, ["k1", "k2"], "left_anti").withColumn("was", F.pmod("k2", shards).cast("int")).join(_union(self.places), ["ins", "was"])
+        filters = keep(self.filters.df.groupBy("shard").cogroup(self._sharded(gone.select("k1", "k2", "gen")).groupBy("shard")).applyInPandas(_forget, _FILTERS))
+        for t in (*self.postings, *self.counts, self.filters, lost, first):
+            t.drop()
         self.postings, self.counts, self.filters = [postings], [counts], filters
-        lost.drop()
 
     def _sharded(self, keys: DataFrame) -> DataFrame:
         return keys.withColumn("shard", F.expr(f"cast(pmod(k2, {self.shards}) as int)"))
@@ -248,14 +262,16 @@ class LineIndex:
         else:
             made = keep(new.applyInPandas(lambda rows: _extend(rows.iloc[:0], rows), _FILTERS))
         self.filters = made
+        self.places.append(keep(made.df.groupBy(F.lit(len(self.cut)).alias("ins"), F.col("shard").alias("was")).agg(F.max("gen").alias("gen"))))
+        self.cut.append(self.shards)
 
     def totals(self) -> DataFrame:
-        """(k1, k2, n_docs, max_doc): the exact count of each key; only keys that some insertion met again are summed."""
+        """(k1, k2, n_docs, max_doc, ins): the exact count of each key and its first insertion; only keys that some insertion met again are summed."""
         rows = _union(self.counts)
         if len(self.counts) < 2:
             return rows.drop("seen")
         again = rows.filter("seen").select("k1", "k2").distinct()
-        summed = rows.join(again, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        summed = rows.join(again, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.min("ins").alias("ins"))
         return rows.join(again, ["k1", "k2"], "left_anti").drop("seen").union(summed)
 
     def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -272,13 +288,13 @@ class LineIndex:
         return lost.df
 
     def close(self) -> None:
-        for t in (*self.postings, *self.counts, self.filters):
+        for t in (*self.postings, *self.counts, *self.places, self.filters):
             if t:
                 t.drop()
-        self.postings, self.counts, self.filters = [], [], None
+        self.postings, self.counts, self.places, self.filters = [], [], [], None
 
 
-_COUNTS = "k1 long, k2 long, n_docs long, max_doc long, seen boolean"
+_COUNTS = "k1 long, k2 long, n_docs long, max_doc long, seen boolean, ins int"
 _FILTERS = "shard int, gen int, cuckoo binary"
 
 
@@ -303,7 +319,7 @@ def _ask(rows: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     seen = np.zeros(len(rows), bool)
     for held in _loaded(filters):
         seen |= held.contains(keys)
-    return rows.assign(seen=seen)[["k1", "k2", "n_docs", "max_doc", "seen"]]
+    return rows.assign(seen=seen)[["k1", "k2", "n_docs", "max_doc", "seen", "ins"]]
 
 
 def _extend(filters: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -320,10 +336,11 @@ def _extend(filters: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _forget(filters: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
-    """A key's fingerprint goes from the first filter that holds it."""
-    made, keys = _loaded(filters), gone["k1"].to_numpy(np.int64)
-    for held in made:
-        keys = keys[~held.remove(keys)]
+    """A key's fingerprint goes from the filter ``gen`` that it was put in."""
+    made = _loaded(filters)
+    for gen, rows in gone.groupby("gen"):
+        if not made[gen].remove(rows["k1"].to_numpy(np.int64)).all():
+            raise RuntimeError("a held key has no fingerprint")
     return filters.sort_values("gen").assign(cuckoo=[m.to_bytes() for m in made])[["shard", "gen", "cuckoo"]]
 
 

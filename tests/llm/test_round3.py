@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from clipwright.llm import alignment, centroids, html_text, quality_rules
+from clipwright.llm import alignment, centroids, html_text, lines, quality_rules
 from clipwright.llm.queries import byte_model, piece_model
 
 DOCS = "doc_id long, text string, row int, pairs string, rule string, q int"
@@ -312,3 +312,43 @@ def test_cover_like_brute_force(spark):
     got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     want = cover_of(pages)
     assert got == want and any(len(want[i].split()) < len(pages[i][1]) for i in want)
+
+
+def twin_prints(n):
+    """Pairs of lines whose keys have one fingerprint and one place in a filter of the least size."""
+    made, by = lines.filter_of(np.zeros(0, np.int64)), {}
+    pairs, i = [], 0
+    while len(pairs) < n:
+        line = f"a line that is planted under number {i} and is long enough"
+        h = np.array([lines._digest(lines.line_key(line))[0]], np.int64)
+        mark = tuple(int(x[0]) for x in made._places(h)[:2])
+        if mark in by:
+            pairs.append((by.pop(mark), line))
+        else:
+            by[mark] = line
+        i += 1
+    return pairs
+
+
+def test_deletion_takes_the_fingerprint_of_its_own_filter(spark):
+    """Twins of one fingerprint in two filters: the later one's deletion must not forget the earlier one."""
+    pairs = twin_prints(6)
+    fill = [f"filler line number {i} which is long enough to be counted as well" for i in range(60)]
+    index = lines.LineIndex(spark)
+    index.insert(spark.createDataFrame([(1, "\n".join([a for a, _ in pairs] + fill))], "doc_id long, text string"))
+    second = [f"another filler {i} that makes the filter grow to one more generation" for i in range(60)]
+    index.insert(spark.createDataFrame([(2, "\n".join([b for _, b in pairs] + second))], "doc_id long, text string"))
+    assert index.filters.df.count() > 1
+    index.delete(spark.createDataFrame([(2,)], "doc_id long"))
+    held = np.array([lines._digest(lines.line_key(a))[0] for a, _ in pairs] + [lines._digest(lines.line_key(x))[0] for x in fill], np.int64)
+    filters = [lines.CuckooFilter.of_bytes(bytes(r["cuckoo"])) for r in index.filters.df.collect()]
+    assert np.any([f.contains(held) for f in filters], axis=0).all()
+    for i in range(10, 14):  # one more document each, up to five
+        index.insert(spark.createDataFrame([(i, "\n".join(a for a, _ in pairs))], "doc_id long, text string"))
+    assert index.repeated().count() == len(pairs)
+    index.delete(spark.createDataFrame([(i,) for i in (1, *range(10, 14))], "doc_id long"))
+    assert index.totals().count() == 0
+    assert not any(np.frombuffer(bytes(r["cuckoo"]), np.uint16).any() for r in index.filters.df.collect())
+    index.insert(spark.createDataFrame([(i, pairs[0][0]) for i in range(5)], "doc_id long, text string"))
+    assert [r["max_doc"] for r in index.repeated().collect()] == [4]
+    index.close()
