@@ -95,29 +95,33 @@ class Pair:
         self.names = [[f"{i}{mark}" for i in range(max(len(self.bytes_a), self.width))] for mark in ",|;"]
         self.newer: dict[str, Chunk] = {}
         self.older: dict[str, Chunk] = {}
+        self.broken: set[str] = set()
 
     def chunks(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuts else [text]
 
-    def look_up(self, chunks: set[str]) -> dict[str, Chunk]:
-        """All these chunks; new ones are encoded together.
+    def chunked(self, texts: list[str]) -> Iterator[list[Chunk] | None]:
+        """The chunks of each text; None where it has no tokens.
 
-        What is remembered is in two halves: a chunk asked for moves to the
-        newer one, and when that is full the older one goes.
+        What is remembered is in two halves: a chunk asked for is in the newer
+        one or moves there, and when that is full the older one goes.
         """
-        found, new = {}, []
-        for c in chunks:
-            got = self.newer.get(c) or self.older.get(c)
-            if got:
-                found[c] = got
-            else:
-                new.append(c)
-        if new:
-            found |= self._encoded(new)
-        self.newer |= {c: x for c, x in found.items() if len(c) <= SHORT}
+        cut = [self.chunks(t) if t else [] for t in texts]
+        missing = set().union(*cut).difference(self.newer)
+        again = missing.intersection(self.older)
+        self.newer.update((c, self.older[c]) for c in again)
+        new = self._encoded(list(missing - again)) if missing - again else {}
+        self.newer |= new
+        self.broken.update(c for c, x in new.items() if x is BROKEN)
+        for chunks in cut:
+            yield None if not chunks or (self.broken and not self.broken.isdisjoint(chunks)) else list(map(self.newer.__getitem__, chunks))
+        for c in new:
+            if len(c) > SHORT:
+                del self.newer[c]
+                self.broken.discard(c)
         if len(self.newer) > REMEMBERED // 2:
             self.older, self.newer = self.newer, {}
-        return found
+            self.broken.intersection_update(self.older)
 
     def _encoded(self, chunks: list[str]) -> dict[str, Chunk]:
         """Chunks that may stand side by side are encoded as one text."""
@@ -232,18 +236,14 @@ def pair(path_a: str, path_b: str) -> Pair:
 
 
 def _aligned_texts(both: Pair, texts: list[str]) -> Iterator[list[Chunk] | None]:
-    """The chunks of each text; None where it has no tokens."""
+    """The chunks of each text, as many texts at a time as ``CHARACTERS`` allows."""
     at = 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= CHARACTERS):
             size += len(texts[end])
             end += 1
-        cut = [both.chunks(t) if t else [] for t in texts[at:end]]
-        found = both.look_up(set().union(*cut))
-        for chunks in cut:
-            got = [found[c] for c in chunks]
-            yield got if got and all(c.digest is not None for c in got) else None
+        yield from both.chunked(texts[at:end])
         at = end
 
 
@@ -261,11 +261,11 @@ def _documents(path_a: str, path_b: str):
         for batch in batches:
             rows, keys, times = [], [], []
             for got in _aligned_texts(both, [t or "" for t in texts_of(batch)]):
-                links, n = np.unique(np.frombuffer(b"".join([c.links for c in got]), np.int32), return_counts=True) if got else (_NONE, _NONE)
+                n_a, n_b, n_groups, digests, packed, _ = zip(*got, strict=True) if got else ((),) * 6
+                links, n = np.unique(np.frombuffer(b"".join(packed), np.int32), return_counts=True)
                 keys.append(links)
                 times.append(n)
-                digest = hashlib.sha256(";".join([c.digest for c in got]).encode()).hexdigest() if got else ""
-                rows.append((sum(c.n_a for c in got or ()), sum(c.n_b for c in got or ()), sum(c.n_groups for c in got or ()), int(n.sum()), digest))
+                rows.append((sum(n_a), sum(n_b), sum(n_groups), int(n.sum()), hashlib.sha256(";".join(digests).encode()).hexdigest() if got else ""))
             columns = list(map(list, zip(*rows, strict=True))) if rows else [[]] * 5
             yield {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "pairs": _lists(keys), "times": _lists(times)} | dict(zip(_FIELDS[1:], columns, strict=True))
 
