@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ms_key
+from .telemetry import ranks
 
 
 @dataclass(frozen=True)
@@ -166,12 +168,82 @@ def observed(schedule: DataFrame, frames: DataFrame) -> DataFrame:
     return rows.withColumn("method", F.when(F.coalesce("read_ok", F.lit(False)), F.lit(None).cast("string")).otherwise(F.lit("frame-read-failed")))
 
 
+def joint_reads(scheduled: DataFrame, refined: DataFrame, assists: DataFrame) -> DataFrame:
+    """(source_idx, ms, roi, kind, ord): all reads of each source in the order they are asked for.
+
+    ``scheduled`` has (source_idx, ms); ``refined`` and ``assists`` have
+    (source_idx, seed_ms, step, ms): the reads that follow a scheduled one, in
+    the order of ``step`` from 0.  Assists look at a region of their own.
+    """
+    def part(rows: DataFrame, roi: str, kind: int, name: str) -> DataFrame:
+        at = F.col("seed_ms").cast("bigint") * (1 << 20) + (kind << 18) + F.col("step").cast("bigint")
+        return rows.select("source_idx", F.col("ms").cast("bigint").alias("ms"), F.lit(roi).alias("roi"), F.lit(name).alias("kind"), at.alias("ord"))
+
+    seeds = scheduled.select("source_idx", "ms", F.col("ms").alias("seed_ms"), F.lit(0).alias("step"))
+    return part(seeds, "event", 0, "scheduled").unionByName(part(refined, "event", 1, "refine")).unionByName(part(assists, "assist", 2, "assist"))
+
+
+#: What becomes of a read; the last two are why it is skipped.
+READ, CACHED, EXHAUSTED, TOO_SOON = "read", "cached", "ocr-budget-exhausted", "ocr-min-interval"
+
+
+def ledger(reads: DataFrame, calls: int | None = None, interval_ms: float = 0) -> DataFrame:
+    """``outcome`` of each read (source_idx, ms, roi, ord): read, cached, or why it is skipped.
+
+    A source's reads of every kind draw on one budget, in the order of ``ord``,
+    which is distinct within a source.  A moment that was read before in the
+    same region costs nothing, one that was skipped may be asked for again.
+    Nearer than ``interval_ms`` to the last read made, before or after it, a
+    read is skipped, too.  Without an interval the last affordable read of a
+    source is an exact rank of its first asks, so that no task sees all of
+    them; with one each read depends on the last made, and a source's reads are
+    folded in order by one task that keeps the moments it has read.
+    """
+    if calls is not None and calls < 0:
+        raise ValueError("calls must not be negative")
+    if interval_ms > 0:
+        rows = reads.repartition("source_idx").sortWithinPartitions("source_idx", "ord")
+        return rows.mapInPandas(_outcomes(calls, interval_ms), f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in reads.schema)}, outcome string")
+    moment = ["source_idx", "ms", "roi"]
+    first = reads.groupBy(F.struct(*moment).alias("_at")).agg(F.min("ord").alias("_first"))
+    rows = reads.withColumn("_at", F.struct(*moment)).join(first, "_at")
+    affordable = F.lit(True)
+    if calls is not None:
+        asks = first.select(F.col("_at.source_idx").alias("source_idx"), "_first")
+        last = ranks(asks, "source_idx", "_first", lambda n: {"_last": F.least(n, F.lit(max(calls, 1)))})
+        rows = rows.join(last, F.col("source_idx").eqNullSafe(F.col("_of")), "left").drop("_of")
+        affordable = F.lit(calls > 0) & (F.col("_first") <= F.col("_last"))
+    outcome = F.when(~affordable, F.lit(EXHAUSTED)).when(F.col("ord") == F.col("_first"), F.lit(READ)).otherwise(F.lit(CACHED))
+    return rows.withColumn("outcome", outcome).select(*reads.columns, "outcome")
+
+
+def _outcomes(calls: int | None, interval_ms: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, made, known, last = object(), 0, set(), None
+        for frame in frames:
+            out = []
+            for source, ms, roi in zip(frame["source_idx"], frame["ms"], frame["roi"], strict=True):
+                source = None if pd.isna(source) else source
+                if source != at:
+                    at, made, known, last = source, 0, set(), None
+                if (roi, ms) in known:
+                    out.append(CACHED)
+                elif calls is not None and made >= calls:
+                    out.append(EXHAUSTED)
+                elif last is not None and abs(ms - last) < interval_ms - 1e-3:
+                    out.append(TOO_SOON)
+                else:
+                    made, last = made + 1, ms
+                    known.add((roi, ms))
+                    out.append(READ)
+            yield frame.assign(outcome=out)
+
+    return run
+
+
 def within_budget(reads: DataFrame, calls: int) -> DataFrame:
-    """The first ``calls`` distinct reads of each source by time; repeats of one (roi, ms) cost nothing."""
-    first = repeats(reads)
-    order = Window.partitionBy("source_idx").orderBy("ms", "roi")
-    ranked = first.filter(~F.col("cached")).withColumn("_n", F.row_number().over(order))
-    return first.join(ranked.filter(F.col("_n") <= calls).select("source_idx", "ms", "roi"), ["source_idx", "ms", "roi"], "left_semi")
+    """The reads of each source that ``calls`` allow, by ``ord``; repeats of one (roi, ms) cost nothing."""
+    return ledger(reads, calls).filter(F.col("outcome") != EXHAUSTED).drop("outcome")
 
 
 def repeats(reads: DataFrame) -> DataFrame:
@@ -180,28 +252,105 @@ def repeats(reads: DataFrame) -> DataFrame:
     return reads.withColumn("cached", F.row_number().over(order) > 1)
 
 
-def spaced(reads: DataFrame, interval_ms: int) -> DataFrame:
+#: Milliseconds of media time that one task looks at together.
+SLOT_MS = 3_600_000
+
+
+def spaced(reads: DataFrame, interval_ms: int, slot_ms: int = SLOT_MS) -> DataFrame:
     """(source_idx, ms) of reads that come at least ``interval_ms`` after the last accepted one.
 
-    A fold over each source's sorted moments that keeps only the last accepted one.
+    Each read links to the first one at least the interval later; what is
+    accepted is the chain from a source's first read.  A recording is cut into
+    slots.  The chain can enter a slot only at a read less than the interval
+    after its begin, or at the first one later; for each of these the slot says
+    where the chain leaves it, found by doubling its links.  Going from slot to
+    slot over these few rows gives the true entries, and each slot follows its
+    own chain.  No task holds a source's reads.
     """
-    rows = reads.select("source_idx", "ms").filter("ms is not null").distinct()
-    schema = f"source_idx {rows.schema['source_idx'].dataType.simpleString()}, ms bigint"
+    if interval_ms < 0 or slot_ms < 1:
+        raise ValueError("interval_ms must not be negative and slot_ms positive")
+    rows = reads.select("source_idx", F.col("ms").cast("bigint").alias("ms")).filter("ms is not null").distinct().withColumn("_slot", F.floor(F.col("ms") / slot_ms)).withColumn("_key", F.struct("source_idx", "_slot"))
+    kind = rows.schema["source_idx"].dataType.simpleString()
+    dealt = rows.repartition("_key").sortWithinPartitions("_key", "ms").select("source_idx", "_slot", "ms")
+    ways = dealt.mapInPandas(_ways(interval_ms, slot_ms), f"source_idx {kind}, _slot bigint, entry bigint, leaves bigint")
+    entries = ways.repartition("source_idx").sortWithinPartitions("source_idx", "_slot", "entry").mapInPandas(_entries(interval_ms), f"source_idx {kind}, _slot bigint, entry bigint")
+    entered = rows.join(entries.select(F.struct("source_idx", "_slot").alias("_key"), "entry"), "_key").sortWithinPartitions("_key", "ms")
+    return entered.select("source_idx", "_slot", "ms", "entry").mapInPandas(_chain(interval_ms), f"source_idx {kind}, ms bigint")
+
+
+def _slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each slot, which come one after the other."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        codes = pd.factorize(frame["source_idx"], use_na_sentinel=False)[0]
+        slots = frame["_slot"].to_numpy()
+        cuts = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | (slots[1:] != slots[:-1])) + 1).tolist(), len(frame)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = frame.iloc[a:b]
+            if held and not (held[0]["_slot"].iloc[0] == part["_slot"].iloc[0] and _same(held[0]["source_idx"].iloc[0], part["source_idx"].iloc[0])):
+                yield pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held)
+
+
+def _same(a, b) -> bool:
+    return (pd.isna(a) and pd.isna(b)) or a == b
+
+
+def _links(ms: np.ndarray, interval_ms: int) -> np.ndarray:
+    """The place of the first read at least the interval later, always a later one; the number of reads where there is none."""
+    return np.maximum(np.searchsorted(ms, ms + interval_ms), np.arange(1, len(ms) + 1))
+
+
+def _ways(interval_ms: int, slot_ms: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for slot in _slots(frames):
+            ms, n = slot["ms"].to_numpy(), len(slot)
+            links = _links(ms, interval_ms)
+            last = np.where(links < n, links, np.arange(n))
+            while (further := last[last]).tolist() != last.tolist():
+                last = further
+            may = min(int(np.searchsorted(ms, slot["_slot"].iloc[0] * slot_ms + interval_ms)) + 1, n)
+            yield slot.iloc[:may][["source_idx", "_slot"]].assign(entry=ms[:may], leaves=ms[last[:may]])
+
+    return run
+
+
+def _entries(interval_ms: int):
+    """Where the chain enters each slot; rows come sorted by source, slot and entry."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, last = None, None
+        at, slot, least = object(), None, None
         for frame in frames:
             keep = []
-            for source, ms in zip(frame["source_idx"], frame["ms"], strict=True):
+            for source, own, entry, leaves in zip(frame["source_idx"], frame["_slot"], frame["entry"], frame["leaves"], strict=True):
                 source = None if pd.isna(source) else source
-                if last is None or source != at or ms - last >= interval_ms:
-                    at, last = source, ms
-                    keep.append(True)
-                else:
-                    keep.append(False)
-            yield frame[keep]
+                if source != at:
+                    at, slot, least = source, None, None
+                enters = own != slot and (least is None or entry >= least)
+                if enters:
+                    slot, least = own, max(leaves + interval_ms, leaves + 1)
+                keep.append(enters)
+            yield frame[keep][["source_idx", "_slot", "entry"]]
 
-    return rows.repartition("source_idx").sortWithinPartitions("source_idx", "ms").mapInPandas(run, schema)
+    return run
+
+
+def _chain(interval_ms: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for slot in _slots(frames):
+            ms = slot["ms"].to_numpy()
+            links, at, chosen = _links(ms, interval_ms), int(np.searchsorted(ms, slot["entry"].iloc[0])), []
+            while at < len(ms):
+                chosen.append(at)
+                at = int(links[at])
+            yield slot.iloc[chosen][["source_idx", "ms"]]
+
+    return run
 
 
 def gate_summary(frames: DataFrame) -> DataFrame:

@@ -422,14 +422,29 @@ def j2_observed_schedule(spark, d):
     return schedule.observed(plan, frames).select("source_idx", "ms", "method")
 
 
-@query(_RD + "SELECT source_idx, ms, roi, ord FROM rd SEMI JOIN (SELECT source_idx, ms, roi FROM (SELECT *, row_number() OVER (PARTITION BY source_idx ORDER BY ms, roi) AS n FROM (SELECT DISTINCT source_idx, ms, roi FROM rd)) WHERE n <= 20) USING (source_idx, ms, roi)")
+_JOINT = """, sch AS (SELECT DISTINCT user_id AS source_idx, CAST(k * 250 AS BIGINT) AS seed FROM ev), jn AS (SELECT source_idx, seed AS ms, 'event' AS roi, 'scheduled' AS kind, seed * 1048576 AS ord FROM sch UNION ALL
+ SELECT source_idx, seed - 2000 + x * 1000, 'event', 'refine', seed * 1048576 + 262144 + x FROM sch, range(2) r(x) WHERE seed % 3 = 0 UNION ALL SELECT source_idx, seed + x * 500, 'assist', 'assist', seed * 1048576 + 524288 + x FROM sch, range(3) r(x) WHERE seed % 4 = 0),
+fo AS (SELECT *, min(ord) OVER (PARTITION BY source_idx, ms, roi) AS f FROM jn), rk AS (SELECT source_idx, f, row_number() OVER (PARTITION BY source_idx ORDER BY f) AS n FROM (SELECT DISTINCT source_idx, f FROM fo))
+SELECT source_idx, CAST(ms AS BIGINT) AS ms, roi, kind, CAST(ord AS BIGINT) AS ord, CASE WHEN n > 40 THEN 'ocr-budget-exhausted' WHEN ord = f THEN 'read' ELSE 'cached' END AS outcome FROM fo JOIN rk USING (source_idx, f)"""
+
+
+def _joint(spark, d):
+    """Scheduled reads, of some of which two are refined back and three look for assists."""
+    seeds = _reads(spark, d).select("source_idx", "ms").distinct()
+    after = seeds.withColumn("seed_ms", F.col("ms"))
+    refined = after.filter("ms % 3 = 0").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumn("ms", F.col("seed_ms") - 2000 + F.col("step") * 1000)
+    assists = after.filter("ms % 4 = 0").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("ms", F.col("seed_ms") + F.col("step") * 500)
+    return schedule.joint_reads(seeds, refined, assists)
+
+
+@query(_JOINT)
 def l3_budget(spark, d):
-    return schedule.within_budget(_reads(spark, d), 20).select("source_idx", "ms", "roi", "ord")
+    return schedule.ledger(_joint(spark, d), 40)
 
 
 @query(_RD.replace(", rd", ", r0") + ", rd AS (SELECT DISTINCT source_idx, ms FROM r0) SELECT source_idx, ms FROM (WITH RECURSIVE sp AS (SELECT source_idx, min(ms) AS ms FROM rd GROUP BY 1 UNION ALL SELECT sp.source_idx, (SELECT min(rd.ms) FROM rd WHERE rd.source_idx = sp.source_idx AND rd.ms >= sp.ms + 900) FROM sp WHERE sp.ms IS NOT NULL) SELECT * FROM sp WHERE ms IS NOT NULL)")
 def l4_spacing(spark, d):
-    return schedule.spaced(_reads(spark, d), 900)
+    return schedule.spaced(_reads(spark, d), 900, slot_ms=4000)
 
 
 @query(_RD + "SELECT ord, row_number() OVER (PARTITION BY source_idx, ms, roi ORDER BY ord) > 1 AS cached FROM rd")
