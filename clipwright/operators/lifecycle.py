@@ -12,10 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identity import alike_keys, followup_subject, noisy_names, noisy_without_ratio, stable_names, stable_subject
+from ..functions.identity import alike_pairs, followup_subject, noisy_names, noisy_without_ratio, stable_names, stable_subject
 from ..functions.text import is_assist_only
+from ..sources.tables import written
 
 CLOSE_MS = 5000
+#: Up to so many names of a source are compared all with all.
+FEW = 64
 ASSIST_MS, ASSIST_STEP_MS = 1200, 500
 SELF_FOLLOWUP = "paddle-followup-self-elimination-skipped-after-knock"
 FOLLOWUP = "paddle-followup-elimination-skipped"
@@ -39,17 +42,96 @@ def same_pairs(events: DataFrame) -> DataFrame:
     alike names cannot lack, not from all pairs of a recording's players.
     """
     by = ["source_idx", "target", "action"]
-    names = events.groupBy(*by, "key").agg(F.min("name").alias("name"))
-    # of the rules for a target only the noisy ones differ
-    stable = alike_keys(names, by, "own-kill").filter("stable").select(*by, F.col("ka").alias("a"), F.col("kb").alias("b"), F.lit("stable").alias("how"))
+    held = events.select(*by, "key", "name").distinct()
+    pairs = _alike_by_target(held, by).select(*by, F.col("a").alias("na"), F.col("b").alias("nb"), "stable")
+    x, y = held.withColumnsRenamed({"key": "a", "name": "na"}), held.withColumnsRenamed({"key": "b", "name": "nb"})
+    named = pairs.filter("stable").drop("stable").unionByName(held.filter("name <> ''").select(*by, F.col("name").alias("na"), F.col("name").alias("nb")).distinct())
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    stable = named.join(x, [*by, "na"]).join(y, [*by, "nb"]).filter("a <> b").select(*by, *ends, F.lit("stable").alias("how"))
     seen = events.select(*by, "key", "name", "ms").distinct().withColumn("slot", F.expr(f"ms div {CLOSE_MS}"))
-    x = seen.withColumnsRenamed({"key": "a", "name": "na", "ms": "ma"})
-    y = seen.withColumnsRenamed({"key": "b", "name": "nb", "ms": "mb"}).withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
-    near = x.join(y, [*by, "slot"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("ma") - F.col("mb")) <= CLOSE_MS))
-    noisy = near.select(*by, "a", "b", "na", "nb").distinct().filter(noisy_without_ratio(F.col("na"), F.col("nb"), F.col("target"))).select(*by, "a", "b", F.lit("noisy").alias("how"))
+    x = seen.withColumnsRenamed({"key": "a", "name": "na", "ms": "ma"}).withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
+    y = seen.withColumnsRenamed({"key": "b", "name": "nb", "ms": "mb"})
+    near = pairs.filter("not stable").join(x, [*by, "na"]).join(y, [*by, "nb", "slot"]).filter((F.col("a") != F.col("b")) & (F.abs(F.col("ma") - F.col("mb")) <= CLOSE_MS))
+    noisy = near.select(*by, *ends, F.lit("noisy").alias("how"))
     return stable.unionByName(noisy).groupBy(*by, "a", "b").agg(F.max("how").alias("how"))
 
 
+def _alike_by_target(names: DataFrame, by: list[str]) -> DataFrame:
+    """``alike_pairs`` under the rules of each row's own target."""
+    deaths = alike_pairs(names.filter("target = 'self-death'"), by, "self-death")
+    return deaths.unionByName(alike_pairs(names.filter("target <> 'self-death'"), by, "own-kill"))
+
+
+def name_groups(events: DataFrame) -> DataFrame:
+    """(source_idx, target, name, part): which names of a source can have a say in each other's decisions, by the least of them.
+
+    Names and actors are linked if the rules hold them for one player at any
+    distance, and so are the name and the actor of an event and the names of
+    one key.  Sources with few names compare them all at once; of the others
+    what meets in a task is the pairs of linked names, found by what alike
+    names cannot lack, and not the events.  Names without a link may be absent.
+    """
+    by, kind = ["source_idx", "target"], events.schema["source_idx"].dataType.simpleString()
+    shape = f"source_idx {kind}, target string, name string, part string"
+    shown = events.select(*by, "key", "name", "actor").distinct()
+    sizes = shown.groupBy(*by).agg(F.count("*").alias("n"))
+    few = shown.join(sizes.filter(F.col("n").between(2, FEW)).drop("n"), by).groupBy(*by).agg(F.collect_list(F.struct("key", "name", "actor")).alias("shown"))
+    groups = few.union(shown.join(sizes.filter("n = 1").drop("n"), by).filter("name <> actor").select(*by, F.array(F.struct("key", "name", "actor")).alias("shown"))).mapInPandas(_compared, shape)
+    many = sizes.filter(F.col("n") > FEW).select(*by)
+    if many.isEmpty():
+        return groups
+    rest = shown.join(many, by, "left_semi")
+    every = rest.select(*by, F.explode(F.array("name", "actor")).alias("name")).distinct()
+    alike = _alike_by_target(every, by).select(*by, "a", "b")
+    own = rest.filter("name <> actor").select(*by, F.col("name").alias("a"), F.col("actor").alias("b"))
+    first = rest.groupBy(*by, "key").agg(F.min("name").alias("a"), F.max("name").alias("most")).filter("a <> most").drop("most")
+    links = alike.union(own).union(first.join(rest, [*by, "key"]).filter("a <> name").select(*by, "a", F.col("name").alias("b"))).distinct()
+    return groups.union(links.groupBy(*by).applyInPandas(_joined_names, shape))
+
+
+class _Joined:
+    """Names that are one by a chain of links, known by the least of them."""
+
+    def __init__(self):
+        self.above: dict[str, str] = {}
+
+    def root(self, x: str) -> str:
+        while (up := self.above.setdefault(x, x)) != x:
+            self.above[x] = self.above.setdefault(up, up)
+            x = up
+        return x
+
+    def link(self, a: str, b: str) -> None:
+        x, y = self.root(a), self.root(b)
+        self.above[max(x, y)] = min(x, y)
+
+
+def _joined_names(links: pd.DataFrame) -> pd.DataFrame:
+    made = _Joined()
+    for a, b in zip(links["a"], links["b"], strict=True):
+        made.link(a, b)
+    names = sorted(made.above)
+    return pd.DataFrame({"source_idx": links["source_idx"].iloc[0], "target": links["target"].iloc[0], "name": names, "part": [made.root(n) for n in names]})
+
+
+def _compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The groups of up to ``FEW`` (key, name, actor) of a source, each two names compared."""
+    for frame in frames:
+        out = []
+        for source, target, shown in zip(frame["source_idx"], frame["target"], frame["shown"], strict=True):
+            made, of_key = _Joined(), {}
+            for s in shown:
+                made.link(s["name"], s["actor"])
+                made.link(s["name"], of_key.setdefault(s["key"], s["name"]))
+            names = sorted(made.above)
+            for i, a in enumerate(names):
+                for b in names[:i]:
+                    if made.root(a) != made.root(b) and noisy_names(a, b, target):
+                        made.link(a, b)
+            out += [(source, target, n, made.root(n)) for n in names]
+        yield pd.DataFrame(out, columns=["source_idx", "target", "name", "part"])
+
+
 def _assist_grid(at: Column, event: Column) -> Column:
     return (at >= event) & (at <= event + ASSIST_MS) & ((at - event) % ASSIST_STEP_MS == 0)
 
@@ -125,31 +207,38 @@ _DECISION = "decision string"
 
 
 def _decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by source, target and time; a recording may span frames, its memory is the players it has shown."""
+    """Rows come sorted by source, target, part and time; a part may span frames, its memory is the players it has shown."""
     at, seen = None, None
     for frame in frames:
         out = []
-        for source, target, ms, action, key, name, actor, assisted in zip(*(frame[c] for c in ("source_idx", "target", "ms", "action", "key", "name", "actor", "assisted")), strict=True):
-            if (source, target) != at:
-                at, seen = (source, target), _Seen(target)
+        for source, target, part, ms, action, key, name, actor, assisted, knocked in zip(*(frame[c] for c in ("source_idx", "target", "_part", "ms", "action", "key", "name", "actor", "assisted", "_knocked")), strict=True):
+            if (source, target, part) != at:
+                at, seen = (source, target, part), _Seen(target)
             if seen.repeats(action, key, name, ms):
                 out.append("repeat")
                 continue
-            method = seen.follows(action, actor, ms)
+            method = SELF_FOLLOWUP if knocked and action == "eliminate" else seen.follows(action, actor, ms)
             out.append(method or (ASSISTED if assisted else "kept"))
             seen.add(action, key, name, actor, ms)
-        yield frame.assign(decision=out)
+        yield frame.drop(columns=["_part", "_knocked"]).assign(decision=out)
 
 
 def decided(events: DataFrame) -> DataFrame:
     """Each event with its ``decision``: kept, repeat, or why it is suppressed; suppressed ones count as seen.
 
-    A fold in time order for each source and target.  All rules compare equal
-    targets only, so these are independent.
+    A fold in time order.  All rules compare equal targets only, and names that
+    no chain of likeness connects have no say in each other's decisions, so
+    each group of linked names of a source and target is folded alone.  What
+    reaches over groups is that a death follows any earlier knock: a source's
+    first knock is never a repeat, so its time beside the rows says that.  The
+    rows are written once, as several steps read them.
     """
     cols = ["source_idx", "target", "ms", "ord", "action", "subject", "key", "weapon", "method", "event_text", "name", "actor", "assisted"]
-    rows = events.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if events.schema[c].dataType.typeName() == "string" else F.col(c) for c in cols])
-    dealt = rows.repartition("source_idx", "target").sortWithinPartitions("source_idx", "target", "ms", "ord")
+    rows = written(events.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if events.schema[c].dataType.typeName() == "string" else F.col(c) for c in cols]))
+    by, order = ["source_idx", "target"], F.struct("ms", "ord")
+    knock = rows.filter("target = 'self-death' and action = 'knock'").groupBy(*by).agg(F.min(order).alias("_knock"))
+    wide = rows.join(name_groups(rows), [*by, "name"], "left").join(knock, by, "left").withColumn("_part", F.coalesce("part", "name")).withColumn("_knocked", F.coalesce(F.col("_knock") < order, F.lit(False)))
+    dealt = wide.select(*cols, "_part", "_knocked").repartition(*by, "_part").sortWithinPartitions(*by, "_part", "ms", "ord")
     return dealt.mapInPandas(_decide, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, {_DECISION}")
 
 

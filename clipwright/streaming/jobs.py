@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,6 +20,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 from ..functions.events import exploded_events
 from ..operators.cache import valid_entries
 from ..operators.lifecycle import ASSISTED, _Seen
+from ..sources.tables import shared_folder
 
 #: Phases whose numbers a run's state holds; others are passed over.
 REDUCED = ("scan", "dedupe", "trim", "merge")
@@ -277,13 +277,8 @@ def late_rows(spark: SparkSession, start: Callable[[], StreamingQuery], patience
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder for a stream's checkpoint and output, in the session's shared folder; a temporary one on one machine alone."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A fresh folder for a stream's checkpoint and output, in the shared folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str = "append", typed: bool = False) -> DataFrame:

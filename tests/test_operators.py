@@ -262,7 +262,7 @@ def test_language_votes_like_a_loop(spark):
         assert got[n] == (files.PROFILES[want]["language"] if want is not None else None), n
 
 
-def test_lifecycle_like_loops(spark):
+def test_lifecycle_like_loops(spark, monkeypatch):
     """Same players, assists, follow-ups and decisions against plain loops over noisy names."""
     rng = random.Random(6)
     bases = ["[ABC]Hunter77", "Sniper_Wolf", "noob12345", "李小龙玩家", "xXshadowXx"]
@@ -312,6 +312,8 @@ def test_lifecycle_like_loops(spark):
     assert got == want and 5 < len(want) < len(rows)
 
     decided = {(r["source_idx"], r["target"], r["ms"]): r["decision"] for r in lifecycle.decided(df).collect()}
+    monkeypatch.setattr(lifecycle, "FEW", 3)  # the same by links from what alike names cannot lack
+    assert {(r["source_idx"], r["target"], r["ms"]): r["decision"] for r in lifecycle.decided(df).collect()} == decided
     want, held = {}, {}
     for x in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         own = held.setdefault(x[:2], [])
@@ -326,3 +328,27 @@ def test_lifecycle_like_loops(spark):
             want[x[:3]] = lifecycle.FOLLOWUP
         own.append(x)
     assert decided == want and len(set(want.values())) >= 3
+
+
+def test_a_hot_recording_is_folded_in_parts(spark):
+    """One source with all events of 300 players far from each other: each is folded alone, and the decisions are those of one fold."""
+    rng = random.Random(8)
+    names = [f"{rng.getrandbits(80):020x}"[:14].translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(300)]
+    rows = [(1, rng.choice(["own-kill", "self-death"]), i * 40, 0, rng.choice(["knock", "eliminate"]), n, f"k:x:{n}", n, n, "", "", "", False) for i, n in enumerate(rng.choice(names) for _ in range(2500))]
+    df = spark.createDataFrame(rows, "source_idx int, target string, ms long, ord int, action string, subject string, key string, name string, actor string, weapon string, method string, event_text string, assisted boolean")
+    parts = {(r["target"], r["name"]): r["part"] for r in lifecycle.name_groups(df).collect()}
+    sizes = {}
+    for r in rows:
+        part = (r[1], parts.get((r[1], r[7]), r[7]))
+        sizes[part] = sizes.get(part, 0) + 1
+    assert max(sizes.values()) < len(rows) / 20
+    got = {(r["target"], r["ms"]): r["decision"] for r in lifecycle.decided(df).collect()}
+    want, held = {}, {}
+    for x in rows:
+        seen = held.setdefault(x[1], lifecycle._Seen(x[1]))
+        if seen.repeats(x[4], x[6], x[7], x[2]):
+            want[x[1], x[2]] = "repeat"
+            continue
+        want[x[1], x[2]] = seen.follows(x[4], x[8], x[2]) or "kept"
+        seen.add(x[4], x[6], x[7], x[8], x[2])
+    assert got == want and len(set(want.values())) == 4
