@@ -41,7 +41,7 @@ from .pieces import SPACE
 from .store import keep
 
 #: Chunks up to so many characters are remembered, so many of them in a task.
-SHORT, REMEMBERED = 64, 400_000
+SHORT, REMEMBERED = 64, 600_000
 #: Pairs whose counts every task holds: at most 4 MB.
 COMMON = 1 << 18
 #: Pairs that a task gathers before it counts them.
@@ -161,12 +161,12 @@ class Pair:
         ends_b = ends_b + 1 + np.repeat(begins, n_b)
         each = np.array([len(c.encode()) + 1 for r in runs for c in r])
         stops = np.cumsum(each)
-        return list(self._aligned(a, b, refined(in_bytes(raw, chars), self.size_a[a]), refined(ends_b, self.size_b[b]), stops, stops - each))
+        return list(self._aligned(a, b, refined(in_bytes(raw, chars), self.size_a[a]), refined(ends_b, self.size_b[b]), stops))
 
     def _spelt(self, a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes]:
         return b"".join(map(self.bytes_a.__getitem__, a.tolist())), b"".join(map(self.bytes_b.__getitem__, b.tolist()))
 
-    def _aligned(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, stops: np.ndarray, starts: np.ndarray) -> Iterator[Chunk]:
+    def _aligned(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, stops: np.ndarray) -> Iterator[Chunk]:
         """Groups and links of chunks that end at ``stops``; all ends ascend over all chunks."""
         cuts = ends_a[np.isin(ends_a, ends_b, assume_unique=True)]
         edges = np.union1d(ends_a, ends_b)  # two tokens overlap between two edges and in no other place
@@ -181,28 +181,26 @@ class Pair:
         text = [names[m][i] for m, i in zip(mark.tolist(), ids.tolist(), strict=True)]
         upto = np.stack([np.searchsorted(x, stops, "right") for x in (ends_a, ends_b, cuts, edges)])
         n_a, n_b, n_groups, n_links = np.diff(upto, axis=1, prepend=0)
-        ends = (cuts - np.repeat(starts, n_groups)).astype(np.int32).tobytes()
         packed = links.astype(np.int32).tobytes()
-        last_text, last_group, last_link = 0, 0, 0
+        last_text, last_link = 0, 0
         for na, nb, ng, nl in zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist(), strict=True):
             digest = "".join(text[last_text : last_text + na + nb])[:-1]
-            yield Chunk(na, nb, ng, digest, packed[last_link : last_link + 4 * nl], ends[last_group : last_group + 4 * ng])
-            last_text, last_link, last_group = last_text + na + nb, last_link + 4 * nl, last_group + 4 * ng
+            yield Chunk(na, nb, ng, digest, packed[last_link : last_link + 4 * nl])
+            last_text, last_link = last_text + na + nb, last_link + 4 * nl
 
 
 class Chunk(NamedTuple):
-    """Tokens of either side, groups and their ends in bytes, links as A id times B's vocabulary plus B id (both as 32-bit integers); ``digest`` is None where the bytes differ."""
+    """Tokens of either side, groups, and links as A id times B's vocabulary plus B id, in 32-bit integers; ``digest`` is None where the bytes differ."""
 
     n_a: int
     n_b: int
     n_groups: int
     digest: str | None
     links: bytes
-    ends: bytes
 
 
 _NONE = np.zeros(0, np.int32)
-BROKEN = Chunk(0, 0, 0, None, b"", b"")
+BROKEN = Chunk(0, 0, 0, None, b"")
 
 
 def in_bytes(raw: bytes, chars: np.ndarray) -> np.ndarray:
@@ -261,7 +259,7 @@ def _documents(path_a: str, path_b: str):
         for batch in batches:
             rows, keys, times = [], [], []
             for got in _aligned_texts(both, [t or "" for t in texts_of(batch)]):
-                n_a, n_b, n_groups, digests, packed, _ = zip(*got, strict=True) if got else ((),) * 6
+                n_a, n_b, n_groups, digests, packed = zip(*got, strict=True) if got else ((),) * 5
                 links, n = np.unique(np.frombuffer(b"".join(packed), np.int32), return_counts=True)
                 keys.append(links)
                 times.append(n)
@@ -363,16 +361,14 @@ def token_groups(docs: DataFrame, path_a: str, path_b: str, text: str = "text",
     def groups(texts):
         import pandas as pd
 
-        out = []
-        for got in _aligned_texts(pair(path_a, path_b), [t if isinstance(t, str) else "" for t in texts]):
-            row, base = [], 0
+        both, out = pair(path_a, path_b), []
+        for got in _aligned_texts(both, [t if isinstance(t, str) else "" for t in texts]):
+            row, end = [], 0
             for c in got or ():
-                begin = base
-                for end, group in zip((np.frombuffer(c.ends, np.int32) + base).tolist(), c.digest.split(";"), strict=True):
+                for group in c.digest.split(";"):
                     a, b = ([int(i) for i in side.split(",")] for side in group.split("|"))
+                    begin, end = end, end + int(both.size_a[a].sum())
                     row.append({"begin": begin, "end": end, "a": a, "b": b})
-                    begin = end
-                base = begin
             out.append(row if got else None)
         return pd.Series(out)
 
