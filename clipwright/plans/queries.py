@@ -6,6 +6,7 @@ views of ``_WITH``, the same tables that ``views`` makes in Spark.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import diagnostics, events, identity, numbers, reading, text
 from ..operators import cache, clips, compare, dedupe, lifecycle, reports, requests, schedule, telemetry
-from ..sources import files, sinks
+from ..sources import files, sinks, tables
 from ..streaming import jobs
 from . import views
 
@@ -190,6 +191,30 @@ def g3_text_events(spark, d):
     return _events(spark, d, "both").select("event_id", "target", "method", "action", "subject", "key", "text", "weapon", "ord")
 
 
+_BUSY = """, two AS (SELECT event_id, user_id, k, event_id % 6 AS n FROM ev)
+SELECT event_id, target, method, action, subject, target || key AS key, CASE WHEN method = 'paddle-zone-self-downed-text' THEN '' ELSE 'W' || k END AS weapon, ord FROM (
+ SELECT *, 'own-kill' AS target, 'paddle-own-kill-text' AS method, 'knock' AS action, 'A' || user_id || 'x' AS subject, ':knock:a' || user_id || 'x' AS key, 0 AS ord FROM two WHERE n = 0 UNION ALL
+ SELECT *, 'own-kill', 'paddle-own-kill-text', 'eliminate', 'B' || user_id, ':eliminate:b' || user_id, 1 FROM two WHERE n = 0 UNION ALL
+ SELECT *, 'self-death', 'paddle-strict-self-text', 'eliminate', 'A' || user_id || '用W' || k, ':eliminate:a' || user_id, 0 FROM two WHERE n = 3 UNION ALL
+ SELECT *, 'self-death', 'paddle-zone-self-downed-text', 'zone-downed', 'zone', ':zone', 1 FROM two WHERE n = 3 UNION ALL
+ SELECT *, 'own-kill', 'paddle-own-kill-text', 'eliminate', 'A' || user_id || 'x', ':eliminate:a' || user_id || 'x', 0 FROM two WHERE n = 4)"""
+
+
+@query(_BUSY)
+def g3_busy_texts(spark, d):
+    """Two events in a text, assists, delayed kills and scoreboards."""
+    e = events.exploded_events(views.busy_texts(spark, d), "both")
+    return e.select("event_id", "target", "method", "action", "subject", "key", "weapon", "ord")
+
+
+@query("""SELECT event_id, n IN (1, 4) AS assist, n = 2 AS delayed, n = 1 AS assist_only, CASE n WHEN 1 THEN 'paddle-own-kill-assist-skipped' WHEN 2 THEN 'paddle-own-kill-delayed-elim-skipped' WHEN 3 THEN 'paddle-strict-self-text' WHEN 5 THEN 'paddle-not-target-text' ELSE 'paddle-own-kill-text' END AS method,
+ CASE WHEN n IN (1, 4) THEN 'paddle-own-kill-assist-skipped' ELSE 'paddle-not-assist-text' END AS in_assist_roi, n IN (0, 4) AS candidate FROM (SELECT event_id, event_id % 6 AS n FROM ev)""")
+def p9_p15_busy_texts(spark, d):
+    t, lang = F.col("text"), F.col("language")
+    return views.busy_texts(spark, d).select("event_id", text.has_assist(t, lang).alias("assist"), text.is_delayed(t, lang).alias("delayed"), text.is_assist_only(t, lang).alias("assist_only"), events.classification(t, F.lit("both"), lang, F.lit(False)).alias("method"),
+                                             events.classification(t, F.lit("both"), lang, F.lit(True)).alias("in_assist_roi"), (F.size(events.own_kill_events(t, lang)) > 0).alias("candidate"))
+
+
 @query("SELECT event_id, method, CASE WHEN event_type IN ('error', 'view') THEN 'paddle-not-target-text' ELSE method END AS own, 'paddle-not-assist-text' AS assist FROM tev")
 def p14_p15_classification(spark, d):
     t, lang = F.col("text"), F.col("language")
@@ -336,6 +361,15 @@ def s1_media_listing(spark, d):
     return docs.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".MP4")).alias("path"), F.col("n_chars").alias("length")).filter(F.regexp_like("path", F.lit(r"(?i)\.mp4$")))
 
 
+@query("SELECT conv_id AS frame_id, max_by(text, turn) AS text FROM conversations GROUP BY conv_id")
+def s4_json_rows(spark, d):
+    """Turns as JSON lines in several files, in the order of their turns by path; the last line of an id is read back."""
+    folder, c = tables.shared_folder(spark) + f"/json-{uuid.uuid4().hex}", views.table(spark, d, "conversations")
+    lines = c.select(F.floor(F.col("turn") / 2).cast("int").alias("part"), "turn", F.to_json(F.struct(F.col("conv_id").alias("frame_id"), "text"), {"ignoreNullFields": "false"}).alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "turn").select(F.format_string("%09d", "part").alias("part"), "value").write.partitionBy("part").text(folder)
+    return files.read_json_rows(spark, folder, "frame_id bigint, text string")
+
+
 @query("SELECT conv_id AS frame_id, max_by(text, turn) AS text FROM conversations GROUP BY conv_id")
 def s4_last_of_each_id(spark, d):
     c = views.table(spark, d, "conversations")

@@ -55,6 +55,15 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts_of(spread(events(spark, sf_dir)))
 
 
+def busy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with two events, an assist, a delayed kill, a death, a scoreboard and none, by the event's id."""
+    u, w = F.col("user_id").cast("string"), F.concat(F.lit("W"), F.col("k").cast("string"))
+    n, e = F.col("event_id") % 6, spread(events(spark, sf_dir))
+    text = (F.when(n == 0, F.concat(F.lit("你使用"), w, F.lit("击倒了A"), u, F.lit("x你用"), w, F.lit("淘汰了B"), u)).when(n == 1, F.concat(F.lit("你用"), w, F.lit("淘汰了A"), u, F.lit("x助攻")))
+            .when(n == 2, F.concat(F.lit("你终于淘汰了A"), u)).when(n == 3, F.concat(F.lit("A"), u, F.lit("用"), w, F.lit("淘汰了你\n你在安全区外倒地了"))).when(n == 4, F.concat(F.lit("你用"), w, F.lit("淘汰了A"), u, F.lit("x淘汰数2协助1"))).otherwise(F.lit("大吉大利")))
+    return e.select("event_id", "user_id", "k", text.alias("text"), F.lit("zh-Hans").alias("language"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recording's file name for each event."""
     kind = F.col("event_type")

@@ -173,14 +173,20 @@ def with_hints(sources: DataFrame, hints: DataFrame) -> DataFrame:
 
 
 def last_by_line(rows: DataFrame, key: str, line: str) -> DataFrame:
-    """The last row of each key by line number."""
-    order = Window.partitionBy(key).orderBy(F.col(line).desc())
-    return rows.filter(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    """The row of each key with the greatest ``line``; rows without a key are passed over."""
+    last = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), line).alias("_row"))
+    return last.select("_row.*")
 
 
 def read_json_rows(spark: SparkSession, path: str, schema: str, key: str = "frame_id") -> DataFrame:
-    """JSON lines by key, the last of a key winning; blank lines are passed over."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("_line", F.monotonically_increasing_id())
+    """JSON lines by key, the last of a key winning; blank lines are passed over.
+
+    Lines follow each other by the path of their file, then by the begin of the
+    part of the file that a task reads, then by their place in it, so several
+    files and files in several parts have one order whatever tasks read them.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).withColumn("_line", place).filter(F.trim("value") != "")
     return last_by_line(lines.select(F.from_json("value", schema).alias("r"), "_line").select("r.*", "_line"), key, "_line").drop("_line")
 
 

@@ -352,3 +352,34 @@ def test_a_hot_recording_is_folded_in_parts(spark):
         want[x[1], x[2]] = seen.follows(x[4], x[8], x[2]) or "kept"
         seen.add(x[4], x[6], x[7], x[8], x[2])
     assert got == want and len(set(want.values())) == 4
+
+
+def test_json_rows_of_several_files_and_parts(spark, tmp_path):
+    """The last line of a key wins: files by path, a large file in many parts, blank lines and lines without a key passed over."""
+    import json
+
+    rng = random.Random(9)
+    want, folder = {}, tmp_path / "rows"
+    folder.mkdir()
+    for name in ("b.jsonl", "a.jsonl", "c.jsonl"):
+        lines = [(rng.choice([None, *range(300)]), f"{name} {i} " + "x" * rng.randrange(80)) for i in range(4000 if name == "b.jsonl" else 60)]
+        (folder / name).write_text("".join(json.dumps({"frame_id": k, "text": t}) + "\n" + rng.choice(["", "", "  \n"]) for k, t in lines))
+        want[name] = {k: t for k, t in lines if k is not None}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = files.read_json_rows(spark, str(folder), "frame_id int, text string")
+        assert rows._jdf.queryExecution().toRdd().getNumPartitions() > 3 or spark.read.text(str(folder)).rdd.getNumPartitions() > 10
+        got = {r["frame_id"]: r["text"] for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want["a.jsonl"] | want["b.jsonl"] | want["c.jsonl"]
+
+
+def test_throughput_medians_are_exact(spark):
+    rng = random.Random(10)
+    rows = [(rng.choice(["a", "b"]), rng.uniform(1, 2), rng.uniform(1, 9)) for _ in range(301)] + [("one", 2.0, 3.0), (None, 1.0, 4.0)]
+    df = spark.createDataFrame(rows, "g string, wall_s double, baseline_s double").selectExpr("*", "1 as verify_s", "2 as task_s", "3 as clips", "4.0 as media_s")
+    got = {r["g"]: r["median_speedup"] for r in telemetry.throughput(df, "g").collect()}
+    for g in ("a", "b", "one", None):
+        own = sorted(b / w for x, w, b in rows if x == g)
+        assert got[g] == pytest.approx((own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2, rel=1e-12)
