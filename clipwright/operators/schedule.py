@@ -372,3 +372,43 @@ def onsets(hits: DataFrame, frames: DataFrame, before_ms: int = 6000) -> DataFra
     gap = near.groupBy("source_idx", "hit_ms", "event_key").agg(F.max(F.when(~seen, F.col("at"))).alias("gap"), F.array_sort(F.collect_set(F.when(seen, F.col("at")))).alias("on"))
     onset = F.array_min(F.filter("on", lambda t: F.col("gap").isNull() | (t > F.col("gap"))))
     return gap.select("source_idx", F.col("hit_ms").alias("ms"), "event_key", F.coalesce(onset, F.col("hit_ms")).alias("onset_ms"))
+
+
+def refined_onsets(hits: DataFrame, shown: DataFrame, before_ms: int = 6000, stride_ms: int = 2000, step_ms: int = 500) -> DataFrame:
+    """``onset_ms`` by few reads: back from the hit in strides while the event shows, then halving the last stride to ``step_ms``.
+
+    ``hits`` and ``shown`` are (source_idx, ms, event_key), ``shown`` with a row
+    for each moment that shows the event; a moment without one does not.  What
+    lies between two strides that both show it is not looked at.  The moments
+    asked for lie on a grid of steps back from the hit: they become the bits of
+    a number for each hit, and strides and halvings are operations on it.
+    """
+    units = stride_ms // max(step_ms, 1)
+    halvings = units.bit_length() - 1
+    if step_ms < 1 or units * step_ms != stride_ms or units != 1 << halvings or not 0 < before_ms // step_ms < 63:
+        raise ValueError("a stride must be a power of two of steps, and there are at most 62 steps")
+    bucket = f"ms div {before_ms}"
+    h = hits.select("source_idx", F.col("ms").alias("hit_ms"), "event_key").distinct()
+    at = h.withColumn("ms", F.col("hit_ms")).withColumn("_b", F.explode(F.array(F.expr(bucket), F.expr(f"({bucket}) - 1")))).drop("ms")
+    seen = shown.select("source_idx", "event_key", F.col("ms").alias("at"), F.expr(bucket).alias("_b"))
+    back = F.col("hit_ms") - F.col("at")
+    near = at.join(seen, ["source_idx", "event_key", "_b"]).filter(back.between(0, before_ms) & (back % step_ms == 0))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (back / step_ms).cast("int"))
+    bits = near.groupBy("source_idx", "hit_ms", "event_key").agg(F.bit_or(bit).alias("_bits"))
+    rows = h.join(bits, ["source_idx", "hit_ms", "event_key"], "left").withColumn("_bits", F.coalesce("_bits", F.lit(0).cast("bigint")))
+    rows = rows.withColumn("_n", F.floor(F.least(F.lit(before_ms), F.col("hit_ms")) / stride_ms).cast("int"))
+
+    def shows(k: Column) -> Column:
+        return F.call_function("shiftright", F.col("_bits"), k.cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    strides = F.when(F.col("_n") > 0, F.sequence(F.lit(1), F.col("_n"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_miss", F.array_min(F.filter(strides, lambda i: ~shows(i * units))))
+    rounds = F.sequence(F.lit(1), F.lit(halvings)) if halvings else F.array().cast("array<int>")
+    first = F.struct(((F.col("_miss") - 1) * units).alias("on"), (F.col("_miss") * units).alias("off"))
+
+    def halved(state: Column, _: Column) -> Column:
+        middle = F.floor((state["on"] + state["off"]) / 2).cast("int")
+        return F.when(shows(middle), F.struct(middle.alias("on"), state["off"].alias("off"))).otherwise(F.struct(state["on"].alias("on"), middle.alias("off")))
+
+    steps_back = F.when(F.col("_miss").isNull(), F.col("_n") * units).otherwise(F.aggregate(rounds, first, halved)["on"])
+    return rows.select("source_idx", F.col("hit_ms").alias("ms"), "event_key", (F.col("hit_ms") - steps_back * step_ms).cast("bigint").alias("onset_ms"))

@@ -87,3 +87,38 @@ def test_spacing_in_slots(spark, slot, interval):
 def test_spacing_of_nothing(spark):
     assert schedule.spaced(spark.createDataFrame([], "source_idx int, ms long"), 900).collect() == []
     assert schedule.spaced(spark.createDataFrame([("a", 5), ("a", 6)], "source_idx string, ms long"), 2).collect() == [("a", 5)]
+
+
+def refined_by_loop(hit, visible, before, stride, step):
+    """Reads back from a hit, one after the other."""
+    on, off, t = hit, None, hit - stride
+    while t >= max(hit - before, 0):
+        if t not in visible:
+            off = t
+            break
+        on, t = t, t - stride
+    while off is not None and on - off > step:
+        middle = (on + off) // 2
+        if middle in visible:
+            on = middle
+        else:
+            off = middle
+    return on
+
+
+@pytest.mark.parametrize("before,stride,step", [(6000, 2000, 500), (6000, 1000, 500), (5000, 500, 500), (7000, 4000, 250)])
+def test_refined_onsets_like_a_loop(spark, before, stride, step):
+    rng = random.Random(stride)
+    shown = sorted({(rng.choice([1, 1, 2]), rng.randrange(160) * 250, rng.choice("ab")) for _ in range(500)})
+    hits = rng.sample(shown, 120) + [(9, 500, "a"), (1, 1, "a")]
+    schema = "source_idx int, ms long, event_key string"
+    got = {tuple(r)[:3]: r["onset_ms"] for r in schedule.refined_onsets(spark.createDataFrame(hits, schema), spark.createDataFrame(shown, schema), before, stride, step).collect()}
+    want = {h: refined_by_loop(h[1], {m for s, m, k in shown if (s, k) == (h[0], h[2])}, before, stride, step) for h in hits}
+    assert got == want and len({h[1] - o for h, o in want.items()}) > 3
+
+
+def test_refined_onsets_check_their_grid(spark):
+    df = spark.createDataFrame([(1, 5, "a")], "source_idx int, ms long, event_key string")
+    for bad in ({"stride_ms": 1500}, {"step_ms": 0}, {"before_ms": 0}, {"before_ms": 10**6}):
+        with pytest.raises(ValueError):
+            schedule.refined_onsets(df, df, **bad)
