@@ -277,7 +277,8 @@ def licence_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sc
     ``licence_paragraphs`` the numbers of their paragraphs from 0, ascending;
     ``n_licence`` how many these are; ``score`` the highest probability of a
     licence among them, 0 if none.  A null, empty or blank text has no
-    paragraph.  Null ids stay null.  Other columns are ignored.
+    paragraph.  Null ids stay null; rows that repeat an id are scanned by
+    themselves.  Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(scorer or licence_scorer(docs, doc_id, text))
 

@@ -382,7 +382,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
     A key held by ``min_docs`` documents loses its lines everywhere but in the
     largest id that holds it.  A null or empty text is one empty line; a row
-    with a null id keeps all its lines.  Other columns are ignored.
+    with a null id keeps all its lines.  Rows that repeat an id count as one
+    document that holds the lines of all, and each loses the lines it loses.
+    Other columns are ignored.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return _deduped(plain, "doc_id", "text", min_chars, min_docs).select(F.col("k").alias("doc_id"), "cut.*")

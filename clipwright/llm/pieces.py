@@ -200,7 +200,8 @@ def _digests(path: str):
 def piece_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_span_bytes, spans_sha256) for each row.
 
-    A null text counts as empty, an empty one has no ids; null ids stay null.
+    A null text counts as empty, an empty one has no ids; null ids stay null
+    and rows that repeat an id are encoded by themselves.
     ``n_span_bytes`` is what the spans of all pieces cover; in a model that
     normalises nothing away it is the size of the text.  ``spans_sha256`` is of
     the spans, begins and ends as 64-bit little-endian integers.  Other columns

@@ -151,6 +151,6 @@ def _counts(path: str):
 
 
 def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_tokens) for each row; null, empty and wordless texts have 0 of both, null ids stay null.  Other columns are ignored."""
+    """(doc_id, n_words, n_tokens) for each row; null, empty and wordless texts have 0 of both; null ids stay null and rows that repeat an id are counted by themselves.  Other columns are ignored."""
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return mapped(plain, _counts(path), "doc_id long, n_words long, n_tokens long")

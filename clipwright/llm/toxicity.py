@@ -257,7 +257,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH)
 
     Null, empty and wordless texts are scored like a window of mean clean words.
     Without labels of both classes every text has the rate of the one seen.
-    Null ids stay null.  Other columns are ignored.
+    Null ids stay null and are not held out; rows that repeat an id are scored
+    by themselves; equal texts have equal scores.  Other columns are ignored.
     """
     return scored(docs, toxicity_scorer(docs, labels, each), THRESHOLD)
 

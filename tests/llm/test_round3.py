@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from clipwright.llm import alignment, centroids, html_text, lines, quality_rules
+from clipwright.llm import alignment, centroids, html_text, lines, quality, quality_rules
 from clipwright.llm.queries import byte_model, piece_model
 
 DOCS = "doc_id long, text string, row int, pairs string, rule string, q int"
@@ -352,3 +352,25 @@ def test_deletion_takes_the_fingerprint_of_its_own_filter(spark):
     index.insert(spark.createDataFrame([(i, pairs[0][0]) for i in range(5)], "doc_id long, text string"))
     assert [r["max_doc"] for r in index.repeated().collect()] == [4]
     index.close()
+
+
+def test_quality_is_the_bradley_terry_optimum():
+    """The gradient of the pairs' logistic loss, summed by plain loops, is zero at the learned weights, and the cut is a quantile of the scores."""
+    rng = random.Random(13)
+    texts = [" ".join(f"{rng.choice(['lorem', 'ipsum', 'dolor'])}{rng.choice(['', '', '###' if i % 3 == 0 else '.'])}" for _ in range(rng.randrange(5, 60))) for i in range(120)]
+    y = np.array([int(i % 3 > 0) for i in range(120)])
+    model = quality.train(texts, y, 2 / 3, seed=5)
+    z = np.clip((np.array([quality.features(t) for t in texts]) - model.mean) / model.scale, -8, 8)
+    draw = np.random.default_rng(5)
+    pairs = list(zip(draw.choice(np.flatnonzero(y == 1), quality.PAIRS), draw.choice(np.flatnonzero(y == 0), quality.PAIRS), strict=True))
+    gradient = [-quality.RIDGE * w for w in model.weight]
+    for a, b in pairs:
+        d = [p - q for p, q in zip(z[a], z[b], strict=True)]
+        p = 1 / (1 + math.exp(-min(max(sum(w * x for w, x in zip(model.weight, d, strict=True)), -40), 40)))
+        gradient = [g + (1 - p) * x for g, x in zip(gradient, d, strict=True)]
+    assert max(map(abs, gradient)) < 1e-3 * len(pairs)
+    scores = model.scores(texts)
+    order = np.argsort(model.strengths(texts), kind="stable")
+    assert (np.diff(scores[order]) >= 0).all()
+    assert abs((scores < quality.THRESHOLD).mean() - 1 / 3) < 0.06
+    assert len(set(model.scores([texts[0]] * 3 + [""] + [""]).tolist())) == 2
