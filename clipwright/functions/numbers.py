@@ -80,7 +80,11 @@ def fixed3(x: Column) -> Column:
     size, sign = F.abs(x), F.when(_is_negative(x), F.lit("-")).otherwise(F.lit(""))
     plain = _let(_parts(size), lambda v: F.concat(v["whole"].cast("string"), F.lit("."), F.lpad(v["part"].cast("string"), 3, "0")))
     large = F.when(size == float("inf"), F.lit("inf")).otherwise(F.format_string("%.3f", size))
-    return F.when(x.isNotNull() & ~F.isnan(x), F.concat(sign, F.when(size < _LONG, plain).otherwise(large)))
+    # away from the middle of two thousandths the rounded product tells them, too
+    scaled = x * 1000
+    clear = (x > 0) & (x < 1e12) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3)
+    exact = F.concat(sign, F.when(size < _LONG, plain).otherwise(large))
+    return F.when(x.isNotNull() & ~F.isnan(x), F.when(clear, fixed3_of_ms(ms_key(x))).otherwise(exact))
 
 
 def rounded_exactly(x: Column) -> Column:

@@ -64,30 +64,29 @@ def with_windows(kept: DataFrame, plan: Planning) -> DataFrame:
             .withColumn("win_end", F.when(F.col("win_end") <= F.col("win_start"), short).otherwise(F.col("win_end"))))
 
 
-def _before(summary: DataFrame, by: tuple[str, ...], value: Column, name: str) -> DataFrame:
-    """``summary`` (_key, …) with an aggregate over the earlier slots of its group."""
-    earlier = Window.partitionBy(*[F.col(f"_key.{c}") for c in by]).orderBy("_key._slot").rowsBetween(Window.unboundedPreceding, -1)
-    return summary.withColumn(name, value.over(earlier))
-
-
 def numbered_clips(windows: DataFrame, *by: str, slot_sec: float = SLOT_SEC) -> DataFrame:
     """``clip_idx`` from 1 within ``by``: an event that starts after all earlier ends opens a clip.
 
     Needs one duration for each group, as a source has.  A recording is cut
-    into slots of media time, so that no task holds a source.  A slot is known
-    to the later ones by how far its windows reach and how many clips open in
-    it; both are prefix aggregates over a group's slots, a row each.  Within a
-    slot the usual pass goes on from there.  Rows are dealt by group and slot
-    once; a struct is their key, so that null groups meet, too.
+    into slots of media time, so that no task holds a source.  Of an event that
+    opens a clip within its slot only its start and how far the earlier slots
+    reach decide whether it does so at all.  A slot is summed up by its reach
+    and these starts; prefix aggregates over a group's slots, a row each, say
+    for every slot what reaches into it and how many clips open before it.
+    Rows are dealt by group and slot once; a struct is their key, so that null
+    groups meet, too.
     """
-    keyed = windows.withColumn("_key", F.struct(*by, F.floor(F.col("event_sec") / slot_sec).alias("_slot")))
-    reaches = _before(keyed.groupBy("_key").agg(F.max("win_end").alias("_end")), by, F.max("_end"), "_reach").drop("_end")
     order = Window.partitionBy("_key").orderBy("event_sec", "det_idx")
-    reach = F.greatest("_reach", F.max("win_end").over(order.rowsBetween(Window.unboundedPreceding, -1)))  # passes over nulls
-    opened = keyed.join(reaches, "_key").withColumn("_at", reach).withColumn("_opens", (F.col("_at").isNull() | (F.col("win_start") > F.col("_at") + TOUCH)).cast("int"))
-    opened = opened.withColumn("_own", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ahead = _before(opened.groupBy("_key").agg(F.sum("_opens").alias("_n")), by, F.sum("_n"), "_ahead").drop("_n")
-    return opened.join(ahead, "_key").withColumn("clip_idx", F.col("_own") + F.coalesce("_ahead", F.lit(0))).drop("_key", "_reach", "_at", "_opens", "_own", "_ahead")
+    keyed = windows.withColumn("_key", F.struct(*by, F.floor(F.col("event_sec") / slot_sec).alias("_slot")))
+    opened = keyed.withColumn("_at", F.max("win_end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    opened = opened.withColumn("_opens", F.col("_at").isNull() | (F.col("win_start") > F.col("_at") + TOUCH)).drop("_at")
+    slots = opened.groupBy("_key").agg(F.max("win_end").alias("_end"), F.collect_list(F.when(F.col("_opens"), F.col("win_start"))).alias("_starts"))
+    earlier = Window.partitionBy(*[F.col(f"_key.{c}") for c in by]).orderBy("_key._slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("_reach", F.max("_end").over(earlier)).withColumn("_n", F.size(F.filter("_starts", lambda x: F.col("_reach").isNull() | (x > F.col("_reach") + TOUCH))))
+    slots = slots.withColumn("_ahead", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).select("_key", "_reach", "_ahead")
+    opens = (F.col("_opens") & (F.col("_reach").isNull() | (F.col("win_start") > F.col("_reach") + TOUCH))).cast("int")
+    own = F.sum(opens).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return opened.join(slots, "_key").withColumn("clip_idx", own + F.col("_ahead")).drop("_key", "_reach", "_ahead", "_opens")
 
 
 def _distinct_join(items: str, field: str, sep: str, drop: str = "") -> Column:

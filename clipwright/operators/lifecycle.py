@@ -17,6 +17,8 @@ from ..functions.text import is_assist_only
 from ..sources.tables import written
 
 CLOSE_MS = 5000
+#: Rows of a source and target that one task may fold.
+TOGETHER = 200_000
 #: Up to so many names of a source are compared all with all.
 FEW = 64
 ASSIST_MS, ASSIST_STEP_MS = 1200, 500
@@ -231,15 +233,21 @@ def decided(events: DataFrame) -> DataFrame:
     each group of linked names of a source and target is folded alone.  What
     reaches over groups is that a death follows any earlier knock: a source's
     first knock is never a repeat, so its time beside the rows says that.  The
-    rows are written once, as several steps read them.
+    rows are written once, as several steps read them.  Where no source and
+    target has more than ``TOGETHER`` rows each is folded whole, to the same
+    decisions.
     """
     cols = ["source_idx", "target", "ms", "ord", "action", "subject", "key", "weapon", "method", "event_text", "name", "actor", "assisted"]
     rows = written(events.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if events.schema[c].dataType.typeName() == "string" else F.col(c) for c in cols]))
     by, order = ["source_idx", "target"], F.struct("ms", "ord")
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, {_DECISION}"
+    if (rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= TOGETHER:
+        whole = rows.repartition(*by).sortWithinPartitions(*by, "ms", "ord").select(*cols, F.lit("").alias("_part"), F.lit(False).alias("_knocked"))
+        return whole.mapInPandas(_decide, schema)
     knock = rows.filter("target = 'self-death' and action = 'knock'").groupBy(*by).agg(F.min(order).alias("_knock"))
     wide = rows.join(name_groups(rows), [*by, "name"], "left").join(knock, by, "left").withColumn("_part", F.coalesce("part", "name")).withColumn("_knocked", F.coalesce(F.col("_knock") < order, F.lit(False)))
     dealt = wide.select(*cols, "_part", "_knocked").repartition(*by, "_part").sortWithinPartitions(*by, "_part", "ms", "ord")
-    return dealt.mapInPandas(_decide, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, {_DECISION}")
+    return dealt.mapInPandas(_decide, schema)
 
 
 def first_by_key(events: DataFrame) -> DataFrame:

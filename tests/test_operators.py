@@ -312,7 +312,9 @@ def test_lifecycle_like_loops(spark, monkeypatch):
     assert got == want and 5 < len(want) < len(rows)
 
     decided = {(r["source_idx"], r["target"], r["ms"]): r["decision"] for r in lifecycle.decided(df).collect()}
-    monkeypatch.setattr(lifecycle, "FEW", 3)  # the same by links from what alike names cannot lack
+    monkeypatch.setattr(lifecycle, "TOGETHER", 0)  # the same by groups of names
+    assert {(r["source_idx"], r["target"], r["ms"]): r["decision"] for r in lifecycle.decided(df).collect()} == decided
+    monkeypatch.setattr(lifecycle, "FEW", 3)  # and by links from what alike names cannot lack
     assert {(r["source_idx"], r["target"], r["ms"]): r["decision"] for r in lifecycle.decided(df).collect()} == decided
     want, held = {}, {}
     for x in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
@@ -330,12 +332,13 @@ def test_lifecycle_like_loops(spark, monkeypatch):
     assert decided == want and len(set(want.values())) >= 3
 
 
-def test_a_hot_recording_is_folded_in_parts(spark):
+def test_a_hot_recording_is_folded_in_parts(spark, monkeypatch):
     """One source with all events of 300 players far from each other: each is folded alone, and the decisions are those of one fold."""
     rng = random.Random(8)
     names = [f"{rng.getrandbits(80):020x}"[:14].translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(300)]
     rows = [(1, rng.choice(["own-kill", "self-death"]), i * 40, 0, rng.choice(["knock", "eliminate"]), n, f"k:x:{n}", n, n, "", "", "", False) for i, n in enumerate(rng.choice(names) for _ in range(2500))]
     df = spark.createDataFrame(rows, "source_idx int, target string, ms long, ord int, action string, subject string, key string, name string, actor string, weapon string, method string, event_text string, assisted boolean")
+    monkeypatch.setattr(lifecycle, "TOGETHER", 0)
     parts = {(r["target"], r["name"]): r["part"] for r in lifecycle.name_groups(df).collect()}
     sizes = {}
     for r in rows:

@@ -56,7 +56,7 @@ def test_no_task_holds_a_source(spark):
     assert dealt.groupBy("_key").count().agg(F.max("count")).first()[0] == 200
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     whole = [line for line in plan.splitlines() if "Window [" in line and "_key" not in line.split("windowspecdefinition")[1].split(",")[0]]
-    assert whole and all("_n" in line or "_end" in line for line in whole)  # sums of summaries only
+    assert whole and all("_n#" in line or "_end#" in line for line in whole)  # sums of summaries only
 
 
 def clips_of(df):
