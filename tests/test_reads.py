@@ -84,6 +84,24 @@ def test_spacing_in_slots(spark, slot, interval):
     assert {tuple(r) for r in got} == spaced_by_loop(rows, interval)
 
 
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_spacing_over_many_tasks(spark, broadcast):
+    """Whatever the join of the entries is, the rows of a slot are in one task."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7", "spark.sql.autoBroadcastJoinThreshold": broadcast}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), rng.randrange(200) * 250) for _ in range(600)]
+    df = spark.createDataFrame(rows, "source_idx int, ms long")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted(tuple(r) for r in schedule.spaced(df, 900, 4000).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == sorted(spaced_by_loop(rows, 900))
+
+
 def test_spacing_of_nothing(spark):
     assert schedule.spaced(spark.createDataFrame([], "source_idx int, ms long"), 900).collect() == []
     assert schedule.spaced(spark.createDataFrame([("a", 5), ("a", 6)], "source_idx string, ms long"), 2).collect() == [("a", 5)]
