@@ -10,7 +10,7 @@ from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -31,9 +31,16 @@ def text_event_stream(frames: DataFrame, target: str = "both") -> DataFrame:
     return exploded_events(frames, target)
 
 
+def _clock(time: str) -> Column:
+    """Event time for a watermark: Spark's begins at 1970 and drops what is not after it, such as media time 0, from the first batch on."""
+    first = F.timestamp_millis(F.lit(1))
+    return F.when(F.col(time) < first, first).otherwise(F.col(time))
+
+
 def without_repeats(events: DataFrame, time: str, delay: str = "5 seconds") -> DataFrame:
     """The first sighting of each key within the delay."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(["source_idx", "target", "event_key"])
+    timed = events.withColumn("_clock", _clock(time)).withWatermark("_clock", delay)
+    return timed.dropDuplicatesWithinWatermark(["source_idx", "target", "event_key"]).drop("_clock")
 
 
 def clip_windows(windows: DataFrame, delay: str = "1 minute") -> DataFrame:
@@ -208,7 +215,7 @@ def lifecycle_stream(events: DataFrame, time: str = "at", delay: str = "10 secon
     """
     assisted = F.coalesce("assisted", F.lit(False)) if "assisted" in events.columns else F.lit(False)
     text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("action", "key", "name", "actor")]
-    rows = events.withWatermark(time, delay).select("source_idx", "target", "ms", "ord", *text, assisted.alias("assisted"), F.col(time).alias("at"))
+    rows = events.select("source_idx", "target", "ms", "ord", *text, assisted.alias("assisted"), _clock(time).alias("at")).withWatermark("at", delay)
     return rows.groupBy("source_idx", "target").transformWithStateInPandas(_Lifecycle(expire_ms), "source_idx bigint, target string, ms bigint, key string, decision string", "append", "eventTime")
 
 

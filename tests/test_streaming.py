@@ -144,6 +144,17 @@ def test_lifecycle_forgets_after_silence(spark, tmp_path):
     assert sorted((r["source_idx"], r["ms"], r["decision"]) for r in out.collect()) == [(1, day, "kept"), (1, made[5][1], "kept"), (2, day, "kept"), (2, made[2][1], "repeat"), (3, made[3][1], "kept"), (3, made[4][1], "repeat")]
 
 
+def test_streams_from_media_time_zero(spark, tmp_path):
+    """Events at 0 and before it are not late in the first micro-batch."""
+    rows = [(1, "own-kill", ms, i, "knock", "n", f"own-kill:knock:{i}", f"n{i}", "n", "", "", "", None) for i, ms in enumerate([0, -5, 1, 0, 7000])]
+    (tmp_path / "in").mkdir()
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("at", F.timestamp_millis("ms"))
+    parts_of(spark, tmp_path / "in", rows, EVENTS, [0, 4, 5])
+    keys = sorted(r[6] for r in rows)
+    for name, stream in (("life", jobs.lifecycle_stream(raw)), ("first", jobs.without_repeats(raw.withColumn("event_key", F.col("key")), "at"))):
+        assert sorted(r["key"] for r in run_once(spark, stream, tmp_path / name, "append").collect()) == keys
+
+
 def test_late_rows_of_every_report():
     """More reports than Spark keeps."""
     listener = jobs.LateRows()
