@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 SECONDS = ("detect_seconds", "ocr_seconds", "ocr_frame_seconds", "refine_ocr_seconds", "assist_ocr_seconds")
 COUNTS = ("ocr_requests", "ocr_successes", "ocr_skipped", "ocr_cache_hits", "refine_calls", "assist_calls")
 
@@ -56,20 +58,26 @@ def sample_stats(samples: DataFrame, by: str, repeat: str, value: str, bad: str)
 def ranks(rows: DataFrame, by: str, value: str, asked: Callable[[Column], dict[str, Column]], parts: int = 200) -> DataFrame:
     """(_of, a column for each asked rank): of each group ``by`` the values of exact ranks from 1, asked given its number of values.
 
-    Values are counted, dealt to ranges by approximate quantiles of their
-    group, and only ranges that hold an asked rank are put in order, so no task
-    sees all of a group.  Nulls are no values.
+    Approximate quantiles of a group bracket each asked rank; values are dealt
+    to the few ranges between these marks, counted, and only ranges that hold
+    an asked rank are shuffled by value and put in order, so no task sees all
+    of a group.  The marks decide how long a range is, not what is found.
+    Nulls are no values.
     """
-    counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("_of"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    cuts = counted.groupBy(F.col("_of").alias("_g")).agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], parts * 20).alias("_cuts"), F.sum("_c").alias("_n"))
-    dealt = counted.join(cuts, F.col("_of").eqNullSafe(F.col("_g"))).withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts", "_g")
-    sizes = dealt.groupBy("_of", "_n", "_part").agg(F.sum("_c").alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    values = rows.filter(F.col(value).isNotNull()).select(F.col(by).alias("_of"), F.col(value).alias("_v"))
+    cuts = values.groupBy("_of").agg(F.percentile_approx("_v", [i / parts for i in range(1, parts)], parts * 20).alias("_cuts"), F.count("*").alias("_n"))
     wanted = asked(F.col("_n"))
     at = F.array(*[F.struct(F.lit(k).alias("k"), v.cast("long").alias("r")) for k, v in wanted.items()])
+    place = F.transform(at, lambda x: F.floor(x["r"] * parts / F.col("_n")).cast("int"))
+    near = F.flatten(F.transform(place, lambda i: F.array(*[F.get("_cuts", i + F.lit(d)) for d in (-3, 1)])))
+    # written, so that a few groups are known to be few before the values are moved
+    marks = written(cuts.select(F.col("_of").alias("_g"), "_n", F.array_distinct(F.filter(near, lambda x: x.isNotNull())).alias("_marks")))
+    dealt = values.join(marks, F.col("_of").eqNullSafe(F.col("_g"))).withColumn("_part", F.size(F.filter("_marks", lambda x: x < F.col("_v"))))
+    sizes = dealt.groupBy("_of", "_n", "_part").agg(F.count("*").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     held = sizes.withColumn("_before", before).withColumn("_ask", F.filter(at, lambda x: (x["r"] > F.col("_before")) & (x["r"] <= F.col("_before") + F.col("_s")))).filter(F.size("_ask") > 0)
-    held = held.select(F.col("_of").alias("_g"), F.col("_part").alias("_p"), "_before", "_ask")
-    inside = dealt.join(held, F.col("_of").eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    held = written(held.select(F.col("_of").alias("_h"), F.col("_part").alias("_p"), "_before", "_ask"))
+    inside = dealt.join(held, F.col("_of").eqNullSafe(F.col("_h")) & (F.col("_part") == F.col("_p"))).groupBy("_of", "_part", "_v").agg(F.count("*").alias("_c"), F.first("_before").alias("_before"), F.first("_ask").alias("_ask"))
     upto = F.col("_before") + F.sum("_c").over(Window.partitionBy("_of", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     placed = inside.withColumn("_upto", upto).select("_of", "_v", "_c", "_upto", F.explode("_ask").alias("_a")).filter("_a.r <= _upto and _a.r > _upto - _c")
     return placed.groupBy("_of").agg(*[F.max(F.when(F.col("_a.k") == k, F.col("_v"))).alias(k) for k in wanted])

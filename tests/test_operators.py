@@ -201,6 +201,24 @@ def test_concat_lists_are_ordered_files(spark, tmp_path):
         sinks.concat_lines(spark.createDataFrame([("own", 1, "a\nb")], "target string, clip_seq long, output string")).collect()
 
 
+def shuffled(plan):
+    """The records that the shuffles of an executed plan wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_ranks_move_few_values(spark):
+    rows = spark.range(0, 60_000, 1, 8).select((F.col("id") % 3).alias("g"), F.hash("id").alias("v"))
+    out = telemetry.ranks(rows, "g", "v", lambda n: {"lo": F.floor((n - 1) / 2) + 1, "hi": F.floor(n / 2) + 1})
+    assert len(out.collect()) == 3
+    assert shuffled(out._jdf.queryExecution().executedPlan()) < 6_000
+
+
 @pytest.mark.parametrize("parts", [3, 200])
 def test_ranks_like_sorting(spark, parts):
     rng = random.Random(3)
