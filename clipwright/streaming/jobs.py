@@ -25,6 +25,9 @@ from ..sources.tables import shared_folder
 #: Phases whose numbers a run's state holds; others are passed over.
 REDUCED = ("scan", "dedupe", "trim", "merge")
 
+#: So many low bits of a run's number are left out of its state's key.
+RUN_BITS = 5
+
 
 def text_event_stream(frames: DataFrame, target: str = "both") -> DataFrame:
     """Frames to events, row by row."""
@@ -94,7 +97,7 @@ def _is_done(states: DataFrame) -> DataFrame:
 
 
 class _Progress(StatefulProcessor):
-    """One phase of a run: its last valid line."""
+    """One phase of a run: its last valid line; ``_Runs`` is the form for many short runs."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "seq bigint, current bigint, total bigint")
@@ -111,14 +114,38 @@ class _Progress(StatefulProcessor):
         pass
 
 
+class _Runs(StatefulProcessor):
+    """The phases of up to ``2**RUN_BITS`` neighbouring runs: their last valid lines as one value, since a call and its way to the store cost more than the lines of a run."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", f"states array<struct<{_STATE.replace(' ', ':').replace(',:', ',')}>>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = {(r[0], r[1]): tuple(r[2:]) for r in self.last.get()[0]} if self.last.exists() else {}
+        given: dict[tuple, list] = {}
+        for f in rows:
+            for (run,), phase, line in zip(_plain([f["run_id"]]), f["phase"], _plain(f[c] for c in ("seq", "current", "total")), strict=True):
+                given.setdefault((run, phase), []).append(line)
+        new = {at: reduced(sorted(lines, key=lambda r: r[0]), held.get(at)) for at, lines in given.items()}
+        new = {at: now for at, now in new.items() if now is not None and now != held.get(at)}
+        if new:
+            self.last.update(([(*at, *now) for at, now in (held | new).items()],))
+            yield pd.DataFrame([(*at, *now) for at, now in new.items()], columns=["run_id", "phase", "seq", "current", "total"])
+
+    def close(self) -> None:
+        pass
+
+
 def progress_stream(lines: DataFrame) -> DataFrame:
     """(run_id, phase, seq, current, total, done): the last valid state of each run's phase whenever it changes, in update mode.
 
     Lines are taken in the order of ``seq`` within a micro-batch, whatever
     chunks they come in; one that comes after a later line is passed over.
-    Needs the RocksDB state store, see ``typed_state``.
+    Neighbouring runs share a state.  Needs the RocksDB state store, see
+    ``typed_state``.
     """
-    return _is_done(known_lines(lines).groupBy("run_id", "phase").transformWithStateInPandas(_Progress(), _STATE, "update", "none"))
+    near = known_lines(lines).withColumn("run_id", F.col("run_id").cast("bigint")).withColumn("runs", F.shiftright("run_id", RUN_BITS))
+    return _is_done(near.groupBy("runs").transformWithStateInPandas(_Runs(), _STATE, "update", "none"))
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -172,3 +172,28 @@ def test_late_rows_over_many_batches(spark, tmp_path):
     rows = jobs.without_repeats(raw.select("source_idx", F.lit("t").alias("target"), F.lit("k").alias("event_key"), F.timestamp_seconds("at").alias("ts")), "ts")
     sink = rows.coalesce(1).writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda b, _: b.write.format("noop").mode("overwrite").save())
     assert jobs.late_rows(spark, sink.start) == 104
+
+
+def test_progress_of_neighbouring_runs_shares_calls(spark, tmp_path):
+    """Many runs: the states of a loop, over two batches, with a call for each group of neighbouring runs."""
+    rng = random.Random(9)
+    rows = [(run, seq, rng.choice(["scan", "trim"]), rng.choice([None, rng.randrange(20)]), rng.choice([None, rng.randrange(20)])) for seq in range(4) for run in range(-40, 300)]
+    schema = "run_id long, seq long, phase string, current long, total long"
+    (tmp_path / "in").mkdir()
+    parts_of(spark, tmp_path / "in", rows, schema, [0, 700, len(rows)])
+    stream = jobs.progress_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    got = run_once(spark, stream, tmp_path, "update").groupBy("run_id", "phase").agg(F.max(F.struct("seq", "current", "total")).alias("s")).collect()
+    lines = {}
+    for run, seq, phase, current, total in rows:
+        lines.setdefault((run, phase), []).append((seq, current, total))
+    want = {at: state for at, of in lines.items() if (state := jobs.reduced(of)) is not None}
+    assert {(r["run_id"], r["phase"]): tuple(r["s"]) for r in got} == want
+    assert stream._jdf.queryExecution().analyzed().toString().count("runs#") > 0  # grouped by neighbouring runs
+
+
+def test_progress_keeps_runs_apart():
+    p, held = jobs._Runs(), {}
+    p.last = SimpleNamespace(exists=lambda: "s" in held, get=lambda: held["s"], update=lambda s: held.update(s=s))
+    frame = pd.DataFrame({"run_id": [3, 2, 3, 3], "phase": ["scan", "scan", "trim", "scan"], "seq": [2, 1, 1, 1], "current": [None, 1, 2, 4], "total": [5, 1, 1, 4]})
+    assert sorted(pd.concat(p.handleInputRows((0,), iter([frame[:2], frame[2:]]), None)).values.tolist()) == [[2, "scan", 1, 1, 1], [3, "scan", 2, 4, 5]]
+    assert list(p.handleInputRows((0,), iter([frame]), None)) == [] and len(held["s"][0]) == 2
