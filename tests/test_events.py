@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipwright.functions import diagnostics, events, identity, numbers, reading, text
+from clipwright.functions.vocabulary import LANGUAGES
 
 CASES = [
     ("zh-Hans", "own-kill", "你用M416淘汰了EnemyA", [("own-kill", "eliminate", "EnemyA", "own-kill:eliminate:enemya", "M416")]),
@@ -78,3 +79,20 @@ def test_reading_order(spark):
     df = spark.createDataFrame(rows, "f int, x1 int, y1 int, x2 int, y2 int, text string, score double")
     r = reading.assembled(df, "f").first()
     assert r["text"] == "a b\nc" and r["scores"] == [0.9, 0.5, 0.1] and r["n_rows"] == 2
+
+
+def test_a_text_is_parsed_once(spark, tmp_path):
+    """Neither a filter that Spark infers nor a label's several conditions look for the kills again."""
+    spark.createDataFrame([("YOU KNOCKED OUT A with W", "en"), ("", "en"), (None, None)], "text string, language string").write.parquet(str(tmp_path / "t"))
+    frames, own = spark.read.parquet(str(tmp_path / "t")), LANGUAGES["en"].own
+    conf = "spark.sql.maxPlanStringLength"
+    spark.conf.set(conf, 10_000_000)
+    try:
+        parsed = events.exploded_events(frames, "both")
+        label = frames.select(events.classification(F.col("text"), F.lit("both"), F.col("language"), F.lit(False)).alias("m"))
+        for made in (parsed, label):
+            assert made._jdf.queryExecution().optimizedPlan().toString().count(own) == 1
+        assert [(r["ord"], r["subject"]) for r in parsed.collect()] == [(0, "A")]
+        assert sorted(r["m"] for r in label.collect()) == ["paddle-not-target-text", "paddle-not-target-text", "paddle-own-kill-text"]
+    finally:
+        spark.conf.unset(conf)
