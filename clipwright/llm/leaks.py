@@ -19,9 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import mapped, texts_of
 from .shingles import WIDTH, _combine, gram_sets, word_chunks
 from .store import keep
 
@@ -29,6 +31,8 @@ from .store import keep
 PERCENT = 80
 #: Shingles of one block of items (8 bytes each).
 BLOCK_SHINGLES = 2_000_000
+#: Texts that a task holds as Python strings at a time.
+SLICE = 256
 
 
 def _item_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,12 +96,16 @@ class Items:
 
 
 def _search(sent):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         items = sent.value
-        for frame in frames:
-            ids = frame["doc_id"].tolist()
-            rows = [(items.ids[i], ids[d], shared, len(items.sets[i])) for d, i, shared in items.find([t if isinstance(t, str) else None for t in frame["text"]])]
-            yield pd.DataFrame(rows, columns=["item_id", "doc_id", "n_shared", "n_item"]).astype("int64")
+        for batch in batches:
+            # a few texts at a time are Python strings, not a whole batch
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = part.column("doc_id").to_pylist()
+                rows = [(items.ids[i], ids[d], shared, len(items.sets[i])) for d, i, shared in items.find(texts_of(part))]
+                if rows:
+                    yield dict(zip(("item_id", "doc_id", "n_shared", "n_item"), zip(*rows, strict=True), strict=True))
 
     return run
 
@@ -120,7 +128,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     for b in range(blocks):
         rows = kept.df.filter(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {b}")).distinct().collect()
         if rows:
-            out = out.union(plain.mapInPandas(_search(spark.sparkContext.broadcast(Items(rows))), schema))
+            out = out.union(mapped(plain, _search(spark.sparkContext.broadcast(Items(rows))), schema))
     kept.drop()
     return out.groupBy("item_id", "doc_id", "n_item").agg(F.max("n_shared").alias("n_shared")).select("item_id", "doc_id", "n_shared", "n_item")
 

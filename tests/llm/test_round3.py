@@ -374,3 +374,24 @@ def test_quality_is_the_bradley_terry_optimum():
     assert (np.diff(scores[order]) >= 0).all()
     assert abs((scores < quality.THRESHOLD).mean() - 1 / 3) < 0.06
     assert len(set(model.scores([texts[0]] * 3 + [""] + [""]).tolist())) == 2
+
+
+def test_contained_items_take_few_texts_at_a_time(monkeypatch):
+    """A task holds a slice of a batch as Python strings, and a hit keeps its own id."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from clipwright.llm import leaks
+    from clipwright.llm.shingles import shingle_sets
+
+    held, texts_of = [], leaks.texts_of
+    monkeypatch.setattr(leaks, "texts_of", lambda batch, *a: held.append(batch.num_rows) or texts_of(batch, *a))
+    item = "one two three four five six seven"
+    sets = next(shingle_sets([item])).astype(np.uint64)
+    items = leaks.Items([{"item_id": 5, "width": 5, "n": len(sets), "shingles": sets.tobytes()}])
+    texts = [f"x {item} y" if i % 300 == 7 else f"plain words of row {i} and no more of them" for i in range(1000)]
+    found = list(leaks._search(SimpleNamespace(value=items))(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array(range(10, 1010), pa.int64()), "text": texts})])))
+    assert [(i, d) for f in found for i, d in zip(f["item_id"], f["doc_id"])] == [(5, 10 + i) for i in range(1000) if i % 300 == 7]
+    assert sum(held) == 1000 and max(held) <= leaks.SLICE
