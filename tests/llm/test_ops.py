@@ -66,6 +66,37 @@ def closure(ids, links):
     return low
 
 
+def test_jaccard_counts_over_tasks(spark, monkeypatch):
+    """A passage that one set in each task has is frequent, so sets that share no more are not met; result as ever."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [passage + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(160)) for _ in range(24)]
+    texts.append(texts[3] + " more")
+    met, pairs = [], jaccard._short_pairs
+
+    def counted(rows, *rest):
+        met.append(rows.count())
+        return pairs(rows, *rest)
+
+    monkeypatch.setattr(jaccard, "_short_pairs", counted)
+    docs = docs_of(spark, texts).repartitionByRange(len(texts), "doc_id")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(docs).collect()}
+    assert got == {i: 3 if i == 24 else i for i in range(25)}
+    assert sum(met) == 0
+
+
+def test_jaccard_merges_lists_of_the_same_sets(spark):
+    """Two sets that meet in fifty lists make one pair that counts fifty."""
+    # (list, key, prime, pos, comp): lists 0 to 49 of sets 1 and 2, one of 1, 2 and 3, one where the block begins with neither's size class
+    rows = [(i, k, 1, i, k) for i in range(50) for k in (1, 2)] + [(90, k, 1, 50, k) for k in (1, 2, 3)] + [(91, k, 0, 51, k) for k in (1, 2)]
+    table = spark.createDataFrame([(a, 0, 0, k, 100, p, pr, 2, c, 0, 79) for a, k, pr, p, c in rows], "list long, root long, root_n int, key long, n int, pos int, prime int, m int, comp long, w long, rest int")
+    merged = jaccard._merged(table)
+    assert sorted((r["key"], r["prime"], r["times"]) for r in merged.collect()) == sorted([(1, 1, 50), (2, 1, 50), (1, 1, 1), (2, 1, 1), (3, 1, 1), (1, 0, 1), (2, 0, 1)])
+    for need, left in ((51, {(1, 2)}), (52, set())):
+        share = F.expr(f"c >= {need}")
+        assert {tuple(r) for r in jaccard._short_pairs(table, jaccard.SHORT, share).collect()} == left
+
+
 @pytest.mark.parametrize("short,hot", [(24, 8), (2, 2)])
 def test_jaccard_like_brute_force(spark, monkeypatch, short, hot):
     monkeypatch.setattr(jaccard, "SHORT", short)
