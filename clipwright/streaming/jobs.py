@@ -25,8 +25,8 @@ from ..sources.tables import shared_folder
 #: Phases whose numbers a run's state holds; others are passed over.
 REDUCED = ("scan", "dedupe", "trim", "merge")
 
-#: So many low bits of a run's number are left out of its state's key.
-RUN_BITS = 5
+#: So many low bits of a run's and of a source's number are left out of its state's key.
+RUN_BITS, SOURCE_BITS = 5, 4
 
 
 def text_event_stream(frames: DataFrame, target: str = "both") -> DataFrame:
@@ -187,42 +187,86 @@ def progress_table(lines: DataFrame) -> DataFrame:
     return _is_done(open_.repartition("run_id", "phase").sortWithinPartitions("run_id", "phase", "seq").mapInArrow(_folded, _STATE))
 
 
-_EVENT = "action string, key string, name string, actor string, ms bigint"
+#: What first sightings are held as: a row for each group of sources and micro-batch, with a list for each column.
+_SHOWN = ("source_idx", "target", "action", "key", "name", "actor", "ms")
+_SIGHTINGS = ", ".join(f"{c} array<{'bigint' if c in ('source_idx', 'ms') else 'string'}>" for c in _SHOWN)
 
 
 class _Lifecycle(StatefulProcessor):
-    """One source and target: what it has shown, a row for each first sighting; repeats add nothing."""
+    """Up to ``2**SOURCE_BITS`` neighbouring sources: what each of their targets has shown, a sighting for each first one; repeats add nothing.
+
+    A call, a timer and each way to the store cost more than the events of a
+    source, so neighbours share them.  Each source and target still has an end
+    of its own, after which what it has shown is forgotten.
+    """
 
     def __init__(self, expire_ms: int):
         self.expire_ms = expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.shown = handle.getListState("shown", _EVENT)
+        self.shown = handle.getListState("shown", _SIGHTINGS)
+        self.ends = handle.getValueState("ends", "ends array<struct<source_idx:bigint,target:string,at:bigint>>")
+
+    def _held(self) -> list[tuple]:
+        return [row for part in self.shown.get() for row in zip(*part, strict=True)]
+
+    def _ends(self) -> dict[tuple, int]:
+        return {(r[0], r[1]): r[2] for r in self.ends.get()[0]} if self.ends.exists() else {}
+
+    def _hold(self, ends: dict[tuple, int]) -> None:
+        """The ends written, and one timer for the first of them."""
+        first = min(ends.values(), default=None)
+        timers = list(self.handle.listTimers())
+        for old in timers:
+            if old != first:
+                self.handle.deleteTimer(old)
+        if first is None:
+            self.ends.clear()
+            return
+        self.ends.update(([(*at, end) for at, end in ends.items()],))
+        if first not in timers:
+            self.handle.registerTimer(first)
+
+    def _forget(self, held: list[tuple], ends: dict[tuple, int], over: set[tuple]) -> None:
+        """What the targets that are over have shown goes."""
+        left = [row for row in held if row[:2] not in over]
+        if left:
+            self.shown.put([tuple(map(list, zip(*left, strict=True)))])
+        else:
+            self.shown.clear()
+        self._hold({at: end for at, end in ends.items() if at not in over})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        seen = _Seen(key[1])
-        for row in self.shown.get():
-            seen.add(*row)
+        held, ends, now = self._held(), self._ends(), timerValues.getCurrentWatermarkInMs()
+        seen: dict[tuple, _Seen] = {}
+        for row in held:
+            (seen.get(row[:2]) or seen.setdefault(row[:2], _Seen(row[1]))).add(*row[2:])
         given = pd.concat(list(rows), ignore_index=True).sort_values(["ms", "ord"], kind="stable")
         out, new = [], []
-        for r in given.itertuples(index=False):
-            if seen.repeats(r.action, r.key, r.name, r.ms):
-                out.append((*key, int(r.ms), r.key, "repeat"))
+        for source, target, ms, action, key_, name, actor, assisted in zip(*(given[c].tolist() for c in ("source_idx", "target", "ms", "action", "key", "name", "actor", "assisted")), strict=True):
+            own = seen.get((source, target)) or seen.setdefault((source, target), _Seen(target))
+            if own.repeats(action, key_, name, ms):
+                out.append((source, target, ms, key_, "repeat"))
                 continue
-            out.append((*key, int(r.ms), r.key, seen.follows(r.action, r.actor, r.ms) or (ASSISTED if r.assisted else "kept")))
-            new.append((r.action, r.key, r.name, r.actor, int(r.ms)))
-            seen.add(*new[-1])
-        if new:
-            self.shown.appendList(new)
-        # one timer a source: the last event of the longest silence so far moves it
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(max(int(given["at"].max().timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + self.expire_ms)
+            out.append((source, target, ms, key_, own.follows(action, actor, ms) or (ASSISTED if assisted else "kept")))
+            new.append((source, target, action, key_, name, actor, ms))
+            own.add(action, key_, name, actor, ms)
+        last = {at: max(int(t.timestamp() * 1000), now) + self.expire_ms for at, t in given.groupby(["source_idx", "target"])["at"].max().items()}
+        over = {at for at, end in ends.items() if end < now and at not in last}
+        if over:
+            self._forget(held + new, ends | last, over)
+        else:
+            if new:
+                self.shown.appendList([tuple(map(list, zip(*new, strict=True)))])
+            self._hold(ends | last)
         yield pd.DataFrame(out, columns=["source_idx", "target", "ms", "key", "decision"])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.shown.clear()
+        ends, now = self._ends(), timerValues.getCurrentWatermarkInMs()
+        over = {at for at, end in ends.items() if end <= expiredTimerInfo.getExpiryTimeInMs() or end < now}
+        if over:
+            self._forget(self._held(), ends, over)
         yield pd.DataFrame({"source_idx": pd.Series([], dtype="int64"), "target": pd.Series([], dtype=object), "ms": pd.Series([], dtype="int64"), "key": pd.Series([], dtype=object), "decision": pd.Series([], dtype=object)})
 
     def close(self) -> None:
@@ -232,18 +276,20 @@ class _Lifecycle(StatefulProcessor):
 def lifecycle_stream(events: DataFrame, time: str = "at", delay: str = "10 seconds", expire_ms: int = 3_600_000) -> DataFrame:
     """(source_idx, target, ms, key, decision): each event's decision, by the rules and in the order of ``lifecycle.decided``.
 
-    State is a list of first sightings by source and target; a micro-batch
-    appends its new ones and an event-time timer clears the list ``expire_ms``
-    after the last event.  Events are taken in time order within a micro-batch;
-    rows later than the watermark are dropped.  So with rows that come in order
-    of micro-batches and no silence longer than ``expire_ms`` the decisions are
-    those of the batch form.  ``assisted`` counts as false where the events
-    have no such column.  Needs the RocksDB state store, see ``typed_state``.
+    State is a list of first sightings for neighbouring sources; a micro-batch
+    appends its new ones and an event-time timer takes those of a source and
+    target out ``expire_ms`` after its last event.  Events are taken in time
+    order within a micro-batch; rows later than the watermark are dropped.  So
+    with rows that come in order of micro-batches and no silence longer than
+    ``expire_ms`` the decisions are those of the batch form.  ``assisted``
+    counts as false where the events have no such column.  Needs the RocksDB
+    state store, see ``typed_state``.
     """
     assisted = F.coalesce("assisted", F.lit(False)) if "assisted" in events.columns else F.lit(False)
     text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("action", "key", "name", "actor")]
     rows = events.select("source_idx", "target", "ms", "ord", *text, assisted.alias("assisted"), _clock(time).alias("at")).withWatermark("at", delay)
-    return rows.groupBy("source_idx", "target").transformWithStateInPandas(_Lifecycle(expire_ms), "source_idx bigint, target string, ms bigint, key string, decision string", "append", "eventTime")
+    near = rows.withColumn("sources", F.shiftright(F.col("source_idx").cast("bigint"), SOURCE_BITS))
+    return near.groupBy("sources").transformWithStateInPandas(_Lifecycle(expire_ms), "source_idx bigint, target string, ms bigint, key string, decision string", "append", "eventTime")
 
 
 @contextmanager

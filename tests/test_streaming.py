@@ -197,3 +197,26 @@ def test_progress_keeps_runs_apart():
     frame = pd.DataFrame({"run_id": [3, 2, 3, 3], "phase": ["scan", "scan", "trim", "scan"], "seq": [2, 1, 1, 1], "current": [None, 1, 2, 4], "total": [5, 1, 1, 4]})
     assert sorted(pd.concat(p.handleInputRows((0,), iter([frame[:2], frame[2:]]), None)).values.tolist()) == [[2, "scan", 1, 1, 1], [3, "scan", 2, 4, 5]]
     assert list(p.handleInputRows((0,), iter([frame]), None)) == [] and len(held["s"][0]) == 2
+
+
+def test_lifecycle_of_neighbouring_sources_shares_a_call():
+    """One call and one timer for several sources and targets; each keeps its own sightings and is forgotten at its own end."""
+    life, held, timers = jobs._Lifecycle(1000), {"shown": []}, set()
+    shown = SimpleNamespace(get=lambda: iter(held["shown"]), appendList=held["shown"].extend, put=lambda rows: held.update(shown=list(rows)), clear=lambda: held.update(shown=[]))
+    ends = SimpleNamespace(exists=lambda: "ends" in held, get=lambda: held["ends"], update=lambda e: held.update(ends=e), clear=lambda: held.pop("ends", None))
+    life.init(SimpleNamespace(getListState=lambda *a: shown, getValueState=lambda *a: ends, listTimers=lambda: iter(sorted(timers)), deleteTimer=timers.remove, registerTimer=timers.add))
+
+    def call(rows, watermark):
+        shown.appendList = held["shown"].extend
+        frame = pd.DataFrame([(s, t, ms, i, "knock", "k", "name", "name", False, pd.Timestamp(ms, unit="ms")) for i, (s, t, ms) in enumerate(rows)], columns=["source_idx", "target", "ms", "ord", "action", "key", "name", "actor", "assisted", "at"])
+        return [r[-1] for r in pd.concat(life.handleInputRows((0,), iter([frame[:1], frame[1:]]), SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark))).values.tolist()]
+
+    assert call([(1, "own-kill", 100), (2, "own-kill", 200), (1, "self-death", 300), (2, "own-kill", 400)], 0) == ["kept", "kept", "kept", "repeat"]
+    assert timers == {1100} and len(held["ends"][0]) == 3
+    assert call([(2, "own-kill", 1250)], 1200) == ["repeat"]  # source 1 has been silent too long, but not its deaths
+    assert timers == {1300} and {r[:2] for r in held["ends"][0]} == {(1, "self-death"), (2, "own-kill")}
+    list(life.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 1301), SimpleNamespace(getExpiryTimeInMs=lambda: 1300)))
+    assert timers == {2250} and [list(p[0]) for p in held["shown"]] == [[2]]
+    assert call([(1, "own-kill", 1900), (1, "self-death", 1900), (2, "own-kill", 1900)], 1500) == ["kept", "kept", "repeat"]
+    list(life.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 9000), SimpleNamespace(getExpiryTimeInMs=lambda: 2900)))
+    assert not timers and held == {"shown": []}
