@@ -395,3 +395,30 @@ def test_contained_items_take_few_texts_at_a_time(monkeypatch):
     found = list(leaks._search(SimpleNamespace(value=items))(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array(range(10, 1010), pa.int64()), "text": texts})])))
     assert [(i, d) for f in found for i, d in zip(f["item_id"], f["doc_id"])] == [(5, 10 + i) for i in range(1000) if i % 300 == 7]
     assert sum(held) == 1000 and max(held) <= leaks.SLICE
+
+
+def test_quality_learns_from_all_pairs():
+    """The gradient over every pair of a good and a bad text, by plain loops, is zero; a few texts are not left to chance."""
+    rng = random.Random(17)
+    texts = [" ".join(f"{rng.choice(['lorem', 'ipsum', 'dolor', 'sit'])}{rng.choice(['', '.', '##' if i % 4 == 0 else ','])}" for _ in range(rng.randrange(3, 40))) for i in range(90)]
+    y = np.array([int(i % 4 > 0) ^ (i % 11 == 0) for i in range(90)])  # not separable
+    model = quality.train(texts, y, 0.7)
+    z = np.clip((np.array([quality.features(t) for t in texts]) - model.mean) / model.scale, -8, 8).tolist()
+    good, bad = [x for x, of in zip(z, y, strict=True) if of == 1], [x for x, of in zip(z, y, strict=True) if of == 0]
+    gradient = [0.0] * len(model.weight)
+    for g in good:
+        for h in bad:
+            d = [p - q for p, q in zip(g, h, strict=True)]
+            miss = 1 / (1 + math.exp(sum(w * x for w, x in zip(model.weight, d, strict=True))))
+            gradient = [s + miss * x for s, x in zip(gradient, d, strict=True)]
+    scale = quality.PAIRS / (len(good) * len(bad))
+    assert max(abs(scale * g - quality.RIDGE * w) for g, w in zip(gradient, model.weight, strict=True)) < 1e-3
+
+
+def test_equal_texts_have_equal_scores_at_any_place():
+    rng = random.Random(19)
+    texts = [" ".join(rng.choice(["lorem", "ipsum.", "Dolor", "s1t"]) for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    model = quality.train(texts, np.arange(40) % 2, 0.5)
+    alone = [model.scores([t])[0] for t in texts]
+    for n in (2, 3, 7, 16, 40):
+        assert [s for i in range(0, 40, n) for s in model.scores(texts[i : i + n]).tolist()] == alone
